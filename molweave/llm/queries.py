@@ -41,14 +41,14 @@ with cleaned as (
   from reactions where rsmi is not null and record_id is not null),
 letters as (select record_id, regexp_extract_all(s, '\[[^\[\]>]*\]|[cC][lL]|[bB][rR]|.') as xs from cleaned),
 marked as (
-  select record_id, array_to_string(list_transform(xs, x -> case
+  select record_id, array_to_string(list_transform(xs, lambda x: case
     when regexp_matches(x, '^\[[0-9]*[bcnops][hH]?[^a-zA-Z]') then '~' || upper(x)
     when x in ('b', 'c', 'n', 'o', 'p', 's') then '~' || upper(x)
     when x in ('.', ';', ',', '|', '·', '•', '+') then '.'
     else upper(x) end), '') as s
   from letters),
 sided as (
-  select record_id, list_transform(string_split(s, '>'), side -> array_to_string(list_sort(list_filter(string_split(side, '.'), m -> m <> '')), '.')) as sides
+  select record_id, list_transform(string_split(s, '>'), lambda side: array_to_string(list_sort(list_filter(string_split(side, '.'), lambda m: m <> '')), '.')) as sides
   from marked),
 canon as (select record_id, sides[1] || '>' || sides[2] as canon from sided where len(sides) = 2 and sides[1] <> '' and sides[2] <> ''),
 grouped as (select record_id, min(record_id) over (partition by canon) as first_id, count(*) over (partition by canon) as copies from canon)
@@ -64,12 +64,12 @@ sets as (select distinct family, src, id, list_sort(list_distinct(xs)) as xs fro
 numbered as (select *, row_number() over (order by family, src, id, xs) as k, len(xs) as n from sets),
 items as (select family, src, id, k, n, unnest(xs) as x from numbered),
 shared as (
-  select a.family, a.src as src_a, b.src as src_b, a.id as id_a, b.id as id_b, a.k, b.k, a.n + b.n as n, count(*) as both
+  select a.family, a.src as src_a, b.src as src_b, a.id as id_a, b.id as id_b, a.k, b.k, a.n + b.n as n, count(*) as common
   from items a join items b on a.family = b.family and a.x = b.x and b.src = 'r' and (a.src = 't' or a.id < b.id)
   group by all),
 pairs as (
-  select case when src_a = 't' then 'template' else family end as field, id_a, id_b, max(cast(both as double) / (n - both)) as similarity
-  from shared where cast(both as double) / (n - both) >= cast(0.7 as double) group by all)
+  select case when src_a = 't' then 'template' else family end as field, id_a, id_b, max(cast(common as double) / (n - common)) as similarity
+  from shared where cast(common as double) / (n - common) >= cast(0.7 as double) group by all)
 """
 
 P2_LINKS = """
@@ -81,8 +81,8 @@ with arrays as (
 sets as (select distinct field, src, id, list_sort(list_distinct(xs)) as xs from arrays where len(xs) > 0 and id is not null),
 uniq as (select field, xs, bool_or(src = 'r') as has_r, row_number() over (order by field, xs) as k, len(xs) as n from sets group by field, xs),
 items as (select field, k, n, has_r, unnest(xs) as x from uniq),
-shared as (select a.k as ka, b.k as kb, a.n + b.n as n, count(*) as both from items a join items b on a.field = b.field and a.x = b.x and a.k <> b.k and (a.has_r or b.has_r) group by all),
-links as (select ka as k, count(*) as links from shared where cast(both as double) / (n - both) >= cast(0.7 as double) group by ka),
+shared as (select a.k as ka, b.k as kb, a.n + b.n as n, count(*) as common from items a join items b on a.field = b.field and a.x = b.x and a.k <> b.k and (a.has_r or b.has_r) group by all),
+links as (select ka as k, count(*) as links from shared where cast(common as double) / (n - common) >= cast(0.7 as double) group by ka),
 groups as (select s.field, s.xs, min(s.id) as class_id, count(*) as copies from sets s where s.src = 'r' group by all)
 select s.field, s.id, g.class_id, g.copies, coalesce(l.links, 0) as links
 from sets s join groups g on s.field = g.field and s.xs = g.xs join uniq u on s.field = u.field and s.xs = u.xs left join links l on l.k = u.k
