@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molweave.llm import copies, mixing, packing, setjoin, terms
-from molweave.session import cut, read
+from molweave.llm import clusters, copies, mixing, neighbours, packing, setjoin, subjects, terms
+from molweave.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def queries() -> dict[str, Query]:
         "p2_found": _over(lambda r, t: setjoin.similar_pairs(r, t).select("field", "id_a", "id_b"), "results", "templates"),
         "p2_pairs": _over(setjoin.similar_pairs, "results", "templates"),
         "p2_links": _over(setjoin.linked_records, "results", "templates"),
+        "p3_found": _over(lambda f: neighbours.pairs(neighbours.neighbours(f)), "fingerprints"),
+        "p3_neighbours": _over(neighbours.neighbours, "fingerprints"),
+        "p4_found": _over(clusters.cluster_members, "fingerprints"),
+        "p4_clusters": _over(clusters.describe, "fingerprints"),
         "p5_found": _over(lambda r, d: terms.term_counts(r, d).where("mark is not null").select("field", "token", "mark"), "results", "deltas"),
         "p5_terms": _over(terms.term_counts, "results", "deltas"),
         "p6_found": _over(lambda d: packing.split_documents(packing.assign(d)), "documents"),
@@ -31,6 +35,8 @@ def queries() -> dict[str, Query]:
         "p7_found": _over(mixing.short_sources, "documents", "source_targets"),
         "p7_mix": _over(mixing.mix, "documents", "source_targets"),
         "p7_shares": _over(mixing.shares, "documents", "source_targets"),
+        "p8_found": _over(lambda d, l, s: subjects.assigned_subjects(d, l, s).select("doc_id", "subject_id"), "documents", "doc_labels", "subjects"),
+        "p8_makeup": _over(subjects.makeup, "documents", "doc_labels", "subjects"),
     }
 
 
@@ -89,6 +95,27 @@ from sets s join groups g on s.field = g.field and s.xs = g.xs join uniq u on s.
 where s.src = 'r'
 """
 
+P3_NEAR = """
+with vectors as (
+  select fp_id, list_transform(sketch, lambda x: sign(x)) as v from fingerprints
+  where fp_id is not null and len(sketch) = 256 and not list_contains(list_transform(sketch, lambda x: x is null or abs(x) > 1), true)),
+used as (select fp_id, v, sqrt(list_inner_product(cast(v as float[]), cast(v as float[]))) as norm from vectors where list_contains(list_transform(v, lambda x: x <> 0), true)),
+sims as (
+  select a.fp_id as fp_id, b.fp_id as other, round(list_inner_product(cast(a.v as float[]), cast(b.v as float[])) / (a.norm * b.norm), 7) as cosine
+  from used a join used b on a.fp_id <> b.fp_id),
+near as (select * from sims where cosine >= cast(0.6 as double)),
+ranked as (select *, row_number() over (partition by fp_id order by cosine desc, other) as rank from near)
+"""
+
+P4_CLUSTERS = (
+    P3_NEAR.replace("with vectors", "with recursive vectors")
+    + """, reach as (
+  select fp_id, other from near
+  union select reach.fp_id, near.other from reach join near on reach.other = near.fp_id),
+labels as (select fp_id, least(fp_id, min(other)) as cluster_id from reach group by fp_id)
+"""
+)
+
 P5_TERMS = """
 with runs as (select distinct reaction_id, list_sort(tokens_r) as xs from results where tokens_r is not null and reaction_id is not null),
 counted as (
@@ -115,6 +142,19 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_PAIRS + "select field, id_a, id_b from pairs",
         "p2_pairs": P2_PAIRS + "select * from pairs",
         "p2_links": P2_LINKS,
+        "p3_found": P3_NEAR + "select distinct least(fp_id, other) as fp_a, greatest(fp_id, other) as fp_b from ranked where rank <= 5",
+        "p3_neighbours": P3_NEAR + "select fp_id, other, cosine, cast(rank as int) as rank from ranked where rank <= 5",
+        "p4_found": P4_CLUSTERS + "select cluster_id, fp_id from labels",
+        "p4_clusters": P4_CLUSTERS
+        + """, sized as (select cluster_id, count(*) as size from labels group by cluster_id),
+grouped as (select l.cluster_id, l.fp_id, u.v, u.norm from labels l join used u using (fp_id)),
+within as (
+  select a.cluster_id, a.fp_id, any_value(a.v) as v, round(sum(list_inner_product(cast(a.v as float[]), cast(b.v as float[])) / (a.norm * b.norm)), 9) as total
+  from grouped a join grouped b on a.cluster_id = b.cluster_id group by a.cluster_id, a.fp_id),
+alone as (select cluster_id, v, min(fp_id) as fp_id, any_value(total) as total from within group by cluster_id, v),
+scored as (select cluster_id, size, fp_id, (total - 1) / (size - 1) as mean_cosine from alone join sized using (cluster_id)),
+placed as (select *, row_number() over (partition by cluster_id order by mean_cosine desc, fp_id) as rank from scored)
+select cluster_id, size, cast(rank as int) as rank, fp_id, mean_cosine from placed where rank <= 3""",
         "p5_found": P5_TERMS + "select field, token, mark from marked where mark is not null",
         "p5_terms": P5_TERMS + "select * from marked",
         "p6_found": SIZED + "select doc_id from sized where size > 4096",
