@@ -138,7 +138,7 @@ def report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.count("*").alias("containers"),
         F.coalesce(F.sum("items"), F.lit(0)).alias("items"),
         F.coalesce(F.sum("used"), F.lit(0)).alias("used"),
-        F.coalesce(1 - F.sum("used") / (F.count("*") * F.lit(capacity)), F.lit(0.0)).alias("unused_share"),
+        F.coalesce(1 - F.try_divide(F.sum("used"), F.count("*") * F.lit(capacity)), F.lit(0.0)).alias("unused_share"),
         F.coalesce(F.ceil(F.sum("used") / F.lit(capacity)), F.lit(0)).alias("least_containers"),
         F.coalesce(F.max("used"), F.lit(0)).alias("fullest"),
     )

@@ -7,7 +7,8 @@ containers under their routing prefix, and sends a subtrie once per batch of row
 prefix meet in one task, where they are merged. A token that holds a third of all rows is one entry of
 each worker's subtrie.
 
-Defined results: null arrays, null tokens and null ids are left out; rows delivered again count once; a
+Defined results: tokens outside the 60 bits have a route of their own before the first prefix (negative
+ones) or lie under the last one; null arrays, null tokens and null ids are left out; rows delivered again count once; a
 record that holds a token in several rows counts once, with the largest of its occurrence counts;
 rows with net change 0 are no occurrence; the occurrences of ``delta`` are the sum of absolute changes;
 an empty field gives no rows.
@@ -37,7 +38,7 @@ def term_rows(results: DataFrame, deltas: DataFrame) -> DataFrame:
     runs = runs.groupBy("reaction_id", "run", "token").agg(F.count("*").alias("n"))
     runs = runs.select(F.lit("tokens_r").alias("field"), F.col("reaction_id").alias("record"), "token", "n")
     net = deltas.where("delta <> 0").select(F.lit("delta").alias("field"), F.col("reaction_id").alias("record"), "token", F.abs("delta").cast("long").alias("n"))
-    rows = runs.unionByName(net).where("record is not null and token is not null and token >= 0")
+    rows = runs.unionByName(net).where("record is not null and token is not null")
     return rows.groupBy("field", "record", "token").agg(F.max("n").alias("n"))
 
 

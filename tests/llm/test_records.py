@@ -104,7 +104,7 @@ def test_threshold_is_checked(spark):
 def test_term_counts_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(terms, "FLUSH_ROWS", 500)  # several subtries a worker
     rnd = random.Random(1)
-    big = [rnd.randrange(1 << 60) for _ in range(300)]
+    big = [rnd.randrange(1 << 60) for _ in range(300)] + [-5, -(1 << 62), (1 << 63) - 1]
     results = [(i, "delta" if i % 7 else "union", [rnd.choice(big) if rnd.random() < 0.5 else 5 for _ in range(rnd.randint(1, 30))], [1], [1]) for i in range(200)]
     results += results[:20] + [(500, "delta", None, None, None), (501, "delta", [], [], []), (None, "delta", [7], [7], [7]), (502, "delta", [None, 9], [], [])]
     deltas = [(i % 50, rnd.choice(big[:40]), rnd.randint(-2, 2)) for i in range(300)]
