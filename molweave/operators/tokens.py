@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from molweave.functions.hashing import token_hash
 from molweave.model import EDGE_ATTRS, NODE_ATTRS, label
 from molweave.operators import canonical, graph
+from molweave.session import cut
 
 # Tags that keep the tokens of the extractors apart.
 WL = ("a0", "b", "wl")
@@ -32,12 +33,69 @@ def sortable(token: Column) -> Column:
     return F.lpad(token.cast("string"), 19, "0")
 
 
-def refine(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str, str] = WL, node_attrs: tuple[str, ...] = NODE_ATTRS, edge_attrs: tuple[str, ...] = EDGE_ATTRS) -> DataFrame:
+PACKED_NODES = 1_000
+
+
+def largest_graph(nodes: DataFrame, edges: DataFrame) -> int:
+    """Rows of the largest graph: one small job that decides between the two plans of ``refine``."""
+    rows = nodes.select("graph_id").unionByName(edges.select("graph_id")).where("graph_id is not null")
+    return rows.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def refine(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str, str] = WL, node_attrs: tuple[str, ...] = NODE_ATTRS, edge_attrs: tuple[str, ...] = EDGE_ATTRS, packed: bool | None = None) -> DataFrame:
     """Labels of every round: ``graph_id, node_id, k, token``.
 
     Round 0 hashes the atom label; round k hashes the last label and the sorted pairs of bond hash and
-    neighbour label."""
+    neighbour label. Graphs of the size of molecules are packed into a row each and refined inside the
+    row, after one shuffle of nodes and of bonds; if any graph has more than ``PACKED_NODES`` rows, labels
+    and bonds stay in tables and meet by joins, so that no graph has to fit into one task."""
     check_radius(radius)
+    if packed is None:
+        packed = largest_graph(nodes, edges) <= PACKED_NODES
+    return (_refine_rows if packed else _refine_tables)(nodes, edges, radius, tags, node_attrs, edge_attrs)
+
+
+def _refine_rows(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str, str], node_attrs: tuple[str, ...], edge_attrs: tuple[str, ...]) -> DataFrame:
+    first, bond, step = tags
+    # One shuffle of each table: cleaning, packing and the join all keep this partitioning.
+    atoms = graph.clean_nodes(_without_map(nodes, node_attrs).repartition("graph_id"))
+    bonds = graph.clean_edges(_without_map(edges, edge_attrs).repartition("graph_id"))
+    text = label(node_attrs, atoms.columns) if node_attrs else F.lit(None).cast("string")
+    link = sortable(token_hash(F.concat(F.lit(f"{bond}|"), label(edge_attrs, bonds.columns))))
+    own = atoms.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("id"), text.alias("label")))).alias("nodes"))
+    ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), link.alias("bond")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"), link.alias("bond")))
+    ways = bonds.groupBy("graph_id").agg(F.flatten(F.collect_list(ends)).alias("ways"))
+    g = own.join(ways, "graph_id", "left").withColumn("ways", F.coalesce("ways", F.array().cast("array<struct<a:bigint,b:bigint,bond:string>>")))
+    g = g.withColumn("ids", F.transform("nodes", lambda n: n["id"]))
+    # For each node its degree, over all its bonds, and the places and hashes of its existing neighbours.
+    place = lambda w: F.struct(F.array_position("ids", w["b"]).cast("int").alias("at"), w["bond"].alias("bond"))
+    mine = F.transform("ids", lambda i: F.filter("ways", lambda w: w["a"] == i))
+    g = g.withColumn("mine", mine).withColumn("near", F.transform("mine", lambda ws: F.filter(F.transform(ws, place), lambda x: x["at"] > 0)))
+    whole = F.zip_with("nodes", "mine", lambda n, ws: F.concat_ws("|", n["label"], F.size(ws).cast("string")))
+    g = g.select("graph_id", "ids", "near", F.transform(whole, lambda x: token_hash(F.concat(F.lit(f"{first}|"), x))).alias("t0"))
+    for k in range(1, radius + 1):
+        g = g.withColumn(f"t{k}", _next_round(f"t{k - 1}", f"{step}|{k}|"))
+    rounds = F.array(*[F.struct(F.lit(k).alias("k"), F.arrays_zip(F.col("ids").alias("node_id"), F.col(f"t{k}").alias("token")).alias("x")) for k in range(radius + 1)])
+    flat = g.select("graph_id", F.explode(rounds).alias("r")).select("graph_id", F.col("r.k").alias("k"), F.explode("r.x").alias("x"))
+    return flat.select("graph_id", F.col("x.node_id").alias("node_id"), "k", F.col("x.token").alias("token"))
+
+
+def _without_map(table: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
+    """The table without the map of extra attributes where no attribute comes from it."""
+    return table.drop("attrs") if all(a in table.columns for a in attrs) else table
+
+
+def _next_round(last: str, tag: str) -> Column:
+    """Labels of the next round from the column ``last`` and the places of the neighbours in ``near``."""
+
+    def around(xs: Column) -> Column:
+        pairs = F.transform(xs, lambda x: F.concat_ws(":", x["bond"], sortable(F.element_at(F.col(last), x["at"]))))
+        return F.array_join(F.array_sort(pairs), ",")
+
+    return F.zip_with(last, "near", lambda t, xs: token_hash(F.concat(F.lit(tag), t.cast("string"), F.lit("|"), around(xs))))
+
+
+def _refine_tables(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str, str], node_attrs: tuple[str, ...], edge_attrs: tuple[str, ...]) -> DataFrame:
     first, bond, step = tags
     labels = graph.atom_labels(nodes, edges, node_attrs)
     now = labels.select("graph_id", "node_id", token_hash(F.concat(F.lit(f"{first}|"), F.col("label"))).alias("token"))
@@ -46,7 +104,11 @@ def refine(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str
         bonds = graph.inner_edges(nodes, edges)
         bonds = bonds.select("graph_id", "u", "v", sortable(token_hash(F.concat(F.lit(f"{bond}|"), label(edge_attrs, bonds.columns)))).alias("bond"))
         ways = graph.directed(bonds).select("graph_id", F.col("src").alias("node_id"), "dst", "bond")
+        if radius > 1:  # read once in every round
+            ways = cut(ways)
     for k in range(1, radius + 1):
+        if k > 1:  # a round reads the last one twice: without a cut the plan would double each time
+            now = cut(now)
         near = now.select("graph_id", F.col("node_id").alias("dst"), sortable(F.col("token")).alias("near"))
         around = ways.join(near, ["graph_id", "dst"]).groupBy("graph_id", "node_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bond", "near"))), ",").alias("around"))
         text = F.concat(F.lit(f"{step}|{k}|"), F.col("token").cast("string"), F.lit("|"), F.coalesce("around", F.lit("")))
@@ -59,11 +121,11 @@ def _counted(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("graph_id", "token").agg(F.count("*").alias("cnt"))
 
 
-def wl_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, **attrs: tuple[str, ...]) -> DataFrame:
+def wl_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, **attrs: object) -> DataFrame:
     return _counted(refine(nodes, edges, radius, WL, **attrs))
 
 
-def morgan_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, **attrs: tuple[str, ...]) -> DataFrame:
+def morgan_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, **attrs: object) -> DataFrame:
     return _counted(refine(nodes, edges, radius, MORGAN, **attrs))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from molweave.model import EDGE_ATTRS, NODE_ATTRS
 from molweave.operators import multiset, sketches, tokens
+from molweave.session import cut
 from molweave.sources import rsmi, tables
 
 Tokenizer = Callable[..., DataFrame]
@@ -112,7 +113,8 @@ def results(nodes: DataFrame, edges: DataFrame, config: FingerprintConfig | None
 def fingerprint_strings(reactions: DataFrame, config: FingerprintConfig | None = None, key: str = "reaction_id", text: str = "rsmi") -> DataFrame:
     """``reaction_id, fingerprint, error`` of every row; null with an error where a string cannot be read."""
     config = config or FingerprintConfig()
-    parsed = rsmi.read_rsmi(reactions.select(F.col(key).alias("reaction_id"), F.col(text).alias("rsmi")))
+    # Nodes, bonds and the list of rows all come from the parsed strings: parse once.
+    parsed = cut(rsmi.read_rsmi(reactions.select(F.col(key).alias("reaction_id"), F.col(text).alias("rsmi"))))
     nodes, edges = rsmi.graph_tables(parsed)
     made = fingerprint_bits(nodes, edges, config)
     good = sketches.to_vector(parsed.where("error is null"), made, config.bits)
