@@ -68,6 +68,28 @@ def canonical_form(labels: Labels, links: Links, max_depth: int | None = None) -
     return best or ("||", [])
 
 
+def components(labels: Labels, links: Links) -> list[set[int]]:
+    near, left, out = _neighbours(set(labels), links), set(labels), []
+    while left:
+        stack, seen = [left.pop()], set()
+        while stack:
+            n = stack.pop()
+            seen.add(n)
+            stack += near[n].keys() - seen
+        left -= seen
+        out.append(seen)
+    return out
+
+
+def whole_form(labels: Labels, links: Links) -> str:
+    """Canonical text of a graph by its components, so that equal molecules side by side cost nothing."""
+    forms = []
+    for part in components(labels, links):
+        inner = {e: x for e, x in links.items() if e[0] in part}
+        forms.append(canonical_form({n: labels[n] for n in part}, inner)[0])
+    return " + ".join(sorted(forms))
+
+
 def orbits(labels: Labels, links: Links) -> list[list[int]]:
     """Classes of nodes that an automorphism maps to each other: equal forms once marked."""
     groups: dict[str, list[int]] = {}

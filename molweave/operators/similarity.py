@@ -45,20 +45,22 @@ def queries_of(rows: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     return rows.where(F.col("reaction_id") % step == 0)
 
 
-def weighted_search(deltas: DataFrame, step: int = QUERY_STEP) -> DataFrame:
+def weighted_search(deltas: DataFrame, step: int = QUERY_STEP, normalize: bool = False) -> DataFrame:
     """``query_id, reaction_id, weighted_jaccard, cosine`` of signed weights for all pairs that share a token.
 
-    Sum of minima over sum of maxima of both channels, and cosine, in whole numbers up to one division."""
+    Sum of minima over sum of maxima of both channels, and cosine, in whole numbers up to one division.
+    With ``normalize`` each side is first divided by the sum of its absolute weights."""
     w = deltas.where("delta <> 0 and token is not null").select("reaction_id", "token", "delta")
     norms = w.groupBy("reaction_id").agg(F.sum(F.abs("delta")).alias("l1"), F.sum(F.col("delta") * F.col("delta")).alias("l2"))
-    q = queries_of(w, step).select(F.col("reaction_id").alias("query_id"), "token", F.col("delta").alias("q"))
-    same = (F.signum("q") == F.signum("delta"))
-    met = q.join(w, "token").where("query_id <> reaction_id").groupBy("query_id", "reaction_id").agg(
-        F.sum(F.when(same, F.least(F.abs("q"), F.abs("delta"))).otherwise(0)).alias("low"), F.sum(F.col("q") * F.col("delta")).alias("dot")
-    )
+    scaled = w.join(norms.select("reaction_id", "l1"), "reaction_id") if normalize else w.withColumn("l1", F.lit(1).cast("bigint"))
+    q = queries_of(scaled, step).select(F.col("reaction_id").alias("query_id"), "token", F.col("delta").alias("q"), F.col("l1").alias("ql"))
+    same = F.signum("q") == F.signum("delta")
+    low = F.when(same, F.least(F.abs("q") * F.col("l1"), F.abs("delta") * F.col("ql"))).otherwise(0)
+    met = q.join(scaled, "token").where("query_id <> reaction_id").groupBy("query_id", "reaction_id").agg(F.sum(low).alias("low"), F.sum(F.col("q") * F.col("delta")).alias("dot"))
     qn = queries_of(norms, step).select(F.col("reaction_id").alias("query_id"), F.col("l1").alias("ql1"), F.col("l2").alias("ql2"))
     met = met.join(qn, "query_id").join(norms, "reaction_id")
-    return met.select("query_id", "reaction_id", (F.col("low") / (F.col("ql1") + F.col("l1") - F.col("low"))).alias("weighted_jaccard"), (F.col("dot") / F.sqrt(F.col("ql2") * F.col("l2"))).alias("cosine"))
+    both = F.col("ql1") * F.col("l1") * 2 if normalize else F.col("ql1") + F.col("l1")
+    return met.select("query_id", "reaction_id", (F.col("low") / (both - F.col("low"))).alias("weighted_jaccard"), (F.col("dot") / F.sqrt(F.col("ql2") * F.col("l2"))).alias("cosine"))
 
 
 def bit_search(bit_rows: DataFrame, step: int = QUERY_STEP, k: int = 5) -> DataFrame:

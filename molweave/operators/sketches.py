@@ -125,6 +125,11 @@ def as_binary(values: Column) -> Column:
     return F.transform(values, lambda x: F.when(x.isin(0, 1), x.cast("int")).otherwise(F.raise_error(F.lit("not a binary sketch")).cast("int")))
 
 
+def flat(values: Column) -> Column:
+    """A two-dimensional signature as one array of whole numbers."""
+    return F.flatten(values).cast("array<bigint>")
+
+
 # Random numbers by local rank: sketches that are comparable within one reaction's vocabulary only.
 
 

@@ -21,6 +21,7 @@ from molweave.session import cut
 # Tags that keep the tokens of the extractors apart.
 WL = ("a0", "b", "wl")
 MORGAN = ("m0", "mb", "morgan")
+WL_LABELS = ("n0", "nb", "nw")
 
 
 def check_radius(radius: int) -> None:
@@ -154,19 +155,50 @@ def path_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, min_path: i
     return _counted(found)
 
 
+def wl_label_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, node_attrs: tuple[str, ...] = NODE_ATTRS, edge_attrs: tuple[str, ...] = EDGE_ATTRS) -> DataFrame:
+    """The variant that hashes every round's label once more, with its depth; without bond attributes
+    neighbours are not looked at, only the degree in the atom label tells of bonds."""
+    if edge_attrs:
+        rounds = refine(nodes, edges, radius, WL_LABELS, node_attrs, edge_attrs)
+    else:
+        first = refine(nodes, edges, 0, WL_LABELS, node_attrs, edge_attrs)
+        labels = [F.col("token")]
+        for k in range(1, radius + 1):
+            labels.append(token_hash(F.concat(F.lit(f"{WL_LABELS[2]}|{k}|"), labels[-1].cast("string"), F.lit("|"))))
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("token")) for k, x in enumerate(labels)]))
+        rounds = first.select("graph_id", "node_id", each.alias("x")).select("graph_id", "node_id", "x.k", "x.token")
+    return _counted(rounds.select("graph_id", token_hash(F.concat_ws("|", F.lit("nxwl"), F.col("k").cast("string"), F.col("token").cast("string"))).alias("token")))
+
+
+def _packed_graphs(nodes: DataFrame, edges: DataFrame, node_attrs: tuple[str, ...], edge_attrs: tuple[str, ...], blind: bool) -> DataFrame:
+    """``graph_id, nodes, edges`` with label texts, a row for each graph."""
+    atoms = graph.clean_nodes(nodes)
+    bonds = graph.inner_edges(nodes, edges)
+    a = label(node_attrs, atoms.columns) if not blind else F.lit("")
+    b = label(edge_attrs, bonds.columns) if not blind else F.lit("")
+    own = atoms.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", a.alias("label"))).alias("nodes"))
+    return own.join(bonds.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v", b.alias("label"))).alias("edges")), "graph_id", "left")
+
+
+def graph_signatures(nodes: DataFrame, edges: DataFrame, node_attrs: tuple[str, ...] = NODE_ATTRS, edge_attrs: tuple[str, ...] = EDGE_ATTRS, blind: bool = False) -> DataFrame:
+    """``graph_id, signature``: SHA-256 of the canonical form, equal for isomorphic graphs only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [canonical.whole_form({n["node_id"]: n["label"] for n in ns}, {(e["u"], e["v"]): e["label"] for e in es or []}) for ns, es in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.record_batch([batch.column(0), pa.array(forms, pa.string())], ["graph_id", "form"])
+
+    forms = _packed_graphs(nodes, edges, node_attrs, edge_attrs, blind).mapInArrow(run, "graph_id string, form string")
+    return forms.select("graph_id", F.sha2("form", 256).alias("signature"))
+
+
 def ego_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 1, node_attrs: tuple[str, ...] = NODE_ATTRS, edge_attrs: tuple[str, ...] = EDGE_ATTRS, blind: bool = False) -> DataFrame:
     """Tokens of the canonical form of the ego subgraph of every node for every k up to ``radius``.
 
     ``blind`` leaves all labels out, so that only the shape counts. Canonical search needs Python; it runs
     on Arrow batches of whole graphs and remembers equal subgraphs within a batch."""
     check_radius(radius)
-    atoms = clean = graph.clean_nodes(nodes)
-    bonds = graph.inner_edges(nodes, edges)
-    a = label(node_attrs, clean.columns) if not blind else F.lit("")
-    b = label(edge_attrs, bonds.columns) if not blind else F.lit("")
-    packed_nodes = atoms.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", a.alias("label"))).alias("nodes"))
-    packed_edges = bonds.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v", b.alias("label"))).alias("edges"))
-    graphs = packed_nodes.join(packed_edges, "graph_id", "left")
+    graphs = _packed_graphs(nodes, edges, node_attrs, edge_attrs, blind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}

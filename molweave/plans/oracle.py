@@ -126,6 +126,9 @@ def oracle_sql() -> dict[str, str]:
         "wl_tokens_r1": wl1 + " select * from tok",
         "wl_tokens_r2": wl2 + " select * from tok",
         "wl_tokens_element": _refined(1, atoms=element, bond="''") + " select * from tok",
+        "wl_tokens_joined": wl2 + " select * from tok",
+        "wl_label_tokens_r1": f"{_refined(1, ('n0', 'nb', 'nw'))}, again as (select graph_id, {_token("'nxwl|0|' || cast(token as varchar)")} as token from l0 union all select graph_id, {_token("'nxwl|1|' || cast(token as varchar)")} from l1) select graph_id, token, count(*) as cnt from again group by all",
+        "wl_label_tokens_unbonded": f"{_refined(0, ('n0', 'nb', 'nw'))}, m1 as (select graph_id, {_token("'nw|1|' || cast(token as varchar) || '|'")} as token from l0), again as (select graph_id, {_token("'nxwl|0|' || cast(token as varchar)")} as token from l0 union all select graph_id, {_token("'nxwl|1|' || cast(token as varchar)")} from m1) select graph_id, token, count(*) as cnt from again group by all",
         "morgan_tokens_r2": _refined(2, ("m0", "mb", "morgan")) + " select * from tok",
         "tokens_side": f"{wl1}, {SIDE_TOKENS} select * from t",
         "path_tokens_l1_3": _paths(3, 1) + " select * from tok",
@@ -155,6 +158,11 @@ def oracle_sql() -> dict[str, str]:
  met as (select q.reaction_id as query_id, x.reaction_id, sum(case when sign(q.delta) = sign(x.delta) then least(abs(q.delta), abs(x.delta)) else 0 end) as low, sum(q.delta * x.delta) as dot
   from delta q join delta x on q.token = x.token where q.reaction_id % 100 = 0 and q.reaction_id <> x.reaction_id group by all)
  select query_id, met.reaction_id, cast(low as double) / cast(qn.l1 + xn.l1 - low as double) as weighted_jaccard, cast(dot as double) / sqrt(cast(qn.l2 * xn.l2 as double)) as cosine
+ from met join norms qn on qn.reaction_id = query_id join norms xn on xn.reaction_id = met.reaction_id""",
+        "weighted_search_normalized": f"""with {T}, {D}, norms as (select reaction_id, sum(abs(delta)) as l1, sum(delta * delta) as l2 from delta group by all),
+ met as (select q.reaction_id as query_id, x.reaction_id, sum(case when sign(q.delta) = sign(x.delta) then least(abs(q.delta) * xn.l1, abs(x.delta) * qn.l1) else 0 end) as low, sum(q.delta * x.delta) as dot
+  from delta q join delta x on q.token = x.token join norms qn on qn.reaction_id = q.reaction_id join norms xn on xn.reaction_id = x.reaction_id where q.reaction_id % 100 = 0 and q.reaction_id <> x.reaction_id group by all)
+ select query_id, met.reaction_id, cast(low as double) / cast(2 * qn.l1 * xn.l1 - low as double) as weighted_jaccard, cast(dot as double) / sqrt(cast(qn.l2 * xn.l2 as double)) as cosine
  from met join norms qn on qn.reaction_id = query_id join norms xn on xn.reaction_id = met.reaction_id""",
         "minhash_search": MINHASH + " " + _search(f"select q.reaction_id as query_id, x.reaction_id, sum(case when q.value = x.value then 1 else 0 end) / cast({MINHASHES} as double) as jaccard from sig q join sig x on q.i = x.i where q.reaction_id % 100 = 0 and q.reaction_id <> x.reaction_id group by all", "jaccard"),
         "srp_cosine_search": SRP + " " + _search(f"select q.reaction_id as query_id, x.reaction_id, sum(case when q.value = x.value then 1 else 0 end) / cast({SIGNS} as double) * 2 - 1 as cosine from sig q join sig x on q.i = x.i where q.reaction_id % 100 = 0 and q.reaction_id <> x.reaction_id group by all", "cosine"),

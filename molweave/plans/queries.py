@@ -80,6 +80,10 @@ def queries() -> dict[str, Query]:
         "wl_tokens_r2": _graphs(lambda n, e: tokens.wl_tokens(n, e, 2)),
         "wl_tokens_element": _graphs(lambda n, e: tokens.wl_tokens(n, e, 1, node_attrs=("element",), edge_attrs=())),
         "morgan_tokens_r2": _graphs(lambda n, e: tokens.morgan_tokens(n, e, 2)),
+        "wl_label_tokens_r1": _graphs(lambda n, e: tokens.wl_label_tokens(n, e, 1)),
+        "wl_label_tokens_unbonded": _graphs(lambda n, e: tokens.wl_label_tokens(n, e, 1, edge_attrs=())),
+        "wl_tokens_joined": _graphs(lambda n, e: tokens.wl_tokens(n, e, 2, packed=False)),
+        "graph_signatures": _graphs(tokens.graph_signatures),
         "tokens_side": _graphs(lambda n, e: reaction_tokens(n, e, FingerprintConfig(radius=1))),
         "path_tokens_l1_3": _graphs(lambda n, e: tokens.path_tokens(n, e, 3)),
         "path_tokens_minpath2": _graphs(lambda n, e: tokens.path_tokens(n, e, 2, min_path=2)),
@@ -107,6 +111,7 @@ def queries() -> dict[str, Query]:
         "local_icws": _deltas(lambda d: _signature(sketches.local_icws(multiset.pos_neg(d), 32))),
         "tanimoto_search": _deltas(lambda d: similarity.bit_search(sketches.parity_bits(multiset.signed_support(d), BITS, 1))),
         "weighted_search": _deltas(similarity.weighted_search),
+        "weighted_search_normalized": _deltas(lambda d: similarity.weighted_search(d, normalize=True)),
         "minhash_search": _deltas(lambda d: similarity.block_search(sketches.minhash(multiset.signed_support(d), MINHASHES), "signature", similarity.equal_share, "jaccard")),
         "srp_cosine_search": _deltas(lambda d: similarity.block_search(sketches.srp(multiset.pos_neg(d), SIGNS), "sketch", similarity.srp_cosine, "cosine")),
         "fingerprint_morgan_union": _graphs(lambda n, e: fingerprint_bits(n, e, FingerprintConfig(tokenizer="morgan", mode="union", radius=1))),

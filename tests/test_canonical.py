@@ -3,7 +3,7 @@ import itertools
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from molweave.operators.canonical import canonical_form, orbits
+from molweave.operators.canonical import canonical_form, orbits, whole_form
 
 
 @st.composite
@@ -38,3 +38,11 @@ def test_orbits_and_depth():
     star = {i: "C" for i in range(4)}, {(0, i): "1" for i in (1, 2, 3)}
     assert orbits(*star) == [[0], [1, 2, 3]]
     assert canonical_form(*star, max_depth=0)[1][0] in star[0] and canonical_form({}, {})[0] == "||"
+
+
+def test_many_equal_parts_are_fast():
+    labels = {i: "C" for i in range(60)}
+    links = {(i, i + 1): "1" for i in range(60) if i % 3 < 2}
+    other = {i: "C" for i in range(100, 160)}
+    assert whole_form(labels, links) == whole_form(other, {(u + 100, v + 100): x for (u, v), x in links.items()})
+    assert whole_form(labels, links) != whole_form(labels, links | {(2, 3): "1"})
