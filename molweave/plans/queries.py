@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +55,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = stream.windowed_counts(source, "ts", "event_type", "1 day", "400 days")
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    name = f"windowed_counts_{abs(hash(sf_dir))}"
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="stream-", dir=None if "://" in where else where)).trigger(availableNow=True).start()
+    shared, name = spark.conf.get("spark.checkpoint.dir", None), f"windowed_counts_{uuid.uuid4().hex}"
+    where = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="stream-")
+    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 

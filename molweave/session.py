@@ -40,14 +40,14 @@ def parallel(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(shuffle_parts(df.sparkSession), *cols)
 
 
-def join_grouped(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, how: str = "inner") -> DataFrame:
+def join_grouped(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, how: str = "inner", least: int = 10_000) -> DataFrame:
     """Join ``rows`` with one row per group although some groups are huge.
 
     ``size_col`` holds the number of rows of each group. At most 1,000 groups can hold more than a
     thousandth of all rows; these are broadcast (size bound: 1,000 rows), so that their members never
-    meet in one task. All others join by shuffle, with at most ``total / 1000`` rows a group.
+    meet in one task. All others join by shuffle, with at most ``total / 1000`` rows (or ``least``) a group.
     """
-    limit = max(total // 1000, 10_000)
+    limit = max(total // 1000, least)
     hot = groups.where(F.col(size_col) > limit)
     if total <= limit:
         return rows.join(groups, keys, how)
