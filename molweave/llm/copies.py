@@ -30,7 +30,7 @@ FLUSH_ROWS = 4_000_000
 
 # Characters without meaning, arrow spellings, separators between molecules.
 INVISIBLE = r"[\s\p{Z}\p{Cc}\p{Cf}\"'`´‘’‚“”„‹›«]+"
-ARROW = r"(?:[-=~–—]*(?:>|→|⇒|⟶|➔|»)+)+"
+ARROW = r"(?<![-=~–—])[-=~–—]*+[>→⇒⟶➔»]"
 SEPARATOR = r"[.;,|·•+]+"
 
 
@@ -42,7 +42,7 @@ def canonical(text: Column) -> Column:
     """
     s = F.regexp_replace(text, INVISIBLE, "")
     s = F.regexp_replace(s, "^»|»$", "")
-    s = F.regexp_replace(s, ARROW, ">")
+    s = F.regexp_replace(F.regexp_replace(s, ARROW, ">"), ">+", ">")
     s = F.regexp_replace(s, "~", "")
     s = F.regexp_replace(s, r"(\[[^\[\]>]*\])|(c(?![lL])|b(?![rR])|[nops])", "$1~$2")
     s = F.regexp_replace(s, r"\[(\d*)([bcnops])(?=[hH]?[^a-zA-Z])", "[$1~$2")

@@ -144,3 +144,9 @@ def test_routes_cover_every_token(tokens):
         merged = terms._merge(pa.table(out))
         counted.update(dict(zip(merged.column("token").to_pylist(), merged.column("occurrences").to_pylist())))
     assert counted == Counter(tokens)
+
+
+def test_long_awkward_strings(spark):
+    texts = ["-" * 200_000, ">" * 100_000, "C" * 50_000 + ">" * 50_000 + "O", "[" * 100_000, "=>" * 50_000, "+" * 100_000 + "C>>O" + "." * 100_000, "c" * 100_000 + ">>O", "C>>O"]
+    got = copies.copy_pairs(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], REACTIONS)).collect()
+    assert [tuple(r) for r in got] == [(5, 7)]

@@ -150,6 +150,9 @@ def test_sentences():
     got = subjects.split_sentences("<p>Run 7 differed only in reflux.</p><p>- the ester was isolated The table on sheet 3 is new.</p>\n- das Diol fiel aus Am Tag 3 ging es um X.")
     assert got == ["run differed only in reflux", "the ester was isolated", "the table on sheet is new", "das diol fiel aus", "am tag ging es um x"]
     assert subjects.split_sentences("String: CC(C)O&gt;&gt;CC=O. Next one!") == ["string rxnstring", "next one"] and subjects.split_sentences("12 34.") == []
+    assert subjects.split_sentences("As recorded: CC(C) → C[C@H]O Both the cells failed.")[-1] == "both the cells failed"
+    for text in ("x" * 1_000_000, " " * 1_000_000, "<" * 300_000, "- a " * 200_000, "a. " * 200_000, "=" * 1_000_000):
+        subjects.split_sentences(text)
 
 
 def test_subjects(spark):
