@@ -120,3 +120,21 @@ def test_round_trip_and_duck_typed_graphs(spark):
     assert ns[1]["element"] == "O" and ns[1]["attrs"] == {"mark": "3"} and es[0, 1]["bond_order"] == 2.0
     labels = {r.node_id: r.label for r in graph.atom_labels(n, e, ("mark",)).collect()}
     assert labels == {0: "~|1", 1: "3|1"}
+
+
+@pytest.mark.parametrize("attrs", [{}, {"node_attrs": ("element", "mark"), "edge_attrs": ()}, {"node_attrs": (), "edge_attrs": ("bond_order", "foo")}])
+def test_packed_and_joined_refinement_agree(named, attrs):
+    nodes, edges = named
+    loose = edges.union(edges.sparkSession.createDataFrame([("two", 1, 77, 1.0, None)], EDGES))
+    got = [rows(tokens.wl_tokens(nodes, loose, 2, packed=p, **attrs)) for p in (True, False)]
+    assert got[0] == got[1] and got[0]
+    assert rows(tokens.wl_tokens(nodes, loose, 2, **attrs)) == got[0]
+
+
+def test_label_variant_and_signatures(named):
+    nodes, edges = named
+    assert sum(r.cnt for r in tokens.wl_label_tokens(nodes, edges, 1).where("graph_id = 'triangle'").collect()) == 6
+    bare = tokens.wl_label_tokens(nodes, edges, 1, edge_attrs=()).where("graph_id = 'path3'")
+    assert sorted(r.cnt for r in bare.collect()) == [1, 1, 2, 2]
+    assert len({r.signature for r in tokens.graph_signatures(nodes, edges).collect()}) == 5
+    assert tokens.graph_signatures(nodes.where("false"), edges).count() == 0
