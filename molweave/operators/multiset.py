@@ -59,8 +59,8 @@ def pos_neg(deltas: DataFrame) -> DataFrame:
 
 def check_pos_neg(weights: DataFrame) -> DataFrame:
     """The same rows; the query fails on a null token or a missing or negative weight."""
-    ok = F.col("token").isNotNull() & (F.col("pos") >= 0) & (F.col("neg") >= 0)
-    return weights.where(F.coalesce(ok, F.raise_error(F.lit("weights must be numbers of at least 0")).cast("boolean")) | F.raise_error(F.lit("weights must be numbers of at least 0")).cast("boolean"))
+    ok = F.coalesce(F.col("token").isNotNull() & (F.col("pos") >= 0) & (F.col("neg") >= 0), F.lit(False))
+    return weights.where(F.when(ok, True).otherwise(F.raise_error(F.lit("weights must be numbers of at least 0")).cast("boolean")))
 
 
 def l1_weights(deltas: DataFrame, normalize: bool = True) -> DataFrame:
