@@ -35,9 +35,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parallel(df: DataFrame, *cols: str) -> DataFrame:
-    """Spread ``df`` over the session's shuffle partitions for CPU-heavy Python work."""
-    return df.repartition(shuffle_parts(df.sparkSession), *cols)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least one partition a core, for CPU-heavy row-local work. A scan that already has as many
+    partitions, as any large one, is left alone: no shuffle. Streams are left alone, too."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def join_grouped(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, how: str = "inner", least: int = 10_000) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from molweave.session import spread
+
 # Usual valences of the atoms that may stand outside brackets, and bond orders.
 VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "Cl": (1,), "Br": (1,), "I": (1,)}
 ORDERS = {"-": 1.0, "=": 2.0, "#": 3.0, "$": 4.0, ":": 1.5, "/": 1.0, "\\": 1.0}
@@ -139,7 +141,7 @@ def read_rsmi(reactions: DataFrame, key: str = "reaction_id", text: str = "rsmi"
                     rows.append({key: k, "reactant": None, "product": None, "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    return reactions.select(key, text).mapInArrow(run, schema)
+    return spread(reactions.select(key, text)).mapInArrow(run, schema)
 
 
 def graph_tables(parsed: DataFrame, key: str = "reaction_id") -> tuple[DataFrame, DataFrame]:

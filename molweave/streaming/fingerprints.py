@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from molweave.model import MISSING
 from molweave.operators.tokens import MORGAN, WL
+from molweave.session import spread
 from molweave.sources.rsmi import parse_reaction
 
 
@@ -63,7 +64,7 @@ def row_local_bits(reactions: DataFrame, radius: int = 2, bits: int = 1024, seed
                 errors.append(None)
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(errors, pa.string())], ["reaction_id", "bits", "error"])
 
-    return reactions.select("reaction_id", "rsmi").mapInArrow(run, "reaction_id long, bits array<int>, error string")
+    return spread(reactions.select("reaction_id", "rsmi")).mapInArrow(run, "reaction_id long, bits array<int>, error string")
 
 
 def windowed_counts(stream: DataFrame, time_col: str, key: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
