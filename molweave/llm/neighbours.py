@@ -61,7 +61,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, seed: int = 0)
             for _ in range(8):
                 v = c.T @ (c @ v)
                 v /= np.linalg.norm(v) + 1e-9
-            side = np.zeros(len(ix), np.int8)
+            side = np.zeros(len(ix), np.int64)  # holds part numbers of the last level, too
             side[np.argsort(c @ v, kind="stable")[len(ix) // 2 :]] = 1
             where = np.full(len(x), -1)
             where[ix] = np.arange(len(ix))

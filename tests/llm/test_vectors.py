@@ -70,6 +70,12 @@ def test_crowded_part_is_cut_into_blocks(spark, monkeypatch):
     assert {(r.fp_id, r.other) for r in whole.collect()} == {(i, j) for i, js in lists.items() for j in js}
 
 
+def test_most_parts_are_balanced():
+    x = np.random.default_rng(5).choice([-1, 1], (1024, 256)).astype(np.float32) / 16
+    part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), neighbours.MOST_PARTS)
+    assert np.bincount(part, minlength=neighbours.MOST_PARTS).tolist() == [4] * neighbours.MOST_PARTS
+
+
 def test_pairs_come_once(spark):
     found = neighbours.pairs(neighbours.neighbours(spark.createDataFrame(made(1, 5, 5), PRINTS))).collect()
     assert len(found) == len(set(found)) and all(a < b for a, b in found)
