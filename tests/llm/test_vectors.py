@@ -94,6 +94,38 @@ def test_clusters(spark, monkeypatch, cell_rows, block):
     assert got == {(c, i) for i, c in label.items() if sizes[c] > 1}
 
 
+def members_of(label):
+    sizes = {}
+    for c in label.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    return {(c, i) for i, c in label.items() if sizes[c] > 1}
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_families_that_touch_become_one_cluster(spark, monkeypatch, block):
+    """Centres that differ in the same 46 places: links of cosine 0.6 cross the boundary from far away."""
+    monkeypatch.setattr(clusters, "CELL_ROWS", 15)
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    centre = rng.choice([-1, 1], 256)
+    other = np.where(np.arange(256) < 46, -centre, centre)
+    rows = [(fp, 0, ((centre, other)[fp % 2] * np.where(rng.random(256) < 0.01, -1, 1)).tolist()) for fp in range(1, 301)]
+    rows += [(fp, 0, rng.choice([-1, 0, 1], 256).tolist()) for fp in range(301, 361)]
+    _, label = brute(rows)
+    assert len({c for c, _ in members_of(label)}) == 1
+    got = {(r.cluster_id, r.fp_id) for r in clusters.cluster_members(spark.createDataFrame(rows, PRINTS)).collect()}
+    assert got == members_of(label)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_over_many_bundles(spark, monkeypatch, seed):
+    monkeypatch.setattr(clusters, "CELL_ROWS", 10)
+    monkeypatch.setattr(clusters, "BLOCK", 4)
+    rows = made(20 + seed)
+    got = {(r.cluster_id, r.fp_id) for r in clusters.cluster_members(spark.createDataFrame(rows, PRINTS)).collect()}
+    assert got == members_of(brute(rows)[1])
+
+
 def test_medoids(spark):
     rows = made(4, 6, 3)
     _, label = brute(rows)
