@@ -3,7 +3,8 @@
 A bounded sample gives a neighbour graph; recursive balanced bisection with swaps cuts it into parts of
 equal size with few edges across. A softmax classifier learns a vector's part from sign-flipped copies
 of the sample, so that similar vectors are routed alike. Every vector is indexed in its most probable
-part and searched in its ``PROBES`` most probable ones; candidates are reranked by their exact cosine.
+part and searched in its most probable ones: ``PROBES``, or as many more as a sample of queries needs to
+find ``RECALL`` of its exact neighbours, in small and in large families. Candidates are reranked by their exact cosine.
 A hit counts for both vectors, which makes up for most misses of one direction. Parts that hold much are
 cut into blocks, searched one against the other.
 
@@ -30,6 +31,8 @@ K = 5
 PART_ROWS = 2_000
 MOST_PARTS = 256
 PROBES = 8
+QUERIES = 2_048
+RECALL = 0.99
 SAMPLE = 16_384
 GRAPH_DEGREE = 10
 FLIPS = 0.1
@@ -168,10 +171,60 @@ def _search(low: float):
     return run
 
 
+def _exact(uids: np.ndarray, signs: list[str], low: float):
+    """``uid, other, cosine, signs, hits``: for each query its K best vectors of a batch and the number of all in reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = unit(unpack([s.encode() for s in signs]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            sims = q @ unit(unpack([s.encode() for s in batch.column(1).to_pylist()])).T
+            r, c = np.nonzero(sims >= low - 1e-5)
+            keep = uids[r] != ids[c]
+            r, c = r[keep], c[keep]
+            v = np.round(sims[r, c].astype(np.float64), 7)
+            hits = np.bincount(r, minlength=len(uids))
+            best = _best(r, c, v, ids)
+            # The number of hits is sent once a query and batch.
+            n = np.where(np.diff(r[best], prepend=-1) != 0, hits[r[best]], 0)
+            columns = [pa.array(uids[r[best]]), pa.array(ids[c[best]]), pa.array(v[best]), batch.column(1).take(pa.array(c[best])), pa.array(n)]
+            yield pa.record_batch(columns, ["uid", "other", "cosine", "signs", "hits"])
+
+    return run
+
+
+def least_probes(need: np.ndarray, hits: np.ndarray, least: int, parts: int) -> int:
+    """Probes that find ``RECALL`` of the pairs, in small families and in large ones by themselves."""
+    for group in (hits <= 2 * K, hits > 2 * K):
+        n = np.sort(need[group])
+        if len(n):
+            least = max(least, int(n[int(np.ceil(RECALL * len(n))) - 1]))
+    return min(least, parts)
+
+
+def choose_probes(uniq: DataFrame, w: np.ndarray, parts: int, low: float, least: int) -> int:
+    """Probes by recall against brute force for at most ``QUERIES`` vectors, chosen by the hash of their id."""
+    picked = uniq.select("uid", "signs").orderBy(F.xxhash64(F.lit("queries"), "uid"), "uid").limit(QUERIES).collect()
+    asked = {r["uid"]: r["signs"] for r in picked}
+    found = uniq.select("uid", "signs").mapInArrow(_exact(np.array(list(asked)), list(asked.values()), low), "uid long, other long, cosine double, signs string, hits long")
+    best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
+    found = found.withColumn("rank", F.row_number().over(best)).withColumn("hits", F.sum("hits").over(Window.partitionBy("uid"))).where(F.col("rank") <= K).collect()
+    if not found:
+        return min(least, parts)
+    a, b = (unit(unpack([s.encode() for s in x])) @ w[:-1] + w[-1] for x in ([asked[r["uid"]] for r in found], [r["signs"] for r in found]))
+    # A pair is found from either side.
+    place = [(z > np.take_along_axis(z, home.argmax(1)[:, None], 1)).sum(1) + 1 for z, home in ((a, b), (b, a))]
+    return least_probes(np.minimum(*place), np.array([r["hits"] for r in found]), least, parts)
+
+
 def near_classes(uniq: DataFrame, total: int, low: float = MIN_COSINE, probes: int = PROBES) -> DataFrame:
-    """``uid, other, cosine``: the best K others of each different vector found by routed search."""
+    """``uid, other, cosine``: the best K others of each different vector found by routed search with at least ``probes`` probes."""
     spark = uniq.sparkSession
     w, parts = learn(uniq, total)
+    if w is not None:
+        probes = choose_probes(uniq, w, parts, low, probes)
     routed = cut(uniq.select("uid", "signs").mapInArrow(_route(w, probes), "uid long, signs string, parts array<int>"))
     load = {r["part"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect()}
     # One row for each part, at most MOST_PARTS of them.

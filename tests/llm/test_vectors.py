@@ -70,6 +70,26 @@ def test_crowded_part_is_cut_into_blocks(spark, monkeypatch):
     assert {(r.fp_id, r.other) for r in whole.collect()} == {(i, j) for i, js in lists.items() for j in js}
 
 
+def test_probes_grow_with_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 10)
+    monkeypatch.setattr(neighbours, "SAMPLE", 400)  # most families are unknown to the router
+    rng = np.random.default_rng(11)
+    centres = np.repeat(rng.choice([-1, 1], (300, 256)), 5, axis=0)
+    x = centres * np.where(rng.random(centres.shape) < 0.09, -1, 1)
+    rows = [(fp, 0, v.tolist()) for fp, v in enumerate(x)]
+    lists, _ = brute(rows)
+    want = {(i, j) for i, js in lists.items() for j in js}
+    have = {(r.fp_id, r.other) for r in neighbours.neighbours(spark.createDataFrame(rows, PRINTS)).collect()}
+    assert len(have & want) >= 0.97 * len(want)
+
+
+def test_least_probes():
+    need, hits = np.array([1] * 990 + [30] * 10 + [2] * 50 + [40] * 50), np.array([50] * 1000 + [3] * 100)
+    assert neighbours.least_probes(need, hits, 8, 256) == 40  # the few pairs of small families count by themselves
+    assert neighbours.least_probes(need[:1000], hits[:1000], 8, 256) == 8
+    assert neighbours.least_probes(need, hits, 8, 16) == 16
+
+
 def test_most_parts_are_balanced():
     x = np.random.default_rng(5).choice([-1, 1], (1024, 256)).astype(np.float32) / 16
     part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), neighbours.MOST_PARTS)
