@@ -197,3 +197,12 @@ def test_subjects_empty(spark):
     assert subjects.makeup(spark.createDataFrame([], DOCS), labels, names).first().documents == 0
     one = spark.createDataFrame([(1, "x y z. " * 5, None, None), (2, None, None, None)], DOCS)
     assert subjects.assigned_subjects(one, labels, names.limit(0)).count() == 0
+
+
+def test_long_repetition_drops_no_terms(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "FREQUENT_TERMS", 10)
+    said = [["der ofen"] * 500 + ["mässiger druck"] * 4 + ["selten"] * 3]
+    docs = spark.createDataFrame([(s, 1) for s in said], "sentences array<string>, language int")
+    assert subjects.vocabulary(docs) == ["1der", "1der ofen", "1druck", "1mässiger", "1mässiger druck", "1ofen"]
+    monkeypatch.setattr(subjects, "FREQUENT_TERMS", 3)
+    assert subjects.vocabulary(docs) == ["1der", "1der ofen", "1ofen"]
