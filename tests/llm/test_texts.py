@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -206,3 +207,13 @@ def test_long_repetition_drops_no_terms(spark, monkeypatch):
     assert subjects.vocabulary(docs) == ["1der", "1der ofen", "1druck", "1mässiger", "1mässiger druck", "1ofen"]
     monkeypatch.setattr(subjects, "FREQUENT_TERMS", 3)
     assert subjects.vocabulary(docs) == ["1der", "1der ofen", "1ofen"]
+
+
+def test_long_and_rarer_wordings_can_be_fillers(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "FREQUENT_WORDINGS", 30)
+    long, rare, own = "wir danken " * 40, "ohne gewähr", "nur hier"
+    rows = [(leaf, 1, [long] * 30 + [rare] * 5 + [own] * 200 * (leaf == 3) + [f"satz {leaf}"] * 300) for leaf in range(8)]
+    body = spark.createDataFrame(rows, "leaf int, language int, sentences array<string>")
+    assert subjects.filler_wordings(body, 4) == {subjects.wording(long), rare}
+    coded = next(subjects._code([], {subjects.wording(long)})(iter([pa.record_batch([[1], [0], [[long, long + "x"]], [1]], ["doc_id", "leaf", "sentences", "language"])])))
+    assert coded.column("fill").to_pylist() == [[True, False]]
