@@ -217,3 +217,11 @@ def test_long_and_rarer_wordings_can_be_fillers(spark, monkeypatch):
     assert subjects.filler_wordings(body, 4) == {subjects.wording(long), rare}
     coded = next(subjects._code([], {subjects.wording(long)})(iter([pa.record_batch([[1], [0], [[long, long + "x"]], [1]], ["doc_id", "leaf", "sentences", "language"])])))
     assert coded.column("fill").to_pylist() == [[True, False]]
+
+
+def test_single_document(spark):
+    docs = spark.createDataFrame([(1, "The flask was heated gently. " * 6), (2, " ")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 7, 1), (1, 7, 2)], "doc_id long, subject_id long, rater long")
+    names = spark.createDataFrame([(7, "Heating", "flasks"), (8, "Cooling", "ice")], "subject_id long, subject string, scope string")
+    got = [(r.doc_id, r.subject_id, r.share) for r in subjects.assigned_subjects(docs, labels, names).collect()]
+    assert got == [(1, 7, 1.0)]
