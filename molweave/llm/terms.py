@@ -2,7 +2,7 @@
 
 Tokens are 60-bit numbers; their 15 hexadecimal digits are the letters of the trie. A small census of
 prefixes (at most 4,096 a field) decides how deep the routing goes where: a prefix that holds much is
-burst into its 16 children. Each worker accumulates its rows in compact subtries, sorted token
+burst into its 16 children, below three digits by a further census of what is still too much. Each worker accumulates its rows in compact subtries, sorted token
 containers under their routing prefix, and sends a subtrie once per batch of rows; the subtries of a
 prefix meet in one task, where they are merged. A token that holds a third of all rows is one entry of
 each worker's subtrie.
@@ -17,6 +17,8 @@ an empty field gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,14 @@ def term_rows(results: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def routes(rows: DataFrame, parts: int) -> dict[str, np.ndarray]:
-    """First tokens of the routing prefixes of each field, at most 4,096 of them.
+    """First tokens of the routing prefixes of each field: at most 4,096 of three digits, and below those
+    at most 16 children a digit for each of the few that hold too much.
 
     A prefix is burst while more than a 4 ``parts``-th of the field's different tokens lie under it.
     """
     shift = 4 * (DIGITS - CENSUS_DIGITS)
     census = rows.groupBy("field", F.shiftrightunsigned("token", shift).alias("p")).agg(F.approx_count_distinct("token").alias("n")).collect()
-    out = {}
+    out, limits, crowded = {}, {}, {}
     for field in {r["field"] for r in census}:
         load = np.zeros(16**CENSUS_DIGITS, np.int64)
         for r in census:
@@ -64,9 +67,25 @@ def routes(rows: DataFrame, parts: int) -> dict[str, np.ndarray]:
                     burst(lo + i * (width // 16), width // 16)
             else:
                 starts.append(lo << shift)
+                if width == 1 and load[lo] > limit:
+                    crowded.setdefault(field, []).append(lo)
 
         burst(0, len(load))
-        out[field] = np.array(starts, np.int64)
+        out[field], limits[field] = np.array(starts, np.int64), limit
+    digits = CENSUS_DIGITS
+    while crowded and digits < DIGITS:
+        at = F.shiftrightunsigned("token", 4 * (DIGITS - digits))
+        below = rows.where(reduce(or_, [(F.col("field") == field) & at.isin(p) for field, p in crowded.items()]))
+        digits += 1
+        shift = 4 * (DIGITS - digits)
+        census = below.groupBy("field", F.shiftrightunsigned("token", shift).alias("p")).agg(F.approx_count_distinct("token").alias("n")).collect()
+        for field, parents in crowded.items():
+            children = [(16 * p + i) << shift for p in parents for i in range(16)]
+            out[field] = np.union1d(out[field], np.array(children, np.int64))
+        crowded = {}
+        for r in census:
+            if r["n"] > limits[r["field"]]:
+                crowded.setdefault(r["field"], []).append(r["p"])
     return out
 
 

@@ -150,3 +150,12 @@ def test_long_awkward_strings(spark):
     texts = ["-" * 200_000, ">" * 100_000, "C" * 50_000 + ">" * 50_000 + "O", "[" * 100_000, "=>" * 50_000, "+" * 100_000 + "C>>O" + "." * 100_000, "c" * 100_000 + ">>O", "C>>O"]
     got = copies.copy_pairs(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], REACTIONS)).collect()
     assert [tuple(r) for r in got] == [(5, 7)]
+
+
+def test_routes_burst_below_the_census(spark):
+    tokens = [*range(3000), *(k << 50 for k in range(1, 100))]
+    rows = spark.createDataFrame([("delta", 1, t, 1) for t in tokens], "field string, record long, token long, n long")
+    starts = terms.routes(rows, 4)["delta"].tolist()
+    assert starts == sorted(set(starts)) and starts[0] == 0
+    held = [sum(a <= t < b for t in tokens) for a, b in zip(starts, [*starts[1:], 1 << 60])]
+    assert sum(held) == len(tokens) and max(held) <= 300
