@@ -1,9 +1,12 @@
 """Problem 1: duplicates hidden by formatting differences, found through merged Bloom filters.
 
-The canonical form and its hash are computed inside the JVM. Each input partition builds, per filter
-block, the bit positions it saw once and more than once; merging two partitions puts a bit seen by
-both into the repeat filter. Only rows whose bits all lie in the repeat filter can have a copy: only
-these are shuffled and grouped by their exact canonical form, all others are singletons at once.
+The canonical form is computed once a row inside the JVM and kept as its 128-bit digest: from there on a row
+is 24 bytes, however long its string. Each input partition builds, per filter block, the bit positions it saw
+once and more than once; merging two partitions puts a bit seen by both into the repeat filter. Only rows
+whose bits all lie in the repeat filter can have a copy: only these are shuffled and grouped by their
+digest, all others are singletons at once. Beyond the broadcast limit the filter does not go to the rows;
+digests (never strings) meet their block by shuffle. Two unlike strings share a digest with a probability below
+1e-18 among ten billion rows, so that groups are exact for all that can be stored.
 
 Defined results: null, blank or one-sided strings have no canonical form and are left out; a molecule
 list that is empty after cleaning counts as a missing side; ties do not occur as ``record_id`` is
@@ -30,29 +33,33 @@ FLUSH_ROWS = 4_000_000
 
 # Characters without meaning, arrow spellings, separators between molecules.
 INVISIBLE = r"[\s\p{Z}\p{Cc}\p{Cf}\"'`´‘’‚“”„‹›«]+"
-ARROW = r"(?<![-=~–—])[-=~–—]*+[>→⇒⟶➔»]"
+ARROWS = r"(?<![-=~–—])(?:[-=~–—]*+[>→⇒⟶➔»])++"
 SEPARATOR = r"[.;,|·•+]+"
+# Marks that no cleaned text can hold, as control characters are removed first.
+OPEN, PLUS, AROMATIC = "\u0004", "\u0001", "\u0002"
 
 
-def canonical(text: Column) -> Column:
-    """The one spelling shared by all copies of a reaction string; null without two sides.
+def sides(text: Column) -> Column:
+    """The sorted molecules of each side between arrows, joined by dots; two texts for a whole reaction.
 
-    Aromatic one-letter atoms are marked with ``~`` before letter case is dropped; charges inside
-    brackets are moved out of the way of the separator ``+``.
-    """
+    Brackets that are closed before the next bracket or arrow protect their ``+``. Aromatic one-letter atoms
+    are marked before letter case is dropped. All patterns are linear in the length of the text."""
     s = F.regexp_replace(text, INVISIBLE, "")
     s = F.regexp_replace(s, "^»|»$", "")
-    s = F.regexp_replace(F.regexp_replace(s, ARROW, ">"), ">+", ">")
-    s = F.regexp_replace(s, "~", "")
-    s = F.regexp_replace(s, r"(\[[^\[\]>]*\])|(c(?![lL])|b(?![rR])|[nops])", "$1~$2")
-    s = F.regexp_replace(s, r"\[(\d*)([bcnops])(?=[hH]?[^a-zA-Z])", "[$1~$2")
-    s = F.regexp_replace(s, r"\+(?=[^\[\]>]{0,40}\])", "\u0001")
-    s = F.upper(s)
-    sides = F.transform(
-        F.split(s, ">"),
-        lambda side: F.array_join(F.array_sort(F.filter(F.split(side, SEPARATOR), lambda m: m != "")), "."),
-    )
-    return F.when((F.size(sides) == 2) & (sides[0] != "") & (sides[1] != ""), F.concat(sides[0], F.lit(">"), sides[1]))
+    s = F.regexp_replace(s, ARROWS, ">")
+    s = F.regexp_replace(s, r"\[(?=[^\[\]>]*+\])", OPEN)
+    s = F.regexp_replace(s, rf"(\G(?!^)|{OPEN})([^\]+]*+)\+", f"$1$2{PLUS}")
+    s = F.regexp_replace(s, rf"({OPEN}[^\]]*+\])|(c(?![lL])|b(?![rR])|[nops])", f"$1{AROMATIC}$2")
+    s = F.regexp_replace(s, rf"{OPEN}(\d*+)([bcnops])(?=[hH]?[^a-zA-Z])", f"{OPEN}$1{AROMATIC}$2")
+    return F.transform(F.split(F.upper(s), ">"), lambda side: F.array_join(F.sort_array(F.filter(F.split(side, SEPARATOR), lambda m: m != "")), "."))
+
+
+def canonical_rows(reactions: DataFrame) -> DataFrame:
+    """``record_id, canon``: the one spelling shared by all copies; null without two sides. Two projections,
+    so that the sides are computed once."""
+    parts = reactions.where("record_id is not null").select("record_id", sides(F.col("rsmi")).alias("x"))
+    whole = (F.size("x") == 2) & (F.col("x")[0] != "") & (F.col("x")[1] != "")
+    return parts.select("record_id", F.when(whole, F.array_join("x", ">")).alias("canon"))
 
 
 def _positions(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +132,7 @@ def possible_repeats(rows: DataFrame, key: str, total: int) -> tuple[DataFrame,
     hashed = rows.withColumn("__h", F.xxhash64(key))
     filters = cut(repeat_filter(hashed.select("__h"), blocks))
     probe = hashed.withColumn("block", F.pmod(F.shiftrightunsigned("__h", 32), F.lit(blocks)).cast("long"))
-    # The filter has blocks * 8 KB; beyond the limit hashes meet their block by shuffle instead.
+    # The filter has blocks * 8 KB; beyond the limit rows meet their block by shuffle instead.
     side = F.broadcast(filters) if blocks * BLOCK_BITS // 8 <= BROADCAST_LIMIT else filters
     probed = probe.join(side, "block", "left")
     maybe = F.coalesce((_bit(0) == 1) & (_bit(16) == 1), F.lit(False))
@@ -133,21 +140,26 @@ def possible_repeats(rows: DataFrame, key: str, total: int) -> tuple[DataFrame,
     return probed.where("__maybe").drop("__maybe"), probed.where("not __maybe").drop("__maybe")
 
 
-def _canonical_rows(reactions: DataFrame) -> DataFrame:
-    return reactions.select("record_id", canonical(F.col("rsmi")).alias("canon")).where(F.col("canon").isNotNull() & F.col("record_id").isNotNull())
+def digests(reactions: DataFrame) -> DataFrame:
+    """``record_id, key`` of every row with two sides, 24 bytes a row, with its lineage cut: the one time the
+    strings are read. Rows without two sides are dropped behind the cut, lest the filter compute them again."""
+    keyed = canonical_rows(reactions).select("record_id", F.unhex(F.md5("canon")).alias("key"))
+    return cut(keyed).where("key is not null")
 
 
 def collapse(reactions: DataFrame) -> DataFrame:
     """``record_id, copies``: one row per group of copies, its smallest ``record_id`` and its size."""
-    maybe, single = possible_repeats(_canonical_rows(reactions), "canon", reactions.count())
-    groups = maybe.groupBy("canon").agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies"))
-    return groups.drop("canon").unionByName(single.select("record_id", F.lit(1).cast("long").alias("copies")))
+    rows = digests(reactions)
+    maybe, single = possible_repeats(rows, "key", rows.count())
+    groups = maybe.groupBy("key").agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies"))
+    return groups.drop("key").unionByName(single.select("record_id", F.lit(1).cast("long").alias("copies")))
 
 
 def copy_pairs(reactions: DataFrame) -> DataFrame:
     """``record_a, record_b``: each copy with the smallest ``record_id`` of its group."""
-    total = reactions.count()
-    maybe = cut(possible_repeats(_canonical_rows(reactions), "canon", total)[0])
-    groups = maybe.groupBy("canon").agg(F.min("record_id").alias("record_a"), F.count("*").alias("copies")).where("copies > 1")
-    pairs = join_grouped(maybe, groups, ["canon"], "copies", total)
+    rows = digests(reactions)
+    total = rows.count()
+    maybe = cut(possible_repeats(rows, "key", total)[0])
+    groups = maybe.groupBy("key").agg(F.min("record_id").alias("record_a"), F.count("*").alias("copies")).where("copies > 1")
+    pairs = join_grouped(maybe, groups, ["key"], "copies", total)
     return pairs.where("record_id <> record_a").select("record_a", F.col("record_id").alias("record_b"))

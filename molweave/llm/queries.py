@@ -48,8 +48,8 @@ with cleaned as (
 letters as (select record_id, regexp_extract_all(s, '\[[^\[\]>]*\]|[cC][lL]|[bB][rR]|.') as xs from cleaned),
 marked as (
   select record_id, array_to_string(list_transform(xs, lambda x: case
-    when regexp_matches(x, '^\[[0-9]*[bcnops][hH]?[^a-zA-Z]') then '~' || upper(x)
-    when x in ('b', 'c', 'n', 'o', 'p', 's') then '~' || upper(x)
+    when regexp_matches(x, '^\[[0-9]*[bcnops][hH]?[^a-zA-Z]') then chr(2) || upper(x)
+    when x in ('b', 'c', 'n', 'o', 'p', 's') then chr(2) || upper(x)
     when x in ('.', ';', ',', '|', '·', '•', '+') then '.'
     else upper(x) end), '') as s
   from letters),

@@ -34,6 +34,23 @@ def test_case_of_bracket_atoms(spark):
         assert copies.copy_pairs(df).count() == int(equal), (a, b)
 
 
+def test_bonds_and_long_brackets_count(spark):
+    long = "[" + "H" * 60 + "+"
+    pairs = [("C~C>>O", "CC>>O", False), ("C~C>>O", "Cc>>O", False), (f"{long}{'C' * 50}].N>>O", f"N.{long}{'C' * 50}]>>O", True), (f"{long}C]>>O", f"{long[:-1]}.C]>>O", False)]
+    pairs += [("[NH3+]+[Cl-]>>O", "[Cl-].[NH3+]>>O", True), ("[Fe++]+C>>O", "C.[Fe++]>>O", True), ("[Fe++].C>>O", "[Fe].C>>O", False), ("[N+C>>O", "C.[N>>O", True), ("C]+O>>N", "O.C]>>N", True)]
+    for a, b, equal in pairs:
+        df = spark.createDataFrame([(1, 0, a), (2, 0, b)], REACTIONS)
+        assert copies.copy_pairs(df).count() == int(equal), (a, b)
+
+
+def test_strings_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BROADCAST_LIMIT", 0)
+    rows = copies.digests(spark.createDataFrame([(i, 0, f"C{i % 60}>>O") for i in range(100)], REACTIONS))
+    assert rows.columns == ["record_id", "key"] and {len(r.key) for r in rows.collect()} == {16}
+    plan = copies.possible_repeats(rows, "key", 100)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "canon" not in plan and "rsmi" not in plan
+
+
 def test_copies_empty_hot_and_long(spark):
     assert copies.copy_pairs(spark.createDataFrame([], REACTIONS)).count() == 0
     assert copies.collapse(spark.createDataFrame([], REACTIONS)).count() == 0
