@@ -2,16 +2,19 @@
 
 A bounded sample gives a neighbour graph; recursive balanced bisection with swaps cuts it into parts of
 equal size with few edges across. A softmax classifier learns a vector's part from sign-flipped copies
-of the sample, so that similar vectors are routed alike. Every vector is indexed in its most probable
-part and searched in its most probable ones: ``PROBES``, or as many more as a sample of queries needs to
-find ``RECALL`` of its exact neighbours, in small and in large families. Candidates are reranked by their exact cosine.
-A hit counts for both vectors, which makes up for most misses of one direction. Parts that hold much are
-cut into blocks, searched one against the other.
+of the sample, so that similar vectors are routed alike. A router has at most ``BRANCH`` parts; parts that
+hold more than ``SPLIT_ROWS`` vectors get a router of their own, fitted where their vectors are, level by
+level, so that parts stay small however many vectors there are. Every vector is indexed in its most probable
+part and searched in its most probable ones. How many parts each level probes is chosen by recall against
+brute force for a sample of queries, in small and in large families by themselves. Candidates are reranked by
+their exact cosine. A hit counts for both vectors, which makes up for most misses of one direction.
+
+Parts that are neighbours in the bisection travel together: a query is sent once to each group of parts,
+with the parts it asks for, 32 bytes of signs at a time.
 
 Copies are collapsed into classes with their six smallest ids, which is all that a top five can use.
 Defined results: sketches that are null, all zero, of another width or hold nulls take no part; cosines
-below 0.6 are no neighbours; ties are broken by the smaller ``fp_id``; of a collection with fewer than
-``PART_ROWS`` different vectors everything is compared; an empty table gives no rows.
+below 0.6 are no neighbours; ties are broken by the smaller ``fp_id``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,19 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from molweave.llm.vectors import MIN_COSINE, members, sample, unit, unpack
+from molweave.llm.vectors import MIN_COSINE, members, sample, unit, unpack, vectors
 from molweave.session import cut, join_grouped
 
 K = 5
-PART_ROWS = 2_000
-MOST_PARTS = 256
-PROBES = 8
+PART_ROWS = 256
+BRANCH = 256
+SPLIT_ROWS = 2_048
+GROUP_PARTS = 16
 QUERIES = 2_048
-RECALL = 0.99
+RECALL = 0.9995
 SAMPLE = 16_384
 GRAPH_DEGREE = 10
 FLIPS = 0.1
 BLOCK = 4_096
+LANE_ROWS = 65_536
+HOT_GROUPS = 10_000
+MOST_LEVELS = 6
 
 
 def neighbour_graph(x: np.ndarray, degree: int = GRAPH_DEGREE) -> np.ndarray:
@@ -105,36 +112,134 @@ def train_router(x: np.ndarray, part: np.ndarray, parts: int, epochs: int = 20,
     return w
 
 
-def learn(uniq: DataFrame, total: int) -> tuple[np.ndarray | None, int]:
-    """Router weights and number of parts; no weights when one part is enough."""
+def branches(load: int) -> int:
+    """Parts of a router over ``load`` vectors: a power of 2."""
     parts = 1
-    while parts < MOST_PARTS and parts * PART_ROWS < total:
+    while parts < BRANCH and parts * PART_ROWS < load:
         parts *= 2
-    if parts == 1:
-        return None, 1
-    x = sample(uniq, total, SAMPLE)
-    near = neighbour_graph(unit(x))
-    return train_router(x, balanced_parts(x, near, parts), parts), parts
+    return parts
+
+
+def fit_router(x: np.ndarray, load: int) -> np.ndarray:
+    """Weights of a router over ``load`` vectors from a sample of them."""
+    x = unit(x)
+    parts = branches(min(load, PART_ROWS * len(x)))
+    return train_router(x, balanced_parts(x, neighbour_graph(x), parts), parts)
+
+
+def scores(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return x @ w[:-1] + w[-1]
+
+
+# A node is a part of some level: 0 is the root, the children of a node follow from its number. Sixteen
+# neighbours of the bisection have numbers in a row and are a group.
+
+
+def child(node: int, parts: np.ndarray) -> np.ndarray:
+    return node * BRANCH + parts + 1
 
 
-def _route(w: np.ndarray | None, probes: int):
-    """``uid, signs`` to ``uid, signs, parts``, the most probable part first."""
+def _children(w: np.ndarray, node: int, x: np.ndarray, probes: int) -> np.ndarray:
+    """The nodes of the ``probes`` most probable parts of each row, most probable first."""
+    return child(node, np.argsort(-scores(w, x), axis=1, kind="stable")[:, :probes].astype(np.int64))
 
+
+MOVED = pa.schema([("uid", pa.int64()), ("bits", pa.binary()), ("parts", pa.list_(pa.int64()))])
+MOVED_ROWS = "uid long, bits binary, parts array<long>"
+
+
+def _moved(uid: np.ndarray, bits: pa.Array, nodes: np.ndarray, grouped: bool) -> pa.RecordBatch:
+    """A row for each vector and node, or for each vector and group of nodes."""
+    nodes = np.sort(nodes, axis=1) if grouped else nodes
+    row, flat = np.repeat(np.arange(len(uid)), nodes.shape[1]), nodes.ravel()
+    group = (flat - 1) // GROUP_PARTS if grouped else np.arange(len(flat))
+    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(group) != 0)])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(flat)].astype(np.int32)), pa.array(flat))
+    return pa.record_batch([pa.array(uid[row[first]]), bits.take(pa.array(row[first])), lists], schema=MOVED)
+
+
+def _from_root(w: np.ndarray, probes: int, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if w is None:
-                top = np.zeros((batch.num_rows, 1), np.int32)
-            else:
-                z = unit(unpack([s.encode() for s in batch.column(1).to_pylist()])) @ w[:-1] + w[-1]
-                top = np.argsort(-z, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, top.shape[1], dtype=np.int32)), pa.array(top.ravel()))
-            yield pa.record_batch([batch.column(0), batch.column(1), parts], ["uid", "signs", "parts"])
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield _moved(part.column(0).to_numpy(), part.column(1), _children(w, 0, vectors(part.column(1)), probes), grouped)
 
     return run
 
 
+def _down(probes: int, grouped: bool):
+    def run(rows: pa.Table, models: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and models.num_rows:
+            w = np.frombuffer(models.column("w")[0].as_py(), np.float32).reshape(-1, models.column("parts")[0].as_py())
+            node, rows = rows.column("node")[0].as_py(), rows.select(["uid", "bits"]).combine_chunks()
+            for at in range(0, rows.num_rows, BLOCK):
+                part = rows.slice(at, BLOCK)
+                bits = part.column("bits").combine_chunks()
+                out.append(_moved(part.column("uid").to_numpy(), bits, _children(w, node, vectors(bits), probes), grouped))
+        return pa.Table.from_batches(out, MOVED)
+
+    return run
+
+
+def descend(rows: DataFrame, models: DataFrame, probes: int, grouped: bool = False) -> DataFrame:
+    """``uid, bits, parts`` with the rows at nodes that have a router moved to ``probes`` of their parts.
+
+    Crowded nodes are cut into slices, each with its copy of the router. The list of nodes is broadcast: one
+    row for each of at most ``BRANCH`` to the power of the level, and of the rows over ``SPLIT_ROWS``."""
+    single = rows.select("uid", "bits", F.explode("parts").alias("node"))
+    flagged = single.join(F.broadcast(models.select("node", "slices")), "node", "left")
+    stay = flagged.where("slices is null").select("uid", "bits", F.array("node").alias("parts"))
+    go = flagged.where("slices is not null").select("uid", "bits", "node", F.pmod(F.xxhash64("uid"), "slices").alias("slice"))
+    each = models.select("node", "w", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    moved = go.groupBy("node", "slice").cogroup(each.groupBy("node", "slice")).applyInArrow(_down(probes, grouped), MOVED_ROWS)
+    return stay.unionByName(moved)
+
+
+def _fit_node(table: pa.Table) -> pa.Table:
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")[:SAMPLE]
+    n = table.column("n")[0].as_py()
+    w = fit_router(unpack(table.column("bits").take(pa.array(order)).to_pylist()), n)
+    return pa.table({"node": table.column("node")[:1], "w": pa.array([w.tobytes()], pa.binary()), "parts": pa.array([w.shape[1]], pa.int32()), "slices": pa.array([-(-n // LANE_ROWS)], pa.int64())})
+
+
+class Tree:
+    """Routers of all levels: the weights of the root and a table of ``node, w, parts, slices`` for each level
+    below; ``index`` holds ``uid, bits, node`` of every vector at its most probable part."""
+
+    def __init__(self, uniq: DataFrame, total: int):
+        self.root: np.ndarray | None = None
+        self.levels: list[DataFrame] = []
+        if branches(total) > 1:
+            self.root = fit_router(sample(uniq, total, SAMPLE), total)
+        self.index = cut(self._start(uniq, 1, False).select("uid", "bits", F.col("parts")[0].alias("node")))
+        while self.root is not None and len(self.levels) < MOST_LEVELS:
+            # Nodes that were split hold no row any more, so that all crowded ones are new.
+            crowded = cut(self.index.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS))
+            if crowded.isEmpty():
+                break
+            picked = self.index.join(F.broadcast(crowded), "node").withColumn("h", F.xxhash64(F.lit("fit"), "uid"))
+            picked = picked.where(F.pmod("h", F.lit(1_000_000)) < F.lit(1_200_000 * SAMPLE) / F.col("n"))
+            models = cut(picked.groupBy("node").applyInArrow(_fit_node, "node long, w binary, parts int, slices long"))
+            self.levels.append(models)
+            held = self.index.select("uid", "bits", F.array("node").alias("parts"))
+            self.index = cut(descend(held, models, 1).select("uid", "bits", F.col("parts")[0].alias("node")))
+
+    def _start(self, uniq: DataFrame, probes: int, grouped: bool) -> DataFrame:
+        rows = uniq.select("uid", "bits")
+        if self.root is None:
+            return rows.withColumn("parts", F.array(F.lit(1).cast("long")))
+        return rows.mapInArrow(_from_root(self.root, probes, grouped), MOVED_ROWS)
+
+    def asked(self, uniq: DataFrame, probes: list[int]) -> DataFrame:
+        """``uid, bits, parts``: each vector at all parts it is to be searched in; the parts of a row are of one group."""
+        rows = self._start(uniq, probes[0], not self.levels)
+        for i, (models, k) in enumerate(zip(self.levels, probes[1:]), 1):
+            rows = descend(rows, models, k, i == len(self.levels))
+        return rows
+
+
 def _best(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Positions of the K best hits of each row: higher cosine first, then the smaller id."""
     order = np.lexsort((other[cols], -sims, rows))
@@ -144,126 +249,229 @@ def _best(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, other: np.ndarra
     return order[rank < K]
 
 
+def _top(sims: np.ndarray, low: float, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, col, cosine`` of at least the K best hits of each row of a block. ``cols`` must be ascending ids.
+
+    Rows with few hits give all; of a row with many the K best are chosen by whole numbers that hold the
+    rounded cosine and the column, so that a dense block costs no list of all its pairs."""
+    hit = sims >= low - 1e-5
+    n = hit.sum(1)
+    few = (n > 0) & (n <= 2 * K)
+    r, c = np.nonzero(hit & few[:, None])
+    out = [(r, c)]
+    dense = np.flatnonzero(n > 2 * K)
+    for at in range(0, len(dense), 256):
+        d = dense[at : at + 256]
+        key = np.round(sims[d].astype(np.float64), 7) * 1e7
+        # A row never is its own neighbour.
+        key = np.where(hit[d] & (rows[d][:, None] != cols), key, -1).astype(np.int64) * len(cols) - np.arange(len(cols))
+        c = np.argpartition(-key, K - 1, axis=1)[:, :K]
+        kept = np.take_along_axis(key, c, 1) >= 0
+        out.append((np.repeat(d, K)[kept.ravel()], c[kept]))
+    r, c = (np.concatenate(x) for x in zip(*out))
+    apart = rows[r] != cols[c]
+    r, c = r[apart], c[apart]
+    return r, c, np.round(sims[r, c].astype(np.float64), 7)
+
+
+HITS = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
+
+
 def _search(low: float):
+    """The K best hits of a group of parts: ``home`` rows are searched by those that ask for their part."""
+
     def run(table: pa.Table) -> pa.Table:
         uid = table.column("uid").to_numpy()
-        indexed = np.asarray(table.column("home").to_numpy(zero_copy_only=False), bool)
-        x = unit(unpack([s.encode() for s in table.column("signs").to_pylist()]))
-        xi, ui, x, uid = x[indexed], uid[indexed], x[~indexed], uid[~indexed]
+        home = np.asarray(table.column("home").to_numpy(zero_copy_only=False), bool)
+        parts = table.column("parts").combine_chunks()
+        count = np.diff(parts.offsets.to_numpy())
+        row, part = np.repeat(np.arange(len(uid)), count), parts.flatten().to_numpy()
+        order = np.lexsort((uid[row], part))
+        row, part = row[order], part[order]
+        x = vectors(table.column("bits"))
         a, b, s = [], [], []
-        for i in range(0, len(x), BLOCK):
-            ub = uid[i : i + BLOCK]
-            for j in range(0, len(xi), BLOCK):
-                uj = ui[j : j + BLOCK]
-                sims = x[i : i + BLOCK] @ xi[j : j + BLOCK].T
-                r, c = np.nonzero(sims >= low - 1e-5)
-                keep = ub[r] != uj[c]
-                r, c = r[keep], c[keep]
-                v = np.round(sims[r, c].astype(np.float64), 7)
-                for rows, cols, mine, other in ((r, c, ub, uj), (c, r, uj, ub)):
-                    best = _best(rows, cols, v, other)
-                    a.append(mine[rows[best]])
-                    b.append(other[cols[best]])
-                    s.append(v[best])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"uid": np.concatenate(a or [empty]), "other": np.concatenate(b or [empty]), "cosine": np.concatenate(s or [np.zeros(0)])})
+        for p in np.unique(part[home[row]]):
+            mine = row[np.searchsorted(part, p, "left") : np.searchsorted(part, p, "right")]
+            held, ask = mine[home[mine]], mine[~home[mine]]
+            for i in range(0, len(ask), BLOCK):
+                q = ask[i : i + BLOCK]
+                for j in range(0, len(held), BLOCK):
+                    h = held[j : j + BLOCK]
+                    sims = x[q] @ x[h].T
+                    for mine_, other, m in ((q, h, sims), (h, q, sims.T)):
+                        r, c, v = _top(m, low, uid[mine_], uid[other])
+                        a.append(uid[mine_[r]])
+                        b.append(uid[other[c]])
+                        s.append(v)
+        if not a:
+            return HITS.empty_table()
+        a, b, s = (np.concatenate(v) for v in (a, b, s))
+        # A hit of both directions, or of two parts, once.
+        once = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else np.zeros(0, int)
+        a, b, s = a[once], b[once], s[once]
+        best = _best(a, np.arange(len(a)), s, b)
+        return pa.table([a[best], b[best], s[best]], schema=HITS)
 
     return run
 
 
-def _exact(uids: np.ndarray, signs: list[str], low: float):
-    """``uid, other, cosine, signs, hits``: for each query its K best vectors of a batch and the number of all in reach."""
+def _exact(uids: np.ndarray, packed: list[bytes], low: float):
+    """``uid, other, cosine, bits, hits``: for each query its K best vectors of a batch and the number of all in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = unit(unpack([s.encode() for s in signs]))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            sims = q @ unit(unpack([s.encode() for s in batch.column(1).to_pylist()])).T
-            r, c = np.nonzero(sims >= low - 1e-5)
-            keep = uids[r] != ids[c]
-            r, c = r[keep], c[keep]
-            v = np.round(sims[r, c].astype(np.float64), 7)
-            hits = np.bincount(r, minlength=len(uids))
-            best = _best(r, c, v, ids)
-            # The number of hits is sent once a query and batch.
-            n = np.where(np.diff(r[best], prepend=-1) != 0, hits[r[best]], 0)
-            columns = [pa.array(uids[r[best]]), pa.array(ids[c[best]]), pa.array(v[best]), batch.column(1).take(pa.array(c[best])), pa.array(n)]
-            yield pa.record_batch(columns, ["uid", "other", "cosine", "signs", "hits"])
+        q = unit(unpack(packed))
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+                ids = batch.column(0).to_numpy()
+                sims = q @ vectors(batch.column(1)).T
+                hits = (sims >= low - 1e-5).sum(1) - np.isin(uids, ids)
+                r, c, v = _top(sims, low, uids, ids)
+                best = _best(r, c, v, ids)
+                r, c, v = r[best], c[best], v[best]
+                # The number of hits is sent once a query and batch.
+                n = np.where(np.diff(r, prepend=-1) != 0, hits[r], 0)
+                yield pa.record_batch([pa.array(uids[r]), pa.array(ids[c]), pa.array(v), batch.column(1).take(pa.array(c)), pa.array(n)], ["uid", "other", "cosine", "bits", "hits"])
 
     return run
 
 
-def least_probes(need: np.ndarray, hits: np.ndarray, least: int, parts: int) -> int:
-    """Probes that find ``RECALL`` of the pairs, in small families and in large ones by themselves."""
-    for group in (hits <= 2 * K, hits > 2 * K):
-        n = np.sort(need[group])
-        if len(n):
-            least = max(least, int(n[int(np.ceil(RECALL * len(n))) - 1]))
-    return min(least, parts)
-
-
-def choose_probes(uniq: DataFrame, w: np.ndarray, parts: int, low: float, least: int) -> int:
+def least_probes(need: np.ndarray, hits: np.ndarray, most: list[int]) -> list[int]:
+    """Probes of each level that find ``RECALL`` of the pairs, in small families and in large ones by themselves.
+
+    ``need`` holds, for each pair, each of its two directions and each level, the probes that find it; the
+    level that finds most for its price is widened first."""
+    groups = [g for g in (hits <= 2 * K, hits > 2 * K) if g.any()]
+    k = np.ones(need.shape[2], np.int64)
+
+    def recall(k: np.ndarray) -> np.ndarray:
+        found = (need <= k).all(2).any(1)
+        return np.array([found[g].mean() for g in groups])
+
+    while groups:
+        now = recall(k)
+        if (now >= RECALL).all():
+            break
+        options = []
+        for level in range(len(k)):
+            beyond = need[:, :, level][need[:, :, level] > k[level]]
+            if len(beyond):
+                wider = k.copy()
+                wider[level] = beyond.min()
+                options.append(((np.minimum(recall(wider), RECALL) - np.minimum(now, RECALL)).sum() / np.log(wider[level] / k[level]), -level, wider))
+        if not options:
+            break
+        best = max(options, key=lambda o: o[:2])
+        # Where no single level gains, all of them are widened.
+        k = best[2] if best[0] > 0 else np.max([o[2] for o in options], axis=0)
+    return np.minimum(k, most).tolist()
+
+
+def _needs(rows: pa.Table, models: pa.Table) -> pa.Table:
+    """The probes by which ``bits`` finds the part of ``other_bits`` below the node, and that part."""
+    shape = pa.schema([("pair", pa.int64()), ("way", pa.int32()), ("bits", pa.binary()), ("other_bits", pa.binary()), ("node", pa.int64()), ("need", pa.int64())])
+    if not rows.num_rows or not models.num_rows:
+        return shape.empty_table()
+    w = np.frombuffer(models.column("w")[0].as_py(), np.float32).reshape(-1, models.column("parts")[0].as_py())
+    home = scores(w, vectors(rows.column("other_bits"))).argmax(1)
+    need = _place_of(scores(w, vectors(rows.column("bits"))), home)
+    node = child(rows.column("node")[0].as_py(), home)
+    return pa.table([rows.column("pair"), rows.column("way"), rows.column("bits"), rows.column("other_bits"), pa.array(node), pa.array(need)], schema=shape)
+
+
+def _place_of(z: np.ndarray, home: np.ndarray) -> np.ndarray:
+    return ((z > np.take_along_axis(z, home[:, None], 1)).sum(1) + 1).astype(np.int64)
+
+
+def choose_probes(uniq: DataFrame, tree: Tree, low: float) -> list[int]:
     """Probes by recall against brute force for at most ``QUERIES`` vectors, chosen by the hash of their id."""
-    picked = uniq.select("uid", "signs").orderBy(F.xxhash64(F.lit("queries"), "uid"), "uid").limit(QUERIES).collect()
-    asked = {r["uid"]: r["signs"] for r in picked}
-    found = uniq.select("uid", "signs").mapInArrow(_exact(np.array(list(asked)), list(asked.values()), low), "uid long, other long, cosine double, signs string, hits long")
+    spark, most = uniq.sparkSession, [BRANCH] * (1 + len(tree.levels))
+    picked = uniq.select("uid", "bits").orderBy(F.xxhash64(F.lit("queries"), "uid"), "uid").limit(QUERIES).collect()
+    asked = {r["uid"]: bytes(r["bits"]) for r in picked}
+    found = uniq.select("uid", "bits").mapInArrow(_exact(np.array(list(asked), np.int64), list(asked.values()), low), "uid long, other long, cosine double, bits binary, hits long")
     best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
+    # At most K rows for each of the queries.
     found = found.withColumn("rank", F.row_number().over(best)).withColumn("hits", F.sum("hits").over(Window.partitionBy("uid"))).where(F.col("rank") <= K).collect()
     if not found:
-        return min(least, parts)
-    a, b = (unit(unpack([s.encode() for s in x])) @ w[:-1] + w[-1] for x in ([asked[r["uid"]] for r in found], [r["signs"] for r in found]))
-    # A pair is found from either side.
-    place = [(z > np.take_along_axis(z, home.argmax(1)[:, None], 1)).sum(1) + 1 for z, home in ((a, b), (b, a))]
-    return least_probes(np.minimum(*place), np.array([r["hits"] for r in found]), least, parts)
-
-
-def near_classes(uniq: DataFrame, total: int, low: float = MIN_COSINE, probes: int = PROBES) -> DataFrame:
-    """``uid, other, cosine``: the best K others of each different vector found by routed search with at least ``probes`` probes."""
-    spark = uniq.sparkSession
-    w, parts = learn(uniq, total)
-    if w is not None:
-        probes = choose_probes(uniq, w, parts, low, probes)
-    routed = cut(uniq.select("uid", "signs").mapInArrow(_route(w, probes), "uid long, signs string, parts array<int>"))
-    load = {r["part"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect()}
-    # One row for each part, at most MOST_PARTS of them.
-    table = F.broadcast(spark.createDataFrame([(p, -(-n // (2 * BLOCK))) for p, n in load.items()] or [(0, 1)], "part int, blocks int"))
-    asked = routed.select("uid", "signs", F.posexplode("parts").alias("pos", "part")).join(table, "part")
-    # A vector is indexed in one block of its first part and searched in all blocks of its parts; queries
-    # of crowded parts are spread over several tasks, too.
-    own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    lane = F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")).cast("int")
-    query = asked.select("uid", "signs", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), lane.alias("lane"), F.lit(False).alias("home"))
-    index = asked.where("pos = 0").select("uid", "signs", "part", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lane"), F.lit(True).alias("home"))
-    hits = query.unionByName(index).groupBy("part", "block", "lane").applyInArrow(_search(low), "uid long, other long, cosine double")
+        return [1] * len(most)
+    ends = [asked[r["uid"]] for r in found], [bytes(r["bits"]) for r in found]
+    z = [scores(tree.root, unit(unpack(e))) for e in ends]
+    need = np.ones((len(found), 2, len(most)), np.int64)
+    rows = []
+    for way in (0, 1):
+        home = z[1 - way].argmax(1)
+        need[:, way, 0] = _place_of(z[way], home)
+        rows += [(i, way, ends[way][i], ends[1 - way][i], n) for i, n in enumerate(child(0, home.astype(np.int64)).tolist())]
+    if tree.levels:
+        shape = "pair long, way int, bits binary, other_bits binary, node long"
+        pairs = spark.createDataFrame(rows, shape)
+        for level, models in enumerate(tree.levels, 1):
+            pairs = pairs.groupBy("node").cogroup(models.groupBy("node")).applyInArrow(_needs, f"{shape}, need long")
+            pairs = cut(pairs)
+            for r in pairs.select("pair", "way", "need").collect():
+                need[r["pair"], r["way"], level] = r["need"]
+            pairs = pairs.drop("need")
+    return least_probes(need, np.array([r["hits"] for r in found]), most)
+
+
+def near_classes(uniq: DataFrame, total: int, low: float = MIN_COSINE) -> DataFrame:
+    """``uid, other, cosine``: the best K others of each different vector found by routed search."""
+    tree = Tree(uniq, total)
+    probes = choose_probes(uniq, tree, low) if tree.root is not None else [1]
+    group = F.floor((F.col("parts")[0] - 1) / F.lit(GROUP_PARTS)).cast("long").alias("group")
+    index = tree.index.select("uid", "bits", F.array("node").alias("parts")).select("*", group)
+    asked = tree.asked(uniq, probes).select("*", group)
+    # A group is searched by about so many queries a vector it holds; they are spread over lanes. Groups that
+    # hold far more than the average have more lanes; beyond HOT_GROUPS of them the rest have larger tasks.
+    loads = cut(index.groupBy("group").agg(F.count("*").alias("n")))
+    usual = loads.agg(F.avg("n")).first()[0] or 1.0
+    each = max(1, min(int(np.prod(probes)), GROUP_PARTS ** len(probes)))
+    base = max(1, int(np.ceil(usual * each / LANE_ROWS)))
+    hot = loads.where(F.col("n") > 4 * max(usual, LANE_ROWS / each)).orderBy(F.desc("n"), "group").limit(HOT_GROUPS)
+    hot = F.broadcast(hot.select("group", F.ceil(F.col("n") * F.lit(each / LANE_ROWS)).cast("int").alias("lanes")))
+    lanes = lambda rows: rows.join(hot, "group", "left").withColumn("lanes", F.coalesce("lanes", F.lit(base)))
+    lane = F.pmod(F.xxhash64("uid"), F.col("lanes")).cast("int").alias("lane")
+    query = lanes(asked).select("uid", "bits", "parts", "group", lane, F.lit(False).alias("home"))
+    held = lanes(index).select("uid", "bits", "parts", "group", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(True).alias("home"))
+    hits = query.unionByName(held).groupBy("group", "lane").applyInArrow(_search(low), "uid long, other long, cosine double")
     best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
     return hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).drop("rank")
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bits, copies, heads`` of each batch: its smallest ids are all that a top five can use."""
+    for batch in batches:
+        held: dict[bytes, list[int]] = {}
+        for fp, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(bits, []).append(fp)
+        columns = [pa.array(list(held), pa.binary()), pa.array([len(v) for v in held.values()], pa.int64()), pa.array([sorted(v)[: K + 1] for v in held.values()], pa.list_(pa.int64()))]
+        yield pa.record_batch(columns, ["bits", "copies", "heads"])
+
+
 def classes(rows: DataFrame) -> DataFrame:
-    """``signs, uid, copies, heads``: the copies of a vector, their number and the K + 1 smallest ids."""
-    first = Window.partitionBy("signs").orderBy("fp_id")
-    heads = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= K + 1)
-    heads = heads.groupBy("signs").agg(F.min("fp_id").alias("uid"), F.array_sort(F.collect_list("fp_id")).alias("heads"))
-    return heads.join(rows.groupBy("signs").agg(F.count("*").alias("copies")), "signs")
+    """``bits, uid, copies, heads``: the copies of a vector, their number and the K + 1 smallest ids. A group
+    receives one row from each batch, at most."""
+    each = rows.mapInArrow(_heads, "bits binary, copies long, heads array<long>")
+    merged = each.groupBy("bits").agg(F.sum("copies").alias("copies"), F.slice(F.sort_array(F.flatten(F.collect_list("heads"))), 1, K + 1).alias("heads"))
+    return merged.select("bits", F.col("heads")[0].alias("uid"), "copies", "heads")
 
 
-def neighbours(fingerprints: DataFrame, low: float = MIN_COSINE, probes: int = PROBES) -> DataFrame:
+def neighbours(fingerprints: DataFrame, low: float = MIN_COSINE) -> DataFrame:
     """``fp_id, other, cosine, rank``: up to five most similar others of every row."""
     rows = cut(members(fingerprints))
     uniq = cut(classes(rows))
     total = uniq.count()
-    near = near_classes(uniq, total, low, probes)
+    near = near_classes(uniq, total, low)
     # Candidates of a class: its own heads with cosine 1 and the heads of its near classes.
-    own = uniq.select("uid", F.explode("heads").alias("other"), F.lit(1.0).alias("cosine"))
+    own = uniq.where("copies > 1").select("uid", F.explode("heads").alias("other"), F.lit(1.0).alias("cosine"))
     heads = uniq.select(F.col("uid").alias("other_uid"), F.explode(F.slice("heads", 1, K)).alias("other"))
     far = near.withColumnRenamed("other", "other_uid").join(heads, "other_uid").select("uid", "other", "cosine")
     best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "other")
     lists = own.unionByName(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K + 1)
     lists = lists.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "cosine"))).alias("list"))
-    lists = lists.join(uniq.select("uid", "signs", "copies"), "uid").select("signs", "copies", "list")
-    asked = join_grouped(rows, lists, ["signs"], "copies", rows.count())
+    lists = lists.join(uniq.select("uid", "bits", "copies"), "uid").select("bits", "copies", "list")
+    asked = join_grouped(rows, lists, ["bits"], "copies", rows.count())
     kept = F.slice(F.filter("list", lambda x: x["other"] != F.col("fp_id")), 1, K)
     out = asked.select("fp_id", F.posexplode(kept).alias("pos", "x"))
     return out.select("fp_id", F.col("x.other").alias("other"), F.col("x.cosine").alias("cosine"), (F.col("pos") + 1).cast("int").alias("rank"))

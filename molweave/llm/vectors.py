@@ -1,45 +1,73 @@
-"""Sketch vectors as classes of exact copies, packed into bits for Python workers."""
+"""Sketch vectors as classes of exact copies, packed into bits for shuffles and Python workers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 256
 MIN_COSINE = 0.6
 
 
-def usable(sketch: Column, width: int = WIDTH) -> Column:
-    """Of full width, without nulls, values +1, -1 or 0 and not all of them 0."""
-    whole = (F.size(sketch) == width) & ~F.exists(sketch, lambda x: x.isNull() | (F.abs(x) > 1))
-    return F.coalesce(sketch.isNotNull() & whole & F.exists(sketch, lambda x: x != 0), F.lit(False))
+def pack(x: np.ndarray) -> list[bytes]:
+    """Bits of the +1 of each row; where a row holds zeros, the bits of its -1 follow."""
+    plus, minus = np.packbits(x > 0, axis=1), np.packbits(x < 0, axis=1)
+    zeros = (x == 0).any(1)
+    return [p.tobytes() + m.tobytes() if z else p.tobytes() for p, m, z in zip(plus, minus, zeros)]
 
 
-def packed(sketch: Column) -> Column:
-    """Text of the signs, one letter a value; equal for equal sketches."""
-    return F.array_join(F.transform(sketch, lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
+def unpack(packed: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Rows of -1, 0, +1 as float32."""
+    size = -(-width // 8)
+    short = np.array([len(b) == size for b in packed], bool)
+    out = np.empty((len(packed), width), np.float32)
+    if short.any():
+        raw = np.frombuffer(b"".join(b for b in packed if len(b) == size), np.uint8).reshape(-1, size)
+        out[short] = np.unpackbits(raw, axis=1)[:, :width].astype(np.float32) * 2 - 1
+    if not short.all():
+        raw = np.frombuffer(b"".join(b for b in packed if len(b) != size), np.uint8).reshape(-1, 2 * size)
+        both = np.unpackbits(raw, axis=1).astype(np.float32)
+        out[~short] = both[:, :width] - both[:, size * 8 : size * 8 + width]
+    return out
 
 
-def members(fingerprints: DataFrame) -> DataFrame:
-    """``fp_id, signs`` of the rows that take part."""
-    rows = fingerprints.where(F.col("fp_id").isNotNull() & usable(F.col("sketch")))
-    return rows.select("fp_id", packed(F.col("sketch")).alias("signs"))
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
-def unpack(signs: list[bytes] | np.ndarray) -> np.ndarray:
-    """Rows of -1, 0, +1 as float32 from sign texts: '+' is 43, '-' is 45, '0' is 48."""
-    raw = np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1)
-    return (raw == 43).astype(np.float32) - (raw == 45).astype(np.float32)
+def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column of packed bits."""
+    return unit(unpack(column.to_pylist()))
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, col = batch.column(0), batch.column(1)
+        full = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(col), WIDTH), False))
+        ids, values = ids.filter(full), col.filter(full).flatten()
+        if not len(ids):
+            continue
+        known = np.asarray(values.is_valid()).reshape(-1, WIDTH)
+        x = np.asarray(pc.fill_null(values, 0)).reshape(-1, WIDTH)
+        ok = known.all(1) & ((x >= -1) & (x <= 1)).all(1) & (x != 0).any(1)
+        yield pa.record_batch([ids.filter(pa.array(ok)), pa.array(pack(x[ok]), pa.binary())], ["fp_id", "bits"])
+
+
+def members(fingerprints: DataFrame) -> DataFrame:
+    """``fp_id, bits`` of the rows that take part: of full width, without nulls, values +1, -1 or 0 and not
+    all of them 0. Equal sketches have equal bits."""
+    return fingerprints.select("fp_id", "sketch").mapInArrow(_members, "fp_id long, bits binary")
 
 
 def sample(uniq: DataFrame, total: int, bound: int) -> np.ndarray:
     """At most ``bound`` different vectors, chosen by the hash of their id; a documented bound."""
     share = min(1.0, 1.2 * bound / max(total, 1))
     picked = uniq.where(F.pmod(F.xxhash64(F.lit("sample"), "uid"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = picked.select("uid", "signs").orderBy("uid").limit(bound).collect()
-    return unpack([r["signs"].encode() for r in rows]) if rows else np.zeros((0, WIDTH), np.float32)
+    rows = picked.select("uid", "bits").orderBy(F.xxhash64(F.lit("order"), "uid"), "uid").limit(bound).collect()
+    rows.sort(key=lambda r: r["uid"])
+    return unpack([bytes(r["bits"]) for r in rows]) if rows else np.zeros((0, WIDTH), np.float32)

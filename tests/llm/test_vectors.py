@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from molweave.llm import clusters, neighbours
+from molweave.llm import clusters, neighbours, vectors
 
 PRINTS = "fp_id long, reaction_id long, sketch array<tinyint>"
 
@@ -46,54 +46,94 @@ def brute(rows):
     return lists, label
 
 
-@pytest.mark.parametrize("part_rows", [2000, 40])
+def found_lists(df):
+    got = {}
+    for r in sorted(neighbours.neighbours(df).collect(), key=lambda r: (r.fp_id, r["rank"])):
+        got.setdefault(r.fp_id, []).append(r.other)
+    return got
+
+
+def wanted_pairs(lists):
+    return {(i, j) for i, js in lists.items() for j in js}
+
+
+@pytest.mark.parametrize("part_rows", [2000, 40, 8])
 def test_neighbours(spark, monkeypatch, part_rows):
     monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
     rows = made()
     lists, _ = brute(rows)
-    got = {}
-    for r in sorted(neighbours.neighbours(spark.createDataFrame(rows, PRINTS)).collect(), key=lambda r: (r.fp_id, r["rank"])):
-        got.setdefault(r.fp_id, []).append(r.other)
-    want = {(i, j) for i, js in lists.items() for j in js}
-    have = {(i, j) for i, js in got.items() for j in js}
-    if part_rows == 2000:
-        assert have == want
-    else:
-        assert len(have & want) >= 0.9 * len(want)
+    # Every vector is among the queries that choose the probes, so that nothing is missed.
+    assert found_lists(spark.createDataFrame(rows, PRINTS)) == {i: js for i, js in lists.items() if js}
 
 
-def test_crowded_part_is_cut_into_blocks(spark, monkeypatch):
+def families(seed, n, size, flips):
+    rng = np.random.default_rng(seed)
+    centres = np.repeat(rng.choice([-1, 1], (n, 256)), size, axis=0)
+    x = centres * np.where(rng.random(centres.shape) < flips, -1, 1)
+    return [(fp, 0, v.tolist()) for fp, v in enumerate(x)]
+
+
+def test_routers_below_routers(spark, monkeypatch):
+    """Three levels of small routers, groups of two parts and several lanes, queries from a sample."""
+    for name, value in (("PART_ROWS", 8), ("BRANCH", 8), ("SPLIT_ROWS", 32), ("GROUP_PARTS", 2), ("LANE_ROWS", 100), ("QUERIES", 300), ("SAMPLE", 500)):
+        monkeypatch.setattr(neighbours, name, value)
+    rows = families(11, 300, 5, 0.09)
+    depth = []
+    make = neighbours.Tree.__init__
+
+    def noted(self, *args):
+        make(self, *args)
+        depth.append(len(self.levels))
+        # Every vector is indexed once, in a part that is small or could not be split again.
+        held = self.index.collect()
+        assert len({r.uid for r in held}) == len(held) == 1500
+
+    monkeypatch.setattr(neighbours.Tree, "__init__", noted)
+    want = wanted_pairs(brute(rows)[0])
+    have = wanted_pairs(found_lists(spark.createDataFrame(rows, PRINTS)))
+    assert depth[0] >= 2 and len(have & want) >= 0.97 * len(want)
+
+
+def test_crowded_part_is_cut_into_blocks_and_lanes(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "LANE_ROWS", 50)
     rows = made(3)
-    whole = neighbours.neighbours(spark.createDataFrame(rows, PRINTS))
-    lists, _ = brute(rows)
-    assert {(r.fp_id, r.other) for r in whole.collect()} == {(i, j) for i, js in lists.items() for j in js}
+    assert found_lists(spark.createDataFrame(rows, PRINTS)) == {i: js for i, js in brute(rows)[0].items() if js}
 
 
-def test_probes_grow_with_the_parts(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART_ROWS", 10)
-    monkeypatch.setattr(neighbours, "SAMPLE", 400)  # most families are unknown to the router
-    rng = np.random.default_rng(11)
-    centres = np.repeat(rng.choice([-1, 1], (300, 256)), 5, axis=0)
-    x = centres * np.where(rng.random(centres.shape) < 0.09, -1, 1)
-    rows = [(fp, 0, v.tolist()) for fp, v in enumerate(x)]
-    lists, _ = brute(rows)
-    want = {(i, j) for i, js in lists.items() for j in js}
-    have = {(r.fp_id, r.other) for r in neighbours.neighbours(spark.createDataFrame(rows, PRINTS)).collect()}
-    assert len(have & want) >= 0.97 * len(want)
+def test_dense_blocks_keep_the_smallest_ids():
+    rng = np.random.default_rng(1)
+    sims = rng.integers(0, 4, (40, 90)).astype(np.float32) / 4
+    rows, cols = np.arange(100, 140), np.sort(rng.choice(300, 90, replace=False))
+    r, c, v = neighbours._top(sims, 0.2, rows, cols)
+    best = neighbours._best(r, c, v, cols)
+    for i in range(40):
+        want = sorted((-sims[i, j], cols[j]) for j in range(90) if sims[i, j] >= 0.2 and cols[j] != rows[i])[:5]
+        assert [(-x, cols[j]) for k, j, x in zip(r[best], c[best], v[best]) if k == i] == want
 
 
 def test_least_probes():
-    need, hits = np.array([1] * 990 + [30] * 10 + [2] * 50 + [40] * 50), np.array([50] * 1000 + [3] * 100)
-    assert neighbours.least_probes(need, hits, 8, 256) == 40  # the few pairs of small families count by themselves
-    assert neighbours.least_probes(need[:1000], hits[:1000], 8, 256) == 8
-    assert neighbours.least_probes(need, hits, 8, 16) == 16
+    one = np.array([1] * 990 + [30] * 10 + [2] * 50 + [40] * 50)
+    need = np.stack([one, np.full(len(one), 99)], 1)[:, :, None]
+    hits = np.array([50] * 1000 + [3] * 100)
+    assert neighbours.least_probes(need, hits, [256]) == [40]  # the few pairs of small families count by themselves
+    assert neighbours.least_probes(need[:990], hits[:990], [256]) == [1]
+    assert neighbours.least_probes(need, hits, [16]) == [16]
+    two = np.stack([need[:, :, 0], np.ones_like(need[:, :, 0])], 2)
+    assert neighbours.least_probes(two, hits, [256, 256]) == [40, 1]  # only the level that misses is widened
 
 
 def test_most_parts_are_balanced():
     x = np.random.default_rng(5).choice([-1, 1], (1024, 256)).astype(np.float32) / 16
-    part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), neighbours.MOST_PARTS)
-    assert np.bincount(part, minlength=neighbours.MOST_PARTS).tolist() == [4] * neighbours.MOST_PARTS
+    part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), neighbours.BRANCH)
+    assert np.bincount(part, minlength=neighbours.BRANCH).tolist() == [4] * neighbours.BRANCH
+
+
+def test_packed_bits():
+    x = np.random.default_rng(2).choice([-1, 1], (5, 256)).astype(np.float32)
+    x[3, :7] = 0
+    packed = vectors.pack(x)
+    assert [len(b) for b in packed] == [32, 32, 32, 64, 32] and (vectors.unpack(packed) == x).all()
 
 
 def test_pairs_come_once(spark):
@@ -171,5 +211,5 @@ def test_chains_become_one_component(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], PRINTS)
     assert neighbours.neighbours(none).count() == 0 and clusters.cluster_members(none).count() == 0 and clusters.describe(none).count() == 0
-    bad = spark.createDataFrame([(1, 0, None), (2, 0, [0] * 256)], PRINTS).withColumnRenamed("reaction_id", "signs")
+    bad = spark.createDataFrame([(1, 0, None), (2, 0, [0] * 256)], PRINTS).withColumnRenamed("reaction_id", "bits")
     assert neighbours.neighbours(bad).count() == 0 and clusters.cluster_members(bad).count() == 0
