@@ -3,10 +3,13 @@
 Tokens are ordered rare first. Two sets with Jaccard similarity >= t share their first common token
 within both 1-prefixes, their first two within both 2-prefixes and so on, where the l-prefix of a set
 of n tokens has n - ceil(t n) + l tokens. A record is joined on single prefix tokens where these are
-rare; where a token's posting list is long, on combinations of two, and where these are still long, of
-three shared prefix tokens. Candidates are verified on their whole sets.
+rare; where a token's posting list is long, on combinations of two, where these are still long, of three, and
+so on up to ``MOST_SHARED``. Lists that are long even then are cut into blocks that meet block by block.
+Signatures of 128 bits rule out most candidates before they are sent anywhere; the rest is verified on the
+whole sets.
 
-Copies are collapsed first: sets are classes with members, and only different sets are compared.
+Copies are collapsed first: sets are classes with members, and only different sets are compared. Crowded
+classes are expanded in lanes of about ``LANE_ROWS`` members.
 Defined results: null and empty arrays match nothing, null tokens are dropped, repeats within an array
 count once; rows with a null id are left out; rows delivered again change nothing; a record with two
 different sets matches by either, never itself; ties cannot occur as all pairs come out.
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from molweave.session import cut, join_grouped
 
 THRESHOLD = 0.7
-LONG_LIST = 64
+LONG_LIST = 128
 FREQUENT_ROWS = 100_000
+MOST_SHARED = 5
+LANE_ROWS = 1_000
 
 
 def _as_set(tokens: Column) -> Column:
@@ -39,34 +44,45 @@ def reaction_sets(results: DataFrame, templates: DataFrame) -> DataFrame:
     return r.unionByName(t).where("size(tokens) > 0 and id is not null")
 
 
-def _size_bounds(t: float) -> Column:
-    return F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(t) - F.lit(1e-9)
+def _need(t: float) -> Column:
+    """Shared tokens of a similar pair, at least."""
+    return F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(t / (1 + t)) - F.lit(1e-9))
 
 
-def _meet(posts: DataFrame, keys: list[str], *conds: Column) -> DataFrame:
+def _may_match(t: float) -> Column:
+    """Sizes and signatures that a similar pair can have: each bit that only one of them has is a token that the
+    other lacks."""
+    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(t) - F.lit(1e-9)
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{c}")))) for c in ("s0", "s1")), F.lit(0)) <= F.col(f"{x}.n") - _need(t)
+    return sizes & lacks("a", "b") & lacks("b", "a")
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str], *conds: Column) -> DataFrame:
     """Pairs of records that share a key; at least one side must be a reaction."""
-    a, b = posts.alias("a"), posts.alias("b")
     on = (F.col("a.uid") < F.col("b.uid")) & (F.col("a.has_r") | F.col("b.has_r"))
     for k in ["family", *keys]:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     for c in conds:
         on = on & c
-    return a.join(b, on).select("a.family", F.col("a.uid").alias("uid_a"), F.col("b.uid").alias("uid_b"))
+    return a.alias("a").join(b.alias("b"), on).select("a.family", F.col("a.uid").alias("uid_a"), F.col("b.uid").alias("uid_b"))
 
 
-def _split(posts: DataFrame, keys: list[str], long_list: int) -> tuple[DataFrame, DataFrame]:
-    """Postings of short and of long lists. Only the long lists' keys are joined (AQE sizes that join)."""
-    long = posts.groupBy("family", *keys).count().where(F.col("count") > long_list).drop("count").withColumn("__long", F.lit(True))
-    flagged = posts.join(long, ["family", *keys], "left")
-    return flagged.where(F.col("__long").isNull()).drop("__long"), flagged.where(F.col("__long")).drop("__long")
+def _met_in_blocks(posts: DataFrame, *conds: Column) -> DataFrame:
+    """The same for long lists, whose first sides are spread over lanes that all second sides visit."""
+    lanes = F.ceil(F.col("posted") / F.lit(LANE_ROWS)).cast("int")
+    a = posts.withColumn("lane", F.pmod(F.xxhash64("uid"), lanes).cast("int"))
+    b = posts.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
+    return _met(a, b, ["key", "lane"], *conds)
 
 
-def _small(posts: DataFrame, keys: list[str], level: int, t: float) -> DataFrame | None:
-    """Pairs in which a record is too small to need more than ``level`` shared tokens."""
-    n = math.floor(level / t + 1e-9)
-    if all(_only_copies(x, t) for x in range(1, n + 1)):
-        return None
-    return _meet(posts.where(F.col("n") <= math.floor(n / t + 1e-9)), keys, _size_bounds(t), F.least("a.n", "b.n") <= n)
+def _split(posts: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame | None]:
+    """Postings of short and of long lists, the latter with their length ``posted``; none if no list is long."""
+    lists = cut(posts.groupBy("family", "key").agg(F.count("*").alias("posted")).where(F.col("posted") > long_list))
+    total = lists.agg(F.sum("posted")).first()[0]
+    if not total:
+        return posts, None
+    flagged = join_grouped(posts, lists, ["family", "key"], "posted", total, "left")
+    return flagged.where("posted is null").drop("posted"), flagged.where("posted is not null")
 
 
 def _only_copies(n: int, t: float) -> bool:
@@ -74,16 +90,43 @@ def _only_copies(n: int, t: float) -> bool:
     return math.ceil(t * n - 1e-9) == n and math.floor(n / t + 1e-9) == n
 
 
+def _signature(tokens: Column, word: int) -> Column:
+    """One of two words of 64 bits: each token sets one bit of the 128."""
+
+    def bit(x: Column) -> Column:
+        place = F.pmod(F.xxhash64(x), F.lit(128)).cast("int")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
+        return F.when((place >= 64) == F.lit(bool(word)), one).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``family, uid, tokens, n, has_r, copies`` of the different sets, and ``family, uid, src, id``."""
     named = sets.withColumn("uid", F.unhex(F.md5(F.array_join(F.col("tokens").cast("array<string>"), ","))))
     members = named.select("family", "uid", "src", "id").distinct()
-    uniq = named.groupBy("family", "uid").agg(F.first("tokens").alias("tokens"), F.max(F.col("src") == "r").alias("has_r"))
+    uniq = named.groupBy("family", "uid").agg(F.first("tokens").alias("tokens"), F.max(F.col("src") == "r").alias("has_r"), F.count("*").alias("copies"))
     return uniq.withColumn("n", F.size("tokens")), members
 
 
+def _posts(live: DataFrame, t: float) -> DataFrame:
+    """``family, uid, has_r, n, s0, s1, p1, prefix``: signatures, and the first tokens in rare-first order, as
+    many as the deepest level needs; ``p1`` of them are the 1-prefix."""
+    posts = live.select("family", "uid", F.explode("tokens").alias("token"))
+    df = cut(posts.groupBy("family", "token").agg(F.count("*").alias("df")).where("df > 1"))
+    total = df.agg(F.sum("df")).first()[0] or 0
+    # At most FREQUENT_ROWS tokens can reach this frequency, so their table may be broadcast.
+    frequent = df.where(F.col("df") >= max(4, total // FREQUENT_ROWS))
+    entry = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h"), "token")
+    ranked = posts.join(F.broadcast(frequent), ["family", "token"], "left").groupBy("family", "uid").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["token"]).alias("ordered"))
+    n = F.size("ordered")
+    p1 = (n - F.ceil(n * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
+    ranked = ranked.join(live.select("family", "uid", "has_r"), ["family", "uid"])
+    return ranked.select("family", "uid", "has_r", n.alias("n"), _signature(F.col("ordered"), 0).alias("s0"), _signature(F.col("ordered"), 1).alias("s1"), p1.alias("p1"), F.slice("ordered", F.lit(1), p1 + MOST_SHARED - 1).alias("prefix"))
+
+
 def similar_classes(uniq: DataFrame, t: float = THRESHOLD, long_list: int = LONG_LIST) -> DataFrame:
-    """``family, uid_a, uid_b, similarity`` of all different sets with Jaccard similarity >= t.
+    """``family, uid_a, uid_b, similarity, copies_a, copies_b`` of all different sets with Jaccard similarity >= t.
 
     ``uniq`` is read several times: pass it with its lineage cut.
     """
@@ -91,46 +134,43 @@ def similar_classes(uniq: DataFrame, t: float = THRESHOLD, long_list: int = LONG
         raise ValueError("the threshold must be in (0, 1]")
     alone = F.array(*[F.lit(n) for n in range(1, 64) if _only_copies(n, t)] or [F.lit(0)])
     live = uniq.where(~F.array_contains(alone, F.col("n"))) if t < 1 else uniq.where(F.lit(False))
-    posts = live.select("family", "uid", F.explode("tokens").alias("token"))
-    df = posts.groupBy("family", "token").agg(F.count("*").alias("df"))
-    df = cut(df.where("df > 1"))
-    total = df.agg(F.sum("df")).first()[0] or 0
-    # At most FREQUENT_ROWS tokens can reach this frequency, so their table may be broadcast.
-    frequent = df.where(F.col("df") >= max(4, total // FREQUENT_ROWS))
-    ranked = posts.join(F.broadcast(frequent), ["family", "token"], "left").groupBy("family", "uid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h"), "token"))), lambda x: x["token"]).alias("ordered")
-    )
-    n = F.size("ordered")
-    p1 = (n - F.ceil(n * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
-    flags = live.select("family", "uid", "has_r")
-    ranked = cut(ranked.join(flags, ["family", "uid"]).select("family", "uid", "has_r", n.alias("n"), p1.alias("p1"), F.slice("ordered", F.lit(1), p1 + 2).alias("prefix")))
-    one = ranked.select("family", "uid", "has_r", "n", "p1", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("p1"))).alias("pos", "k1"))
-    short1, long1 = _split(one, ["k1"], long_list)
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(t / (1 + t)) - F.lit(1e-9))
-    left = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    found = [_meet(short1.drop("prefix"), ["k1"], _size_bounds(t), left >= need), _small(long1.drop("prefix"), ["k1"], 1, t)]
-
-    others = F.filter(F.slice("prefix", F.lit(1), F.col("p1") + 1), lambda x: x != F.col("k1"))
-    two = long1.select("family", "uid", "has_r", "n", "p1", "prefix", "k1", F.explode(others).alias("x"))
-    two = two.select("family", "uid", "has_r", "n", "prefix", F.least("k1", "x").alias("k1"), F.greatest("k1", "x").alias("k2"))
-    short2, long2 = _split(two, ["k1", "k2"], long_list)
-    found += [_meet(short2.drop("prefix"), ["k1", "k2"], _size_bounds(t)), _small(long2.drop("prefix"), ["k1", "k2"], 2, t)]
-
-    others = F.filter("prefix", lambda x: (x != F.col("k1")) & (x != F.col("k2")))
-    three = long2.withColumn("x", F.explode(others)).select("family", "uid", "has_r", "n", F.array_sort(F.array("k1", "k2", "x")).alias("k"))
-    three = three.select("family", "uid", "has_r", "n", F.col("k")[0].alias("k1"), F.col("k")[1].alias("k2"), F.col("k")[2].alias("k3")).distinct()
-    found.append(_meet(three, ["k1", "k2", "k3"], _size_bounds(t)))
-
-    candidates = None
-    for f in found:
-        if f is not None:
-            candidates = f if candidates is None else candidates.unionByName(f)
+    base = ["family", "uid", "has_r", "n", "s0", "s1"]
+    start = F.posexplode(F.slice("prefix", F.lit(1), F.col("p1"))).alias("pos", "x")
+    posts = cut(_posts(live, t)).select(*base, "p1", "prefix", start).withColumn("held", F.array("x")).withColumn("key", F.xxhash64("x")).drop("x")
+    # The tokens behind the first shared one must be enough, as it is the first of both.
+    behind = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
+    conds, found = [_may_match(t), behind >= _need(t)], []
+    for level in range(1, MOST_SHARED + 1):
+        short, long = _split(posts, long_list)
+        slim = [*base, "key", *(["pos"] if level == 1 else [])]
+        found.append(_met(short.select(*slim), short.select(*slim), ["key"], *conds))
+        if long is None:
+            break
+        if level == MOST_SHARED:
+            found.append(_met_in_blocks(long.select(*slim, "posted"), *conds))
+            break
+        # Records too small to share more tokens than this meet here.
+        n = math.floor(level / t + 1e-9)
+        if not all(_only_copies(x, t) for x in range(1, n + 1)):
+            small = long.where(F.col("n") <= math.floor(n / t + 1e-9)).select(*slim, "posted")
+            found.append(_met_in_blocks(small, *conds, F.least("a.n", "b.n") <= n))
+        conds = [_may_match(t)]
+        others = F.filter(F.slice("prefix", F.lit(1), F.col("p1") + level), lambda x: ~F.array_contains("held", x))
+        more = long.withColumn("x", F.explode(others)).withColumn("held", F.sort_array(F.concat("held", F.array("x"))))
+        # A combination can come from each of its tokens whose list is long. Different combinations with the same
+        # key only make candidates.
+        posts = cut(more.withColumn("key", F.xxhash64("held")).dropDuplicates(["family", "uid", "key"]).select(*base, "p1", "prefix", "held", "key"))
+
+    candidates = found[0]
+    for f in found[1:]:
+        candidates = candidates.unionByName(f)
     candidates = candidates.distinct()
-    a = uniq.select("family", F.col("uid").alias("uid_a"), F.col("tokens").alias("x"))
-    b = uniq.select("family", F.col("uid").alias("uid_b"), F.col("tokens").alias("y"))
+    a = uniq.select("family", F.col("uid").alias("uid_a"), F.col("tokens").alias("x"), F.col("copies").alias("copies_a"))
+    b = uniq.select("family", F.col("uid").alias("uid_b"), F.col("tokens").alias("y"), F.col("copies").alias("copies_b"))
     both = F.size(F.array_intersect("x", "y"))
-    pairs = candidates.join(a, ["family", "uid_a"]).join(b, ["family", "uid_b"]).withColumn("similarity", both / (F.size("x") + F.size("y") - both))
-    return pairs.where(F.col("similarity") >= t).select("family", "uid_a", "uid_b", "similarity")
+    pairs = candidates.join(a, ["family", "uid_a"]).join(b, ["family", "uid_b"]).withColumn("both", both)
+    pairs = pairs.withColumn("similarity", F.col("both") / (F.size("x") + F.size("y") - F.col("both")))
+    return pairs.where(F.col("similarity") >= t).select("family", "uid_a", "uid_b", "similarity", "copies_a", "copies_b")
 
 
 def _prepared(results: DataFrame, templates: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,14 +179,23 @@ def _prepared(results: DataFrame, templates: DataFrame, t: float) -> tuple[DataF
     return uniq, members, similar_classes(uniq, t)
 
 
+def _lanes(copies: str) -> Column:
+    return F.ceil(F.col(copies) / F.lit(LANE_ROWS)).cast("int")
+
+
 def similar_pairs(results: DataFrame, templates: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """``field, id_a, id_b, similarity``: every pair of records, copies included, once per field."""
-    _, members, pairs = _prepared(results, templates, t)
-    twins = members.groupBy("family", "uid").count().where("count > 1")
-    pairs = pairs.unionByName(twins.select("family", F.col("uid").alias("uid_a"), F.col("uid").alias("uid_b"), F.lit(1.0).alias("similarity")))
-    a = members.select("family", F.col("uid").alias("uid_a"), F.col("src").alias("src_a"), F.col("id").alias("a"))
-    b = members.select("family", F.col("uid").alias("uid_b"), F.col("src").alias("src_b"), F.col("id").alias("b"))
-    rows = pairs.join(a, ["family", "uid_a"]).join(b, ["family", "uid_b"])
+    uniq, members, pairs = _prepared(results, templates, t)
+    twins = uniq.where("copies > 1").select("family", F.col("uid").alias("uid_a"), F.col("uid").alias("uid_b"), F.lit(1.0).alias("similarity"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
+    pairs = pairs.unionByName(twins)
+    sizes = uniq.where("copies > 1").select("family", "uid", "copies")
+    total = sizes.agg(F.sum("copies")).first()[0] or 0
+    lane = F.coalesce(F.pmod(F.xxhash64("id", "src"), _lanes("copies")), F.lit(0)).cast("int").alias("lane")
+    members = join_grouped(members, sizes, ["family", "uid"], "copies", total, "left").select("family", "uid", "src", "id", lane)
+    for end, name in (("a", "a"), ("b", "b")):
+        side = members.select("family", F.col("uid").alias(f"uid_{end}"), F.col("src").alias(f"src_{end}"), F.col("id").alias(name), "lane")
+        pairs = pairs.withColumn("lane", F.explode(F.sequence(F.lit(0), _lanes(f"copies_{end}") - 1))).join(side, ["family", f"uid_{end}", "lane"]).drop("lane")
+    rows = pairs
     cross = F.col("src_a") != F.col("src_b")
     twin = F.col("uid_a") == F.col("uid_b")
     rows = rows.where((cross & ~(twin & (F.col("src_a") == "r"))) | (~cross & (F.col("src_a") == "r") & ((~twin & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b")))))

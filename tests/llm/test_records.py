@@ -101,6 +101,21 @@ def test_similar_sets_equal_brute_force(spark, t, long_list, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == brute_pairs(rows, templates, t)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_boilerplate_in_all_sets(spark, monkeypatch, small):
+    """Six tokens in every set, so that lists stay long at all levels; classes with many copies."""
+    monkeypatch.setattr(setjoin, "LANE_ROWS", 7)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(90):
+        x = [*range(6), *rnd.sample(range(100, 112), rnd.randint(0, 2) if small else rnd.randint(1, 5))]
+        rows.append((i, "delta", x, [1] if i % 2 else [2, 3, 4], list(range(i % 3, 9))))
+    templates = [(1, list(range(9))), (2, [*range(6), 100])]
+    monkeypatch.setattr(setjoin.similar_classes, "__defaults__", (0.7, 2))
+    found = [(r.field, r.id_a, r.id_b) for r in setjoin.similar_pairs(spark.createDataFrame(rows, RESULTS), spark.createDataFrame(templates, TEMPLATES)).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_pairs(rows, templates, 0.7)
+
+
 def test_links_count_other_sets_once(spark):
     x = list(range(10))
     rows = [(1, "delta", x, x, x), (2, "delta", x, x, x), (3, "delta", [*x, 11], [50], []), (4, "delta", [99], None, None)]
