@@ -134,7 +134,8 @@ def test_threshold_is_checked(spark):
 
 
 def test_term_counts_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(terms, "FLUSH_ROWS", 500)  # several subtries a worker
+    for name, value in (("ADD_ROWS", 300), ("FLUSH_TERMS", 100), ("CONTAINER", 8)):  # several tries a worker, deep ones
+        monkeypatch.setattr(terms, name, value)
     rnd = random.Random(1)
     big = [rnd.randrange(1 << 60) for _ in range(300)] + [-5, -(1 << 62), (1 << 63) - 1]
     results = [(i, "delta" if i % 7 else "union", [rnd.choice(big) if rnd.random() < 0.5 else 5 for _ in range(rnd.randint(1, 30))], [1], [1]) for i in range(200)]
@@ -161,21 +162,39 @@ def test_terms_empty(spark):
     assert terms.term_counts(spark.createDataFrame([], RESULTS), spark.createDataFrame([], DELTAS)).count() == 0
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, (1 << 60) - 1), min_size=1, max_size=200))
-def test_routes_cover_every_token(tokens):
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, (1 << 60) - 1), st.integers(0, 40), st.integers(-(1 << 63), (1 << 63) - 1)), min_size=1, max_size=200), st.sampled_from([1, 3, 4096]))
+def test_tries_count_every_token(tokens, container):
     import numpy as np
-
-    starts = np.array([0, 1 << 55, 1 << 58])
-    table = {"f": starts}
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array(["f"] * len(tokens)), pa.array(tokens, pa.int64()), pa.array([1] * len(tokens), pa.int64())], ["field", "token", "n"])
-    counted = Counter()
-    for out in terms._subtries(table)(iter([batch])):
-        merged = terms._merge(pa.table(out))
-        counted.update(dict(zip(merged.column("token").to_pylist(), merged.column("occurrences").to_pylist())))
-    assert counted == Counter(tokens)
+    old, terms.CONTAINER = terms.CONTAINER, container
+    try:
+        batch = pa.record_batch([pa.array(["f"] * len(tokens)), pa.array(tokens, pa.int64()), pa.array([1 << 55] * len(tokens), pa.int64())], ["field", "token", "n"])
+        counted = Counter()
+        for out in terms._subtries({"f": np.array([0, 1 << 55, 1 << 58])})(iter([batch])):
+            merged = terms._merge(pa.Table.from_batches([out]))
+            counted.update(dict(zip(merged.column("token").to_pylist(), merged.column("records").to_pylist())))
+            assert all(n == r << 55 for n, r in zip(merged.column("occurrences").to_pylist(), merged.column("records").to_pylist()) if r < 100)
+        assert counted == Counter(tokens)
+    finally:
+        terms.CONTAINER = old
+
+
+def test_containers_burst(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(terms, "CONTAINER", 50)
+    trie, rnd = terms.BurstTrie(), random.Random(3)
+    want = Counter()
+    for _ in range(20):
+        new = sorted({rnd.choice([rnd.randrange(300), rnd.randrange(1 << 60), rnd.randrange(1 << 20)]) for _ in range(100)})
+        trie.add(np.array(new), np.full(len(new), 2), np.ones(len(new), np.int64))
+        want.update(new)
+    parts = list(trie.containers())
+    tokens = np.concatenate([p[0] for p in parts])
+    assert (np.diff(tokens) > 0).all() and dict(zip(tokens.tolist(), np.concatenate([p[2] for p in parts]).tolist())) == want
+    assert max(len(p[0]) for p in parts) <= 50 and trie.terms == len(want) and max(d for d, _ in trie.inner) >= 12
 
 
 def test_long_awkward_strings(spark):
@@ -186,7 +205,7 @@ def test_long_awkward_strings(spark):
 
 def test_routes_burst_below_the_census(spark):
     tokens = [*range(3000), *(k << 50 for k in range(1, 100))]
-    rows = spark.createDataFrame([("delta", 1, t, 1) for t in tokens], "field string, record long, token long, n long")
+    rows = spark.createDataFrame([("delta", t) for t in tokens], "field string, token long")
     starts = terms.routes(rows, 4)["delta"].tolist()
     assert starts == sorted(set(starts)) and starts[0] == 0
     held = [sum(a <= t < b for t in tokens) for a, b in zip(starts, [*starts[1:], 1 << 60])]
