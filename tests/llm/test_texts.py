@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -147,17 +148,41 @@ def test_mix_empty(spark):
     assert mixing.shares(none, targets).first().actual_share == 0.0
 
 
+STARTS = frozenset(["the", "am", "both"])
+
+
 def test_sentences():
-    got = subjects.split_sentences("<p>Run 7 differed only in reflux.</p><p>- the ester was isolated The table on sheet 3 is new.</p>\n- das Diol fiel aus Am Tag 3 ging es um X.")
+    got = subjects.split_sentences("<p>Run 7 differed only in reflux.</p><p>- the ester was isolated The table on sheet 3 is new.</p>\n- das Diol fiel aus Am Tag 3 ging es um X.", STARTS)
     assert got == ["run differed only in reflux", "the ester was isolated", "the table on sheet is new", "das diol fiel aus", "am tag ging es um x"]
     assert subjects.split_sentences("String: CC(C)O&gt;&gt;CC=O. Next one!") == ["string rxnstring", "next one"] and subjects.split_sentences("12 34.") == []
     assert subjects.split_sentences("As recorded: CC(C) → C[C@H]O Both the cells failed.")[-1] == "both the cells failed"
-    for text in ("x" * 1_000_000, " " * 1_000_000, "<" * 300_000, "- a " * 200_000, "a. " * 200_000, "=" * 1_000_000):
-        subjects.split_sentences(text)
+    assert subjects.split_sentences(f"<img alt='{'x' * 500}' src=a>One.<br/>Two <b>three</b>. If a <b c or d> e") == ["one", "two", "three", "if a", "e"]
+    assert subjects.split_sentences(f"<p class='{'x' * 500}' id=a hidden>One.<br/>Two") == ["one", "two"]
+    for text in ("x" * 1_000_000, " " * 1_000_000, "<" * 300_000, "<a " * 300_000, "<a b=" * 100_000, "- a " * 200_000, "a. " * 200_000, "=" * 1_000_000):
+        subjects.split_sentences(text, STARTS)
+
+
+def test_openers(spark):
+    texts = ["Das Diol fiel aus. Das Salz blieb. Ein Diol ging.", "Am Tag 3 fiel das Diol aus. Am Ende war das Salz da.", "- das Salz Am Tag 4", "SHOUTED TEXT. SHOUTED AGAIN."] * 5
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert subjects.openers(df) == {"das", "am", "ein"}
+
+
+def test_languages_are_found(rng=7):
+    rnd = random.Random(rng)
+    frequent = {lang: [f"{lang}{i}" for i in range(12)] for lang in "uvwxy"}
+    words = sorted(w for v in frequent.values() for w in v) + [f"topic{i}" for i in range(200)]
+    number = {w: i for i, w in enumerate(words)}
+    said = [rnd.choice("uuuuvvwxy") for _ in range(600)]
+    docs = [sorted({number[w] for w in rnd.sample(frequent[lang], 9)} | {number[f"topic{rnd.randrange(200)}"] for _ in range(12)}) for lang in said]
+    marks = subjects.Space.frequent(docs)
+    centres = subjects.languages(marks)
+    spoken = (marks @ centres.T).argmax(1)
+    assert len(centres) == 5 and len({(a, b) for a, b in zip(said, spoken)}) == 5
 
 
 def test_subjects(spark):
-    """Two languages, three subjects, labels of a tenth of the documents, some of them wrong."""
+    """Three languages, three subjects, labels of a tenth of the documents, some of them wrong."""
     rnd = random.Random(7)
     words = {
         1: (["ester", "amide", "lactam", "enone"], ["distilled", "washed", "isolated"]),
@@ -165,18 +190,20 @@ def test_subjects(spark):
         3: (["goalkeeper", "sprinter", "relay", "coach"], ["scored", "won", "equalised"]),
     }
     german = {s: ([w[::-1] for w in a], [w[::-1] for w in b]) for s, (a, b) in words.items()}
+    invented = {s: ([f"za{w[::-1]}" for w in b], [f"qu{w[::-1]}" for w in a]) for s, (a, b) in words.items()}
     filler = ["This note replaces number {}.", "See entry {} for details."]
     rows, truth, labels = [], {}, []
-    for i in range(900):
-        table, say = (words, "Once the {} was {}, it came up again in run {}.") if i % 4 else (german, "Das {} wurde am Tag {} und der Rest ging um {}.")
+    for i in range(1200):
+        # The third language is invented: none of its words can be known.
+        table, say = [(german, "Das {} wurde am Tag {} und der Rest ging um {}."), (words, "Once the {} was {}, it came up again in run {}."), (words, "Once the {} was {}, and this came up again in run {}."), (invented, "Ku {} vel {} ra omi nat shu {} el.")][i % 4]
         mine = rnd.choice([[1], [2], [3], [1, 2], [2, 3]])
         said = [rnd.choice(mine) for _ in range(rnd.randint(3, 9))]
         body = [say.format(rnd.choice(table[s][0]), rnd.choice(table[s][1]), rnd.randint(1, 99)) for s in said]
-        if i % 4:
+        if i % 4 in (1, 2):
             body.insert(rnd.randint(0, len(body)), rnd.choice(filler).format(rnd.randint(1, 99)))
         rows.append((i, " ".join(body), None, None))
         truth[i] = {s for s in set(said) if 4 * said.count(s) >= len(said)}
-        if i % 6 == 0:
+        if rnd.random() < 0.17:
             labels.append((i, rnd.choice(sorted(truth[i])) if rnd.random() > 0.1 else rnd.randint(1, 3), "r"))
     rows += [(9000, None, None, None), (9001, "   ", None, None), (9002, "This note replaces number 5.", None, None)]
     docs = spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "leaf")
@@ -200,23 +227,52 @@ def test_subjects_empty(spark):
     assert subjects.assigned_subjects(one, labels, names.limit(0)).count() == 0
 
 
-def test_long_repetition_drops_no_terms(spark, monkeypatch):
-    monkeypatch.setattr(subjects, "FREQUENT_TERMS", 10)
-    said = [["der ofen"] * 500 + ["mässiger druck"] * 4 + ["selten"] * 3]
-    docs = spark.createDataFrame([(s, 1) for s in said], "sentences array<string>, language int")
-    assert subjects.vocabulary(docs) == ["1der", "1der ofen", "1druck", "1mässiger", "1mässiger druck", "1ofen"]
-    monkeypatch.setattr(subjects, "FREQUENT_TERMS", 3)
-    assert subjects.vocabulary(docs) == ["1der", "1der ofen", "1ofen"]
+def test_term_mixtures(spark, monkeypatch):
+    rows = [("1der", 0, 500), ("1ofen", 0, 3), ("1ofen", 1, 1), ("1selten", 0, 3), ("1rot", -1, 7), ("1rot", 1, 1)]
+    counts = spark.createDataFrame(rows, "key string, leaf int, n0 long")
+    mix = np.array([[0.75, 0.25], [0.0, 1.0]])
+    terms, by = subjects.term_mixtures(counts, mix)
+    assert terms == ["1der", "1ofen", "1rot"] and by.tolist() == [[375, 125, 0], [2.25, 1.75, 0], [0, 1, 7]]
+    monkeypatch.setattr(subjects, "FREQUENT_TERMS", 2)
+    assert subjects.term_mixtures(counts, mix)[0] == ["1der", "1rot"]
+
+
+def test_mixed_leaves_are_unmixed():
+    """Terms of three subjects in leaves of one or two subjects; the first guess knows half of the pure leaves."""
+    rng = np.random.default_rng(4)
+    rates = np.kron(np.eye(3), np.full((10, 1), 0.1))
+    true = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1], [0.5, 0.5, 0], [0.3, 0, 0.7], [0, 0.6, 0.4], [1, 0, 0], [0, 1, 0]])
+    held = rng.poisson(rates @ true.T * 2000).astype(float)
+    first = np.where(np.arange(8)[:, None] < 3, true * 0.9 + 0.033, 1 / 3)
+    mix, counts = subjects.unmixed(held, held @ first, first)
+    assert np.abs(mix - true).max() < 0.15 and (counts.argmax(1) == np.repeat(np.arange(3), 10)).all()
+
+
+def packs_of(spark, docs):
+    rows = [([d], subjects.zlib.compress("\n".join(said).encode()), [leaf]) for d, (leaf, said) in enumerate(docs)]
+    return spark.createDataFrame(rows, subjects.PACKS + ", leaves array<int>")
 
 
 def test_long_and_rarer_wordings_can_be_fillers(spark, monkeypatch):
     monkeypatch.setattr(subjects, "FREQUENT_WORDINGS", 30)
     long, rare, own = "wir danken " * 40, "ohne gewähr", "nur hier"
-    rows = [(leaf, 1, [long] * 30 + [rare] * 5 + [own] * 200 * (leaf == 3) + [f"satz {leaf}"] * 300) for leaf in range(8)]
-    body = spark.createDataFrame(rows, "leaf int, language int, sentences array<string>")
-    assert subjects.filler_wordings(body, 4) == {subjects.wording(long), rare}
-    coded = next(subjects._code([], {subjects.wording(long)})(iter([pa.record_batch([[1], [0], [[long, long + "x"]], [1]], ["doc_id", "leaf", "sentences", "language"])])))
-    assert coded.column("fill").to_pylist() == [[True, False]]
+    docs = [(leaf, [long] * 30 + [rare] * 5 + [own] * 200 * (leaf == 3) + [f"satz {leaf}"] * 300) for leaf in range(8)]
+    packs = packs_of(spark, docs)
+    found = subjects.filler_wordings(subjects._summed(packs, subjects._by_leaf({"satz"})), [0] * 8, 4)
+    assert found == {subjects.wording(long), rare}
+    terms = {(r.key, r.leaf): r.n0 for r in subjects._summed(packs, subjects._leaf_terms([0] * 8, found)).collect()}
+    assert terms["0gewähr", -1] == 40 and terms["0satz 3" if ("0satz 3", 3) in terms else "0satz", 3] == 300 and ("0gewähr", 3) not in terms
+
+
+def test_packs_keep_every_document(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "PACK_DOCUMENTS", 3)
+    monkeypatch.setattr(subjects, "PACK_LETTERS", 50)
+    texts = [(i, "Ab cd. " * i) for i in range(40)] + [(90, "12."), (91, "x" * 500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {}
+    for r in df.mapInArrow(subjects._packed(frozenset()), subjects.PACKS).collect():
+        got |= dict(zip(r.ids, next(subjects.unpacked([pa.scalar(bytes(r.pack), pa.binary())]))))
+    assert got == {i: ["ab cd"] * i for i in range(40)} | {90: [], 91: ["x" * 500]}
 
 
 def test_single_document(spark):
