@@ -229,7 +229,7 @@ def test_subjects_empty(spark):
 
 def test_term_mixtures(spark, monkeypatch):
     rows = [("1der", 0, 500), ("1ofen", 0, 3), ("1ofen", 1, 1), ("1selten", 0, 3), ("1rot", -1, 7), ("1rot", 1, 1)]
-    counts = spark.createDataFrame(rows, "key string, leaf int, n0 long")
+    counts = spark.createDataFrame(rows, "key string, leaf int, n long")
     mix = np.array([[0.75, 0.25], [0.0, 1.0]])
     terms, by = subjects.term_mixtures(counts, mix)
     assert terms == ["1der", "1ofen", "1rot"] and by.tolist() == [[375, 125, 0], [2.25, 1.75, 0], [0, 1, 7]]
@@ -255,12 +255,12 @@ def packs_of(spark, docs):
 
 def test_long_and_rarer_wordings_can_be_fillers(spark, monkeypatch):
     monkeypatch.setattr(subjects, "FREQUENT_WORDINGS", 30)
-    long, rare, own = "wir danken " * 40, "ohne gewähr", "nur hier"
+    long, rare, own = ("wir danken " * 40).strip(), "ohne gewähr", "nur hier"
     docs = [(leaf, [long] * 30 + [rare] * 5 + [own] * 200 * (leaf == 3) + [f"satz {leaf}"] * 300) for leaf in range(8)]
     packs = packs_of(spark, docs)
-    found = subjects.filler_wordings(subjects._summed(packs, subjects._by_leaf({"satz"})), [0] * 8, 4)
-    assert found == {subjects.wording(long), rare}
-    terms = {(r.key, r.leaf): r.n0 for r in subjects._summed(packs, subjects._leaf_terms([0] * 8, found)).collect()}
+    found = subjects.filler_wordings(subjects._summed(packs, subjects._wordings, "long"), [0] * 8, 4)
+    assert found == {subjects.wording(long), subjects.wording(rare)}
+    terms = {(r.key, r.leaf): r.n for r in subjects._summed(packs, subjects._leaf_terms([0] * 8, found)).collect()}
     assert terms["0gewähr", -1] == 40 and terms["0satz 3" if ("0satz 3", 3) in terms else "0satz", 3] == 300 and ("0gewähr", 3) not in terms
 
 
