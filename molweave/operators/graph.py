@@ -115,14 +115,18 @@ def inner_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ego_nodes(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
-    """``graph_id, center, node_id, hop``: the nodes within ``radius`` bonds of each node."""
-    ways = directed(inner_edges(nodes, edges).select("graph_id", "u", "v"))
-    reach = clean_nodes(nodes).select("graph_id", F.col("node_id").alias("center"), "node_id", F.lit(0).alias("hop"))
-    for k in range(radius):
-        edge = reach.where(F.col("hop") == k).join(ways, (reach.graph_id == ways.graph_id) & (reach.node_id == ways.src))
-        step = edge.select(reach.graph_id, "center", F.col("dst").alias("node_id"), F.lit(k + 1).alias("hop"))
-        reach = reach.unionByName(step).groupBy("graph_id", "center", "node_id").agg(F.min("hop").alias("hop"))
-    return reach
+    """``graph_id, center, node_id, hop``: the nodes within ``radius`` bonds of each node.
+
+    Each hop extends the last ring only, so that the plan grows by one join a hop; a ring may hold nodes of
+    earlier ones, which keep their smaller hop in the one aggregation at the end."""
+    ways = directed(inner_edges(nodes, edges).where("u <> v").select("graph_id", "u", "v"))
+    ring = clean_nodes(nodes).select("graph_id", F.col("node_id").alias("center"), "node_id")
+    rings = ring.withColumn("hop", F.lit(0))
+    for k in range(1, radius + 1):
+        step = ring.withColumnRenamed("node_id", "src").join(ways, ["graph_id", "src"])
+        ring = step.select("graph_id", "center", F.col("dst").alias("node_id")).where("node_id <> center").distinct()
+        rings = rings.unionByName(ring.withColumn("hop", F.lit(k)))
+    return rings.groupBy("graph_id", "center", "node_id").agg(F.min("hop").alias("hop"))
 
 
 def ego_edges(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:

@@ -1,17 +1,25 @@
 """Similarities of sketches and token sets, as column expressions and as searches.
 
 A search takes the queries of a stated set (every reaction whose id is divisible by 100) against all
-rows. Token searches join queries and rows on shared tokens; sketch searches compare blocks: rows are
-spread by hash, queries go to every block. Ties are broken by the smaller id.
+rows. Token searches join queries and rows on shared tokens; sketch searches compare blocks of queries
+with blocks of rows. Ties are broken by the smaller id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from molweave.session import cut, join_lanes, shuffle_parts
+
 QUERY_STEP = 100
+GRID_ROWS = 50_000
+GRID_QUERIES = 2_000
 
 
 def tanimoto(a: Column, b: Column) -> Column:
@@ -49,40 +57,107 @@ def weighted_search(deltas: DataFrame, step: int = QUERY_STEP, normalize: bool =
     """``query_id, reaction_id, weighted_jaccard, cosine`` of signed weights for all pairs that share a token.
 
     Sum of minima over sum of maxima of both channels, and cosine, in whole numbers up to one division.
-    With ``normalize`` each side is first divided by the sum of its absolute weights."""
-    w = deltas.where("delta <> 0 and token is not null").select("reaction_id", "token", "delta")
+    With ``normalize`` each side is first divided by the sum of its absolute weights. Tokens that many reactions
+    hold are spread over lanes, which their queries visit one by one."""
+    w = cut(deltas.where("delta <> 0 and token is not null and reaction_id is not null").select("reaction_id", "token", "delta"))
     norms = w.groupBy("reaction_id").agg(F.sum(F.abs("delta")).alias("l1"), F.sum(F.col("delta") * F.col("delta")).alias("l2"))
     scaled = w.join(norms.select("reaction_id", "l1"), "reaction_id") if normalize else w.withColumn("l1", F.lit(1).cast("bigint"))
     q = queries_of(scaled, step).select(F.col("reaction_id").alias("query_id"), "token", F.col("delta").alias("q"), F.col("l1").alias("ql"))
     same = F.signum("q") == F.signum("delta")
     low = F.when(same, F.least(F.abs("q") * F.col("l1"), F.abs("delta") * F.col("ql"))).otherwise(0)
-    met = q.join(scaled, "token").where("query_id <> reaction_id").groupBy("query_id", "reaction_id").agg(F.sum(low).alias("low"), F.sum(F.col("q") * F.col("delta")).alias("dot"))
+    met = join_lanes(scaled, q, "token", "reaction_id", w.count())
+    met = met.where("query_id <> reaction_id").groupBy("query_id", "reaction_id").agg(F.sum(low).alias("low"), F.sum(F.col("q") * F.col("delta")).alias("dot"))
     qn = queries_of(norms, step).select(F.col("reaction_id").alias("query_id"), F.col("l1").alias("ql1"), F.col("l2").alias("ql2"))
     met = met.join(qn, "query_id").join(norms, "reaction_id")
     both = F.col("ql1") * F.col("l1") * 2 if normalize else F.col("ql1") + F.col("l1")
     return met.select("query_id", "reaction_id", (F.col("low") / (both - F.col("low"))).alias("weighted_jaccard"), (F.col("dot") / F.sqrt(F.col("ql2") * F.col("l2"))).alias("cosine"))
 
 
-def bit_search(bit_rows: DataFrame, step: int = QUERY_STEP, k: int = 5) -> DataFrame:
-    """``query_id, reaction_id, tanimoto, rank``: the k most similar fingerprints that share a set bit."""
-    ones = bit_rows.groupBy("reaction_id").agg(F.count("*").alias("n"))
-    q = queries_of(bit_rows, step).select(F.col("reaction_id").alias("query_id"), "bit")
-    met = q.join(bit_rows, "bit").where("query_id <> reaction_id").groupBy("query_id", "reaction_id").agg(F.count("*").alias("both"))
-    met = met.join(queries_of(ones, step).select(F.col("reaction_id").alias("query_id"), F.col("n").alias("qn")), "query_id").join(ones, "reaction_id")
-    value = F.col("both") / (F.col("qn") + F.col("n") - F.col("both"))
-    return top(met.select("query_id", "reaction_id", value.alias("tanimoto")), "tanimoto", k)
-
-
 def top(pairs: DataFrame, score: str, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc(score), "reaction_id")
     return pairs.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
 
 
-def block_search(sketches: DataFrame, column: str, score, name: str, step: int = QUERY_STEP, k: int = 5, blocks: int | None = None) -> DataFrame:
-    """``query_id, reaction_id, <name>, rank``: the stated queries against all rows, block by block."""
-    spark = sketches.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sketches.select("reaction_id", F.col(column).alias("b"), F.pmod(F.xxhash64("reaction_id"), F.lit(blocks)).alias("block"))
-    asked = queries_of(sketches, step).select(F.col("reaction_id").alias("query_id"), F.col(column).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    met = asked.join(rows.hint("shuffle_hash"), "block").where("query_id <> reaction_id")
-    return top(met.select("query_id", "reaction_id", score(F.col("a"), F.col("b")).alias(name)), name, k)
+# Kernels: scores of blocks of sketches, one row a query and one column a row; NaN for pairs that do not count.
+
+Kernel = Callable[[list, list], np.ndarray]
+
+
+def tanimoto_scores(a: list, b: list) -> np.ndarray:
+    """Of lists of set bits; pairs without a common bit do not count."""
+    bits = 1 + max((max(x, default=0) for x in [*a, *b]), default=0)
+    marks = []
+    for lists in (a, b):
+        m = np.zeros((len(lists), bits), np.float32)
+        m[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([v for x in lists for v in x], np.int64)] = 1
+        marks.append(m)
+    both = (marks[0] @ marks[1].T).astype(np.float64)  # whole numbers, exact in float32
+    either = marks[0].sum(1, dtype=np.float64)[:, None] + marks[1].sum(1, dtype=np.float64) - both
+    return np.where(both > 0, both / np.maximum(either, 1), np.nan)
+
+
+def equal_scores(a: list, b: list) -> np.ndarray:
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    hits = np.zeros((len(x), len(y)), np.int32)
+    for j in range(x.shape[1]):
+        hits += x[:, j, None] == y[:, j]
+    return hits / x.shape[1]
+
+
+def sign_scores(a: list, b: list) -> np.ndarray:
+    x, y = np.array(a, np.float32), np.array(b, np.float32)
+    equal = (x.shape[1] + (x @ y.T).astype(np.float64)) / 2
+    return equal / x.shape[1] * 2 - 1
+
+
+def best_of_block(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and column of the k best of each query; ``ids`` ascend, so that the first of equals is the smallest."""
+    scores = np.where(np.isnan(scores) | (query_ids[:, None] == ids), -np.inf, scores)
+    rows, cols = [], []
+    for i, s in enumerate(scores):
+        limit = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+        above = np.flatnonzero(s > limit)
+        level = np.flatnonzero(s == limit)[: max(0, k - len(above))] if limit > -np.inf else []
+        cols += [above, np.asarray(level, np.int64)]
+        rows += [i] * (len(above) + len(level))
+    return np.array(rows, np.int64), np.concatenate(cols) if cols else np.zeros(0, np.int64)
+
+
+def grid_search(sketches: DataFrame, column: str, kernel: Kernel, name: str, step: int = QUERY_STEP, k: int = 5) -> DataFrame:
+    """``query_id, reaction_id, <name>, rank``: the k best rows for each stated query, all rows compared.
+
+    Queries and rows are cut into blocks by hash, and each task compares one block of queries with one of rows; it
+    sends k rows a query. Rows with a null sketch take no part."""
+    rows = cut(sketches.where(F.col("reaction_id").isNotNull() & F.col(column).isNotNull()).select("reaction_id", F.col(column).alias("v")))
+    total = rows.count()
+    row_blocks, query_blocks = max(1, -(-total // GRID_ROWS)), max(1, -(-total // (step * GRID_QUERIES)))
+    # Small collections use all cores, too.
+    row_blocks = max(row_blocks, -(-shuffle_parts(rows.sparkSession) // query_blocks)) if total > 1_000 else row_blocks
+    block = lambda n, salt: F.pmod(F.xxhash64("reaction_id", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries_of(rows, step).select("reaction_id", "v", block(query_blocks, 1).alias("qb"), every(row_blocks).alias("rb"), F.lit(True).alias("asks"))
+    held = rows.select("reaction_id", "v", every(query_blocks).alias("qb"), block(row_blocks, 2).alias("rb"), F.lit(False).alias("asks"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, asks = table.column("reaction_id").to_numpy(), np.asarray(table.column("asks").to_numpy(zero_copy_only=False), bool)
+        v = table.column("v").to_pylist()
+        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
+        r = r[np.argsort(ids[r], kind="stable")]
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        held_v = [v[i] for i in r]
+        for at in range(0, len(q) if len(r) else 0, 128):
+            part = q[at : at + 128]
+            scores = kernel([v[i] for i in part], held_v)
+            i, j = best_of_block(scores, ids[part], ids[r], k)
+            for o, x in zip(out, (ids[part[i]], ids[r[j]], scores[i, j])):
+                o.append(x)
+        return pa.table({n: np.concatenate(o) for n, o in zip(("query_id", "reaction_id", name), out)})
+
+    met = asked.unionByName(held).groupBy("qb", "rb").applyInArrow(run, f"query_id long, reaction_id long, {name} double")
+    return top(met, name, k)
+
+
+def bit_search(bit_rows: DataFrame, step: int = QUERY_STEP, k: int = 5) -> DataFrame:
+    """``query_id, reaction_id, tanimoto, rank``: the k most similar fingerprints that share a set bit."""
+    packed = bit_rows.groupBy("reaction_id").agg(F.collect_set("bit").alias("bits"))
+    return grid_search(packed, "bits", tanimoto_scores, "tanimoto", step, k)

@@ -37,10 +37,10 @@ def sortable(token: Column) -> Column:
 PACKED_NODES = 1_000
 
 
-def largest_graph(nodes: DataFrame, edges: DataFrame) -> int:
-    """Rows of the largest graph: one small job that decides between the two plans of ``refine``."""
+def large_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id`` of the graphs that are too large for one row."""
     rows = nodes.select("graph_id").unionByName(edges.select("graph_id")).where("graph_id is not null")
-    return rows.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return rows.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > PACKED_NODES).select("graph_id")
 
 
 def refine(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str, str] = WL, node_attrs: tuple[str, ...] = NODE_ATTRS, edge_attrs: tuple[str, ...] = EDGE_ATTRS, packed: bool | None = None) -> DataFrame:
@@ -48,12 +48,17 @@ def refine(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str
 
     Round 0 hashes the atom label; round k hashes the last label and the sorted pairs of bond hash and
     neighbour label. Graphs of the size of molecules are packed into a row each and refined inside the
-    row, after one shuffle of nodes and of bonds; if any graph has more than ``PACKED_NODES`` rows, labels
-    and bonds stay in tables and meet by joins, so that no graph has to fit into one task."""
+    row, after one shuffle of nodes and of bonds. Labels and bonds of graphs with more than ``PACKED_NODES`` rows
+    stay in tables and meet by joins, so that no graph has to fit into one task. One small job, run when the plan
+    is made, looks for such graphs; only they take the second way. ``packed`` chooses one way for all."""
     check_radius(radius)
-    if packed is None:
-        packed = largest_graph(nodes, edges) <= PACKED_NODES
-    return (_refine_rows if packed else _refine_tables)(nodes, edges, radius, tags, node_attrs, edge_attrs)
+    if packed is not None:
+        return (_refine_rows if packed else _refine_tables)(nodes, edges, radius, tags, node_attrs, edge_attrs)
+    large = cut(large_graphs(nodes, edges))
+    if large.isEmpty():
+        return _refine_rows(nodes, edges, radius, tags, node_attrs, edge_attrs)
+    small, big = ([t.join(large, "graph_id", how) for t in (nodes, edges)] for how in ("left_anti", "left_semi"))
+    return _refine_rows(*small, radius, tags, node_attrs, edge_attrs).unionByName(_refine_tables(*big, radius, tags, node_attrs, edge_attrs))
 
 
 def _refine_rows(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str, str], node_attrs: tuple[str, ...], edge_attrs: tuple[str, ...]) -> DataFrame:

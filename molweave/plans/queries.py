@@ -113,8 +113,8 @@ def queries() -> dict[str, Query]:
         "tanimoto_search": _deltas(lambda d: similarity.bit_search(sketches.parity_bits(multiset.signed_support(d), BITS, 1))),
         "weighted_search": _deltas(similarity.weighted_search),
         "weighted_search_normalized": _deltas(lambda d: similarity.weighted_search(d, normalize=True)),
-        "minhash_search": _deltas(lambda d: similarity.block_search(sketches.minhash(multiset.signed_support(d), MINHASHES), "signature", similarity.equal_share, "jaccard")),
-        "srp_cosine_search": _deltas(lambda d: similarity.block_search(sketches.srp(multiset.pos_neg(d), SIGNS), "sketch", similarity.srp_cosine, "cosine")),
+        "minhash_search": _deltas(lambda d: similarity.grid_search(sketches.minhash(multiset.signed_support(d), MINHASHES), "signature", similarity.equal_scores, "jaccard")),
+        "srp_cosine_search": _deltas(lambda d: similarity.grid_search(sketches.srp(multiset.pos_neg(d), SIGNS), "sketch", similarity.sign_scores, "cosine")),
         "fingerprint_morgan_union": _graphs(lambda n, e: fingerprint_bits(n, e, FingerprintConfig(tokenizer="morgan", mode="union", radius=1))),
         "fingerprint_path_minhash": _graphs(lambda n, e: fingerprint_bits(n, e, FingerprintConfig(tokenizer="path", sketch="minhash", m=16))),
         "fingerprint_nauty_cw": _graphs(lambda n, e: fingerprint_bits(n, e, FingerprintConfig(tokenizer="nauty", sketch="cw", radius=1, m=16))),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +16,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder the cluster names in ``spark.checkpoint.dir``; only a
-    local session without one (tests) gets a temporary folder."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    if not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local session without one (tests) gets a
+    temporary folder, which goes when Python ends. ``local-cluster`` counts as a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "molweave-checkpoints")
+    path = tempfile.mkdtemp(prefix="molweave-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """A checkpoint folder for the session: the shared one, else as in ``shared_folder``."""
+    if not spark.sparkContext.getCheckpointDir():
+        folder = shared_folder(spark)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,3 +73,19 @@ def join_grouped(rows: DataFrame, groups: DataFrame, keys: list[str], size_col:
     near = flagged.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot), keys, "inner")
     far = flagged.where(F.col("__hot").isNull()).drop("__hot").join(cold, keys, how)
     return near.unionByName(far)
+
+
+def join_lanes(rows: DataFrame, queries: DataFrame, key: str, spread_by: str, total: int, least: int = 10_000) -> DataFrame:
+    """Join two tables on a key that some groups of ``rows`` share very often.
+
+    At most 1,000 keys can hold more than a thousandth of all rows; these are broadcast (size bound: 1,000 rows).
+    Their rows are spread over lanes by the hash of ``spread_by``, and their queries visit every lane."""
+    limit = max(total // 1000, least)
+    if total <= limit:
+        return queries.join(rows, key)
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__lanes")))
+    lanes = F.coalesce("__lanes", F.lit(1))
+    spread_rows = rows.join(hot, key, "left").withColumn("__lane", F.pmod(F.xxhash64(spread_by), lanes).cast("int")).drop("__lanes")
+    visits = queries.join(hot, key, "left").withColumn("__lane", F.explode(F.sequence(F.lit(0), lanes - 1))).drop("__lanes")
+    return visits.join(spread_rows, [key, "__lane"]).drop("__lane")
