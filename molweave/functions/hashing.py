@@ -1,12 +1,8 @@
-"""Token hashes: a portable one inside the JVM and a repr-based one for exchange with Python systems."""
+"""Token hashes: a portable one inside the JVM and one over Python literals for exchange with Python systems."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,22 +16,9 @@ def seeded_hash(tag: str, seed: int, value: Column) -> Column:
     return token_hash(F.concat(F.lit(f"{tag}|{seed}|"), value.cast("string")))
 
 
-def repr_hash(value: object, seed: int = 0, person: bytes = b"") -> int:
-    """Unsigned 64-bit BLAKE2b of ``repr(value)``; a seed other than 0 goes first as 8 bytes.
+def exchange_hash(text: str, seed: int = 0, person: bytes = b"") -> int:
+    """Unsigned 64-bit BLAKE2b of a Python literal as text; a seed other than 0 goes first as 8 bytes.
 
     ``person`` separates the tokens of different systems: give the one whose tokens must be met."""
-    h = hashlib.blake2b(digest_size=8, person=person)
-    if seed:
-        h.update(seed.to_bytes(8, "little"))
-    h.update(repr(value).encode())
-    return int.from_bytes(h.digest(), "little")
-
-
-def repr_hash_udf(make: Callable[..., object], seed: int = 0, person: bytes = b"") -> Callable[..., Column]:
-    """Arrow-batched UDF of ``repr_hash(make(*row))`` as DECIMAL(20, 0)."""
-
-    @F.pandas_udf("decimal(20,0)")
-    def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([Decimal(repr_hash(make(*row), seed, person)) for row in zip(*columns)])
-
-    return run
+    salt = seed.to_bytes(8, "little") if seed else b""
+    return int.from_bytes(hashlib.blake2b(salt + text.encode(), digest_size=8, person=person).digest(), "little")

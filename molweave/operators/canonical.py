@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 Labels = dict[int, str]
 Links = dict[tuple[int, int], str]
@@ -29,43 +30,93 @@ def refine_colours(colours: dict[int, int], near: dict[int, dict[int, str]]) ->
         colours = new
 
 
-def canonical_form(labels: Labels, links: Links, max_depth: int | None = None) -> tuple[str, list[int]]:
-    """A text equal for isomorphic graphs only, and the node order that writes it.
+@dataclass
+class Canonical:
+    """The least text of a graph, the node order that writes it, automorphisms that the search met (node to
+    node; they generate all that matter for its pruning) and whether the search was carried through."""
+
+    text: str
+    order: list[int]
+    automorphisms: list[dict[int, int]] = field(default_factory=list)
+    complete: bool = True
+
+    def relabelled(self, labels: Labels, links: Links) -> tuple[Labels, Links]:
+        """The graph with its nodes numbered from 1 in canonical order."""
+        at = {n: i for i, n in enumerate(self.order, 1)}
+        return {at[n]: labels[n] for n in self.order}, {(min(at[u], at[v]), max(at[u], at[v])): x for (u, v), x in sorted(links.items())}
+
+
+def _joined(items: Iterable[int], maps: list[dict[int, int]]) -> dict[int, int]:
+    """The smallest item that the maps lead to from each item, back and forth."""
+    root = {n: n for n in items}
+
+    def find(n: int) -> int:
+        while root[n] != n:
+            n = root[n]
+        return n
 
-    The first colour shared by several nodes is split at each of them, and the least text wins. Nodes
-    that swap without changing anything (same label, same bonds to the same others) are tried once.
-    With ``max_depth`` the search stops that deep and breaks what is left by node number."""
+    for m in maps:
+        for a, b in m.items():
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {n: find(n) for n in root}
+
+
+def canonical_search(labels: Labels, links: Links, max_depth: int | None = None) -> Canonical:
+    """The canonical form of a graph, equal for isomorphic graphs only.
+
+    The first colour shared by several nodes is split at each of them, and the least text wins. Two orders with
+    the same text give an automorphism; nodes that the automorphisms of the nodes chosen so far lead to each other
+    are tried once, and so are nodes that swap without changing anything (same label, same bonds to the same
+    others). With ``max_depth`` the search stops that deep and breaks what is left by node number."""
     near = _neighbours(set(labels), links)
-    best: tuple[str, list[int]] | None = None
+    best = Canonical("||", [])
+    found = False
 
     def text(order: list[int]) -> str:
         at = {n: i for i, n in enumerate(order)}
         bonds = sorted((min(at[u], at[v]), max(at[u], at[v]), x) for (u, v), x in links.items())
         return ";".join(labels[n] for n in order) + "||" + ";".join(f"{i},{j},{x}" for i, j, x in bonds)
 
-    def search(colours: dict[int, int], depth: int) -> None:
-        nonlocal best
+    def leaf(order: list[int]) -> None:
+        nonlocal found
+        new = text(order)
+        if found and new == best.text:
+            moved = {a: b for a, b in zip(best.order, order) if a != b}
+            if moved:
+                best.automorphisms.append(moved)
+        elif not found or new < best.text:
+            best.text, best.order, found = new, order, True
+
+    def search(colours: dict[int, int], chosen: list[int]) -> None:
         colours = refine_colours(colours, near)
         cells: dict[int, list[int]] = {}
         for n, c in colours.items():
             cells.setdefault(c, []).append(n)
         shared = [c for c in sorted(cells) if len(cells[c]) > 1]
-        if not shared or depth == max_depth:
-            order = sorted(labels, key=lambda n: (colours[n], n))
-            found = text(order), order
-            if best is None or found[0] < best[0]:
-                best = found
+        if not shared or len(chosen) == max_depth:
+            best.complete = best.complete and not shared
+            leaf(sorted(labels, key=lambda n: (colours[n], n)))
             return
-        tried = set()
+        twins: set[tuple] = set()
+        tried: list[int] = []
         for n in sorted(cells[shared[0]]):
             twin = tuple(sorted((m, x) for m, x in near[n].items() if m != n))
-            if twin in tried:
+            orbit = _joined(labels, [a for a in best.automorphisms if not any(c in a for c in chosen)])
+            if twin in twins or any(orbit[n] == orbit[t] for t in tried):
                 continue
-            tried.add(twin)
-            search({m: 2 * c + (1 if c == shared[0] and m != n else 0) for m, c in colours.items()}, depth + 1)
+            twins.add(twin)
+            tried.append(n)
+            search({m: 2 * c + (1 if c == shared[0] and m != n else 0) for m, c in colours.items()}, [*chosen, n])
 
-    search(_ranked({n: (x,) for n, x in labels.items()}), 0)
-    return best or ("||", [])
+    search(_ranked({n: (x,) for n, x in labels.items()}), [])
+    return best
+
+
+def canonical_form(labels: Labels, links: Links, max_depth: int | None = None) -> tuple[str, list[int]]:
+    """The text of ``canonical_search`` and the node order that writes it."""
+    form = canonical_search(labels, links, max_depth)
+    return form.text, form.order
 
 
 def components(labels: Labels, links: Links) -> list[set[int]]:

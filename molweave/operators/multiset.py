@@ -90,6 +90,21 @@ def dense(deltas: DataFrame, channels: int = 1) -> DataFrame:
     return packed.select("reaction_id", F.concat(up, down).alias("vector"))
 
 
+def dense_over(deltas: DataFrame, places: DataFrame, size: int, channels: int = 1, normalize: bool = False) -> DataFrame:
+    """``reaction_id, vector`` of weights at the ``token, place`` of a given list of places from 0 to ``size - 1``.
+
+    One signed channel, or the positive channel followed by the negative one; with ``normalize`` the absolute
+    values of a vector add up to 1. The query fails on a token without a place."""
+    known = l1_weights(deltas, normalize).join(places.select("token", "place"), "token", "left")
+    lost = F.raise_error(F.concat(F.lit("no place for token "), F.col("token").cast("string"))).cast("int")
+    at = F.coalesce(F.col("place"), lost)
+    if channels == 2:
+        at = F.when(F.col("w") < 0, at + size).otherwise(at)
+    rows = known.select("reaction_id", F.struct(at.cast("int").alias("at"), (F.col("w") if channels == 1 else F.abs("w")).alias("w")).alias("x"))
+    held = rows.groupBy("reaction_id").agg(F.map_from_entries(F.collect_list("x")).alias("m"))
+    return held.select("reaction_id", F.transform(F.sequence(F.lit(0), F.lit(size * channels - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
 def odd_tokens(tokens: DataFrame) -> DataFrame:
     """``reaction_id, token`` of tokens with an odd count over both sides."""
     return union(tokens).where(F.col("cnt") % 2 == 1).select("reaction_id", "token")

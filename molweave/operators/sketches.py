@@ -65,20 +65,43 @@ def minhash(support: DataFrame, m: int = 64, seed: int = 1) -> DataFrame:
     return sets.select("reaction_id", signature.alias("signature"))
 
 
-def weighted_minhash(weights: DataFrame, m: int = 64, seed: int = 1) -> DataFrame:
-    """``reaction_id, signature`` of whole-number weights ``token, pos, neg``.
-
-    A weight w stands for replicas 1 to w of its token and sign, so that two signatures agree in a place
-    with the probability of their weighted Jaccard similarity."""
+def weighted_minhash(weights: DataFrame, m: int = 64, seed: int = 1, normalize: bool = True) -> DataFrame:
+    """``reaction_id, signature`` of weights ``token, pos, neg``, whole or real, by consistent weighted sampling.
+
+    For every place, each token and sign draws r and c from Gamma(2, 1) and a shift from its own hash; the weight
+    decides on which step of r it stands, and the token with the least c over the next step is sampled. The value
+    holds token, sign and step, so that two signatures agree in a place with the probability of their weighted
+    Jaccard similarity. Neither rows nor time depend on how large the weights are. With ``normalize`` the weights
+    of a reaction are divided by their sum first. Nulls and weights of 0 or less are left out."""
     check_size(m, "m")
     check_seed(seed)
     signs = F.explode(F.array(F.struct(F.lit("+").alias("s"), F.col("pos").alias("w")), F.struct(F.lit("-").alias("s"), F.col("neg").alias("w"))))
     rows = weights.where("token is not null").select("reaction_id", "token", signs.alias("x")).where("x.w > 0")
-    copies = rows.select("reaction_id", F.concat_ws("|", F.lit("cw"), "x.s", F.col("token").cast("string")).alias("t"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("x.w").cast("bigint"))).alias("k"))
-    hashed = copies.select("reaction_id", (token_hash(F.concat_ws("|", "t", F.col("k").cast("string"))) % PRIME).alias("h"))
-    sets = hashed.groupBy("reaction_id").agg(F.collect_set("h").alias("hs"))
-    signature = F.transform(_maps(m, seed), lambda p: F.array_min(F.transform("hs", lambda h: (p["a"] * h + p["b"]) % PRIME)))
-    return sets.select("reaction_id", signature.alias("signature"))
+    entry = F.struct(F.concat_ws("|", "x.s", F.col("token").cast("string")).alias("t"), F.col("x.w").cast("double").alias("w"))
+    sets = rows.groupBy("reaction_id").agg(F.collect_list(entry).alias("ts"), F.sum("x.w").cast("double").alias("whole"))
+
+    def drawn(i: Column, e: Column) -> Column:
+        """The hash of a token in a place, whose 30 first digits are five numbers of 24 bits."""
+        weight = e["w"] / F.col("whole") if normalize else e["w"]
+        return F.struct(e["t"].alias("t"), F.ln(weight).alias("lw"), F.md5(F.concat_ws("|", F.lit("cws"), F.lit(str(seed)), i.cast("string"), e["t"])).alias("h"))
+
+    def uniform(h: Column, j: int) -> Column:
+        return (F.conv(F.substring(h, 1 + 6 * j, 6), 16, 10).cast("bigint") + 0.5) / 16777216.0
+
+    def shaped(x: Column) -> Column:
+        r = -(F.ln(uniform(x["h"], 0)) + F.ln(uniform(x["h"], 1)))
+        c = -(F.ln(uniform(x["h"], 2)) + F.ln(uniform(x["h"], 3)))
+        return F.struct(x["t"].alias("t"), x["lw"].alias("lw"), r.alias("r"), c.alias("c"), uniform(x["h"], 4).alias("b"))
+
+    def scored(x: Column) -> Column:
+        step = F.floor(x["lw"] / x["r"] + x["b"])
+        return F.struct((F.ln(x["c"]) - x["r"] * (step - x["b"]) - x["r"]).alias("score"), x["t"].alias("t"), step.cast("bigint").alias("step"))
+
+    def place(i: Column) -> Column:
+        return F.array_min(F.transform(F.transform(F.transform("ts", lambda e: drawn(i, e)), shaped), scored))
+
+    picked = sets.select("reaction_id", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), place).alias("p"))
+    return picked.select("reaction_id", F.transform("p", lambda x: token_hash(F.concat_ws("|", F.lit("cwv"), x["t"], x["step"].cast("string")))).alias("signature"))
 
 
 def srp(weights: DataFrame, m: int = 256, seed: int = 0) -> DataFrame:
@@ -160,9 +183,9 @@ def local_srp(weights: DataFrame, m: int = 256, seed: int = 0) -> DataFrame:
     return _local(weights, build, "sketch")
 
 
-def local_icws(weights: DataFrame, m: int = 256, seed: int = 0) -> DataFrame:
+def local_icws(weights: DataFrame, m: int = 256, seed: int = 0, normalize: bool = True) -> DataFrame:
     """``reaction_id, signature``: improved consistent weighted sampling over the positive, then the
-    negative channel; the sampled place of each of m draws."""
+    negative channel; the sampled place of each of m draws, 0 without weights."""
     check_size(m, "m")
     check_seed(seed)
 
@@ -170,13 +193,13 @@ def local_icws(weights: DataFrame, m: int = 256, seed: int = 0) -> DataFrame:
         w = np.concatenate([pos, neg])
         if not w.any():
             return np.zeros(m, np.int64)
-        w = w / w.sum()
-        rng = np.random.default_rng(seed)
-        u = rng.random((5, m, len(w)))
-        r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
+        w = w / w.sum() if normalize else w
+        # Draw by draw: two uniforms for r, two for c, one for the shift.
+        u = np.random.default_rng(seed).random((m, 5, len(w)))
+        r, c = -np.log(u[:, 0]) - np.log(u[:, 1]), -np.log(u[:, 2]) - np.log(u[:, 3])
         with np.errstate(divide="ignore", invalid="ignore"):
-            level = np.floor(np.log(w) / r + u[4])
-            score = np.log(c) - r * (level - u[4]) - r
+            level = np.floor(np.log(w) / r + u[:, 4])
+            score = np.log(c) - r * (level - u[:, 4]) - r
         return np.where(w > 0, score, np.inf).argmin(1)
 
     return _local(weights, build, "signature")

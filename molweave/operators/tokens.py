@@ -128,10 +128,12 @@ def _counted(tokens: DataFrame) -> DataFrame:
 
 
 def wl_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, **attrs: object) -> DataFrame:
+    """Refinement tokens of every round up to ``radius``."""
     return _counted(refine(nodes, edges, radius, WL, **attrs))
 
 
 def morgan_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, **attrs: object) -> DataFrame:
+    """The same rounds under tags of their own, as circular environments."""
     return _counted(refine(nodes, edges, radius, MORGAN, **attrs))
 
 

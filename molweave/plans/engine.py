@@ -121,18 +121,53 @@ def fingerprint_strings(reactions: DataFrame, config: FingerprintConfig | None =
     return parsed.select("reaction_id", "error").join(good, "reaction_id", "left").select("reaction_id", "fingerprint", "error")
 
 
+@dataclass(frozen=True)
+class Result:
+    """All stages of one reaction: tokens of both sides and net change as ``{token: count}``, the encoded support and
+    the 0/1 sketch."""
+
+    tokens_r: dict[int, int]
+    tokens_p: dict[int, int]
+    delta: dict[int, int]
+    support: list[int]
+    sketch: list[int]
+    mode: str
+
+    def to_binary(self) -> list[int]:
+        """The sketch, if it holds nothing but 0 and 1."""
+        if any(x not in (0, 1) for x in self.sketch):
+            raise TypeError("the sketch is not binary")
+        return list(self.sketch)
+
+    def as_array(self) -> np.ndarray:
+        return np.asarray(self.sketch, int)
+
+    def __repr__(self) -> str:
+        return f"Result({sum(self.tokens_r.values())} tokens to {sum(self.tokens_p.values())}, support of {len(self.support)}, mode {self.mode})"
+
+
 class Encoder:
-    """Reaction strings in Python lists to a matrix, in their order."""
+    """Reaction strings in Python lists to a matrix, in their order. ``batch_size`` rows go to one task."""
 
-    def __init__(self, spark: SparkSession, config: FingerprintConfig | None = None):
-        self.spark, self.config = spark, config or FingerprintConfig()
+    def __init__(self, spark: SparkSession, config: FingerprintConfig | None = None, batch_size: int | None = None):
+        if batch_size is not None:
+            sketches.check_size(batch_size, "batch_size")
+        self.spark, self.config, self.batch_size = spark, config or FingerprintConfig(), batch_size
+
+    @classmethod
+    def encode(cls, spark: SparkSession, strings: Iterable[str], batch_size: int | None = None, **options: object) -> np.ndarray:
+        """The matrix of some strings in one call; ``options`` are those of ``FingerprintConfig``."""
+        return cls(spark, FingerprintConfig(**options), batch_size).encode_many(strings)  # type: ignore[arg-type]
+
+    def _table(self, rows: list[tuple[int, str]]) -> DataFrame:
+        df = self.spark.createDataFrame(rows, "reaction_id long, rsmi string")
+        return df.repartition(-(-len(rows) // self.batch_size)) if self.batch_size else df
 
     def encode_many(self, strings: Iterable[str], on_error: str = "raise") -> np.ndarray:
         rows = list(enumerate(strings))
         if not rows:
             return np.zeros((0, 0), int)
-        df = fingerprint_strings(self.spark.createDataFrame(rows, "reaction_id long, rsmi string"), self.config)
-        found = {r["reaction_id"]: r for r in df.collect()}
+        found = {r["reaction_id"]: r for r in fingerprint_strings(self._table(rows), self.config).collect()}
         bad = [f"{i}: {r['error']}" for i, r in sorted(found.items()) if r["error"]]
         if bad and on_error == "raise":
             raise ValueError("; ".join(bad[:5]))
@@ -142,13 +177,38 @@ class Encoder:
     def encode_one(self, string: str) -> np.ndarray:
         return self.encode_many([string])[0]
 
+    def result(self, string: str) -> Result:
+        """All stages of one reaction string."""
+        sketch = self.encode_one(string).tolist()
+        nodes, edges = rsmi.graph_tables(cut(rsmi.read_rsmi(self._table([(0, string)]))))
+        r = results(nodes, edges, self.config).first()
+        counts = lambda x: {e["token"]: e["cnt"] for e in x or []}
+        if r is None:
+            return Result({}, {}, {}, [], sketch, self.config.mode)
+        return Result(counts(r["tokens_r"]), counts(r["tokens_p"]), counts(r["delta"]), list(r["support"] or []), sketch, self.config.mode)
+
+    @staticmethod
+    def describe() -> str:
+        """Usage in brief."""
+        return 'Encoder(spark, FingerprintConfig(tokenizer="wl", radius=2, sketch="parity", bits=1024)).encode_many(["CCO>>CC=O"])'
+
     def __repr__(self) -> str:
         return f"Encoder({self.config})"
 
 
+def describe(name: str | None = None) -> str:
+    """What a tokenizer or sketch does, or the list of all of them."""
+    if name is None:
+        return f"tokenizers: {', '.join(TOKENIZERS)}; sketches: {', '.join(SKETCHES)}"
+    about = {"wl": tokens.wl_tokens, "morgan": tokens.morgan_tokens, "path": tokens.path_tokens, "nauty": tokens.ego_tokens, "parity": sketches.parity_bits, "minhash": sketches.minhash, "cw": sketches.weighted_minhash, "srp": sketches.srp}
+    if name.lower() not in {**TOKENIZERS, **SKETCHES}:
+        raise ValueError(f"unknown name {name!r}: {describe()}")
+    return (about.get(name.lower(), {**TOKENIZERS, **SKETCHES}[name.lower()]).__doc__ or "").strip()
+
+
 def fingerprint(spark: SparkSession, rsmi_text: str, **options: object) -> list[int]:
     """One reaction string to its 0/1 list."""
     return Encoder(spark, FingerprintConfig(**options)).encode_one(rsmi_text).tolist()  # type: ignore[arg-type]
 
 
-__all__ = ["Encoder", "FingerprintConfig", "fingerprint", "fingerprint_bits", "fingerprint_graphs", "fingerprint_strings", "register_sketch", "register_tokenizer", "results", "tables"]
+__all__ = ["Encoder", "FingerprintConfig", "Result", "describe", "fingerprint", "fingerprint_bits", "fingerprint_graphs", "fingerprint_strings", "register_sketch", "register_tokenizer", "results", "tables"]

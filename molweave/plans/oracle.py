@@ -67,10 +67,21 @@ def _min_of(hashes: str, m: int) -> str:
 
 
 MINHASH = f"with {T}, {D}, {S}, " + _min_of(f"select distinct reaction_id, {_token("'mh|' || cast(enc as varchar)")} % {PRIME} as h from s", MINHASHES)
-CWS = f"with {T}, {D}, " + _min_of(
-    f"select distinct reaction_id, {_token("concat_ws('|', 'cw', case when delta > 0 then '+' else '-' end, cast(token as varchar), cast(k as varchar))")} % {PRIME} as h from (select *, unnest(range(1, abs(delta) + 1)) as k from delta)",
-    SAMPLES,
-)
+def _uniform(j: int) -> str:
+    return f"((cast('0x' || substr(h, {1 + 6 * j}, 6) as bigint) + cast(0.5 as double)) / cast(16777216.0 as double))"
+
+
+def _cws(m: int, before: str, seed: int = 1) -> str:
+    return f"""{before},
+ own as (select reaction_id, case when delta > 0 then '+' else '-' end || '|' || cast(token as varchar) as t, ln(cast(abs(delta) as double) / cast(sum(abs(delta)) over (partition by reaction_id) as double)) as lw from delta),
+ drawn as (select *, md5('cws|{seed}|' || cast(i as varchar) || '|' || t) as h from (select *, unnest(range({m})) as i from own)),
+ shaped as (select reaction_id, i, t, lw, -(ln({_uniform(0)}) + ln({_uniform(1)})) as r, -(ln({_uniform(2)}) + ln({_uniform(3)})) as c, {_uniform(4)} as b from drawn),
+ stepped as (select *, floor(lw / r + b) as step from shaped),
+ picked as (select reaction_id, i, arg_min(t || '|' || cast(cast(step as bigint) as varchar), ln(c) - r * (step - b) - r) as v from stepped group by all),
+ sig as (select reaction_id, cast(i as int) as i, {_token("'cwv|' || v")} as value from picked)"""
+
+
+CWS = _cws(SAMPLES, f"with {T}, {D}")
 SRP = f"""with {T}, {D},
  coord as (select reaction_id, i, delta * (1 - 2 * (({_token("'srp' || cast(i // 60 as varchar) || '|0|' || cast(token as varchar)")} >> cast(i % 60 as integer)) & 1)) as x from (select *, unnest(range({SIGNS})) as i from delta)),
  sig as (select reaction_id, cast(i as int) as i, case when sum(x) >= 0 then 1 else -1 end as value from coord group by all)"""

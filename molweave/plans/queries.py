@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from molweave.operators import graph, multiset, similarity, sketches, tokens
 from molweave.plans.engine import FingerprintConfig, fingerprint_bits, fingerprint_graphs, fingerprint_strings, reaction_tokens, results
-from molweave.session import read
+from molweave.session import read, shared_folder
 from molweave.sources import rsmi, tables
 from molweave.streaming import fingerprints as stream
 
@@ -51,15 +50,24 @@ def _results(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by day and event type over a stream of the events folder, run until all input is read."""
+    """Counts by day and event type over a stream of the events folder, run until all input is read.
+
+    Each batch writes the windows it changed to a table in the shared folder, one folder a batch, so that a batch
+    that runs again replaces itself; the last count of a window is its result. Rows later than the watermark are
+    dropped, and nothing comes to the driver."""
     schema = read(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = stream.windowed_counts(source, "ts", "event_type", "1 day", "400 days")
-    shared, name = spark.conf.get("spark.checkpoint.dir", None), f"windowed_counts_{uuid.uuid4().hex}"
-    where = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="stream-")
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+    where = f"{shared_folder(spark)}/windowed_counts_{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/counts/batch={number}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    kept = spark.read.schema("start timestamp, event_type string, n long, batch long").parquet(f"{where}/counts")
+    last = kept.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 import numpy as np
@@ -14,13 +15,20 @@ Attrs = Mapping[str, object]
 Graph = tuple[Mapping[int, Attrs], Mapping[tuple[int, int], Attrs]]
 
 
+def frozen(value: object) -> str:
+    """An attribute as text; lists, sets and dictionaries as JSON in which the order of keys does not matter."""
+    if isinstance(value, (set, frozenset)):
+        value = sorted(value, key=repr)
+    return json.dumps(value, sort_keys=True, default=str) if isinstance(value, (dict, list, tuple)) else str(value)
+
+
 def from_dicts(spark: SparkSession, graphs: Mapping[str, Graph]) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables of ``graph_id -> (nodes, edges)``; of a bond given both ways the last counts."""
     nodes, edges = [], []
     known = {"element", "aromatic", "charge", "hcount"}
     for gid, (ns, es) in graphs.items():
         for n, a in ns.items():
-            extra = {k: str(v) for k, v in a.items() if k not in known and v is not None}
+            extra = {k: frozen(v) for k, v in a.items() if k not in known and v is not None}
             nodes.append((gid, n, a.get("element"), a.get("aromatic"), a.get("charge"), a.get("hcount"), extra or None))
         last: dict[tuple[int, int], Attrs] = {}
         for (u, v), a in es.items():
@@ -28,7 +36,7 @@ def from_dicts(spark: SparkSession, graphs: Mapping[str, Graph]) -> tuple[DataFr
         for (u, v), a in last.items():
             # Either name of the bond order is understood.
             order = a.get("bond_order", a.get("order"))
-            extra = {k: str(x) for k, x in a.items() if k not in ("bond_order", "order") and x is not None}
+            extra = {k: frozen(x) for k, x in a.items() if k not in ("bond_order", "order") and x is not None}
             edges.append((gid, u, v, None if order is None else float(order), extra or None))
     return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 
@@ -46,6 +54,25 @@ def to_dicts(nodes: DataFrame, edges: DataFrame, graph_id: str) -> Graph:
     return ns, es
 
 
+def to_networkx(nodes: DataFrame, edges: DataFrame, graph_id: str) -> object:
+    """One graph for NetworkX, if that is installed; missing attributes are left out."""
+    try:
+        import networkx
+    except ImportError as e:
+        raise ImportError("NetworkX is needed for this sink; to_dicts gives the same graph as dictionaries") from e
+    ns, es = to_dicts(nodes, edges, graph_id)
+    known = lambda a: {k: v for k, v in a.items() if v is not None and k != "attrs"} | (a.get("attrs") or {})
+    g = networkx.Graph()
+    g.add_nodes_from((n, known(a)) for n, a in ns.items())
+    g.add_edges_from((u, v, known(a)) for (u, v), a in es.items())
+    return g
+
+
+def from_printout(spark: SparkSession, graph_id: str, nodes: Iterable[tuple[int, Attrs]], edges: Iterable[tuple[int, int, Attrs]]) -> tuple[DataFrame, DataFrame]:
+    """Tables of one graph given as its printed lists ``[(node, attributes)]`` and ``[(u, v, attributes)]``."""
+    return from_dicts(spark, {graph_id: (dict(nodes), {(u, v): a for u, v, a in edges})})
+
+
 def pair_tables(spark: SparkSession, reactions: Mapping[int, tuple[Graph, Graph]]) -> tuple[DataFrame, DataFrame]:
     """Tables of graph pairs ``reaction_id -> (reactant, product)``."""
     return from_dicts(spark, {f"{rid}:{s}": g for rid, pair in reactions.items() for s, g in zip("RP", pair)})

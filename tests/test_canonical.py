@@ -3,6 +3,7 @@ import itertools
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from molweave.operators import canonical
 from molweave.operators.canonical import canonical_form, orbits, whole_form
 
 
@@ -46,3 +47,31 @@ def test_many_equal_parts_are_fast():
     other = {i: "C" for i in range(100, 160)}
     assert whole_form(labels, links) == whole_form(other, {(u + 100, v + 100): x for (u, v), x in links.items()})
     assert whole_form(labels, links) != whole_form(labels, links | {(2, 3): "1"})
+
+
+def cage(n):
+    """A prism over a ring of n nodes: every node is like every other."""
+    return {i: "" for i in range(2 * n)}, {tuple(sorted(e)): "" for i in range(n) for e in ((i, (i + 1) % n), (n + i, n + (i + 1) % n), (i, n + i))}
+
+
+def test_symmetric_graphs_end_soon():
+    import time
+
+    labels, links = cage(15)
+    began = time.time()
+    form = canonical.canonical_search(labels, links)
+    assert time.time() - began < 20 and form.complete and form.automorphisms
+    for a in form.automorphisms:
+        moved = {tuple(sorted((a.get(u, u), a.get(v, v)))) for u, v in links}
+        assert moved == set(links)
+    mixed = {i: (7 * i + 3) % 30 for i in range(30)}
+    other = {tuple(sorted((mixed[u], mixed[v]))): x for (u, v), x in links.items()}
+    assert canonical.canonical_form(labels, other)[0] == form.text
+
+
+def test_relabelled_and_early_stop():
+    labels, links = cage(4)
+    form = canonical.canonical_search(labels, links)
+    again = canonical.canonical_search(*form.relabelled(labels, links))
+    assert again.text == form.text and sorted(form.relabelled(labels, links)[0]) == list(range(1, 9))
+    assert not canonical.canonical_search(labels, links, max_depth=0).complete

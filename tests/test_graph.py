@@ -1,8 +1,9 @@
 import pytest
 
 from molweave.model import EDGES, NODES
-from molweave.operators import graph, tokens
-from molweave.sources.tables import from_dicts, from_networkx, pair_tables, to_dicts
+from molweave.functions.hashing import exchange_hash
+from molweave.operators import exchange, graph, tokens
+from molweave.sources.tables import from_dicts, from_networkx, from_printout, pair_tables, to_dicts, to_networkx
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +139,66 @@ def test_label_variant_and_signatures(named):
     assert sorted(r.cnt for r in bare.collect()) == [1, 1, 2, 2]
     assert len({r.signature for r in tokens.graph_signatures(nodes, edges).collect()}) == 5
     assert tokens.graph_signatures(nodes.where("false"), edges).count() == 0
+
+
+def test_rings_keep_the_smallest_hop(spark):
+    n, links = 9, [(i, i + 1) for i in range(8)] + [(0, 8), (2, 6), (4, 4)]
+    nodes, edges = from_dicts(spark, {"g": ({i: {} for i in range(n)}, {e: {} for e in links})})
+    near = {i: {b for a, b in [*links, *[(v, u) for u, v in links]] if a == i and b != i} for i in range(n)}
+    want = []
+    for c in range(n):
+        seen, ring = {c: 0}, {c}
+        for k in range(1, 5):
+            ring = {m for x in ring for m in near[x]} - set(seen)
+            seen |= dict.fromkeys(ring, k)
+        want += [("g", c, m, k) for m, k in seen.items()]
+    assert rows(graph.ego_nodes(nodes, edges, 4)) == sorted(want, key=repr)
+    size = lambda r: len(graph.ego_nodes(nodes, edges, r)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(6) < 1.6 * size(5)  # not doubled by each hop
+
+
+def test_only_large_graphs_take_the_joins(spark, monkeypatch, named):
+    nodes, edges = named
+    want = rows(tokens.wl_tokens(nodes, edges, 2, packed=True))
+    monkeypatch.setattr(tokens, "PACKED_NODES", 4)
+    large = {r.graph_id for r in tokens.large_graphs(nodes, edges).collect()}
+    assert large == {"triangle", "path3"} and rows(tokens.wl_tokens(nodes, edges, 2)) == want
+
+
+@pytest.mark.parametrize("kind", ["wl", "morgan", "path"])
+def test_exchange_tokens(spark, named, kind):
+    nodes, edges = named
+    got = {}
+    for r in exchange.exchange_tokens(nodes, edges, kind, 2, person=b"other").collect():
+        got.setdefault(r.graph_id, {})[int(r.token)] = r.cnt
+    h = lambda *x: exchange_hash(repr(x), person=b"other")
+    if kind == "path":
+        atom, bond = (None, None, None, None, 2), (1.0,)
+        assert got["triangle"] == {h("path", 1, (atom, bond, atom)): 6, h("path", 2, (atom, bond, atom, bond, atom)): 6}
+        c, o = ("C", False, None, None, 1), ("O", True, None, None, 1)
+        assert got["two"] == {h("path", 1, (c, (2.0,), o)): 2}
+        return
+    first, b, step = exchange.REFINED[kind]
+    t0, bond = h(first, None, None, None, None, 2), h(b, 1.0)
+    t1 = h(step, 1, t0, ((bond, t0), (bond, t0)))
+    assert got["triangle"] == {t0: 3, t1: 3, h(step, 2, t1, ((bond, t1), (bond, t1))): 3}
+    assert 0 <= exchange.exchange_bit(t0, 16, 1) < 16
+    with pytest.raises(ValueError):
+        exchange.exchange_tokens(nodes, edges, "other")
+
+
+def test_attribute_order_does_not_matter(spark):
+    a, b = (from_dicts(spark, {"g": ({0: {"x": v}}, {})})[0].first().attrs["x"] for v in ({"p": 1, "q": [2]}, {"q": [2], "p": 1}))
+    assert a == b == '{"p": 1, "q": [2]}'
+
+
+def test_printout_and_networkx_sink(spark):
+    nodes, edges = from_printout(spark, "g", [(0, {"element": "C"}), (1, {})], [(1, 0, {"order": 2.0, "foo": "bar"})])
+    assert rows(edges.select("u", "v", "bond_order")) == [(0, 1, 2.0)]
+    try:
+        import networkx  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="to_dicts"):
+            to_networkx(nodes, edges, "g")
+    else:
+        assert to_networkx(nodes, edges, "g").edges[0, 1] == {"bond_order": 2.0, "foo": "bar"}

@@ -1,8 +1,10 @@
 import math
+import random
 
 import pytest
 
-from molweave.functions.hashing import repr_hash, repr_hash_udf, token_hash
+from molweave.functions.hashing import exchange_hash, token_hash
+from molweave import session
 from molweave.operators import multiset, similarity, sketches
 
 from pyspark.sql import functions as F  # isort: skip
@@ -75,7 +77,7 @@ def test_minhash_estimates_jaccard(spark):
 
 def test_weighted_minhash_estimates_weighted_jaccard(spark):
     w = spark.createDataFrame([(1, t, 4, 0) for t in range(60)] + [(2, t, 2, 0) for t in range(60)] + [(3, t, 0, 4) for t in range(60)], "reaction_id long, token long, pos long, neg long")
-    sig = {r[0]: r[1] for r in sketches.weighted_minhash(w, 256).collect()}
+    sig = {r[0]: r[1] for r in sketches.weighted_minhash(w, 256, normalize=False).collect()}
     assert abs(sum(x == y for x, y in zip(sig[1], sig[2])) / 256 - 0.5) < 0.1
     assert sum(x == y for x, y in zip(sig[1], sig[3])) / 256 < 0.1
 
@@ -123,12 +125,79 @@ def test_weighted_search(spark):
     assert (q, r) == (100, 7) and math.isclose(wj, 2 / 6) and math.isclose(cos, 3 / 6)
 
 
-def test_repr_hash():
-    assert repr_hash(("a", 1)) != repr_hash(("a", 1.0)) and repr_hash("x", 1) != repr_hash("x") and repr_hash("x", person=b"other") != repr_hash("x")
-    assert 0 <= repr_hash("x") < 2**64
+@pytest.mark.parametrize("lanes", [False, True])
+def test_weighted_search_with_a_token_in_every_row(spark, monkeypatch, lanes):
+    if lanes:
+        monkeypatch.setattr(session.join_lanes, "__defaults__", (20,))
+    rnd = random.Random(4)
+    rows = [(r, t, rnd.choice([-3, -1, 1, 2])) for r in range(0, 900, 3) for t in {0, *rnd.sample(range(1, 40), 3)}]
+    held = {}
+    for r, t, d in rows:
+        held.setdefault(r, {})[t] = d
+    df = similarity.weighted_search(spark.createDataFrame([*rows, (5, None, 2), (6, 1, 0)], "reaction_id long, token long, delta long"))
+    got = {(r.query_id, r.reaction_id): (r.weighted_jaccard, r.cosine) for r in df.collect()}
+    assert set(got) == {(q, r) for q in held if q % 100 == 0 for r in held if r != q}
+    for (q, r), (wj, cos) in got.items():
+        a, b = held[q], held[r]
+        low = sum(min(abs(a[t]), abs(b[t])) for t in a if t in b and a[t] * b[t] > 0)
+        high = sum(map(abs, a.values())) + sum(map(abs, b.values())) - low
+        dot = sum(a[t] * b[t] for t in a if t in b)
+        assert math.isclose(wj, low / high) and math.isclose(cos, dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
+
+
+@pytest.mark.parametrize("rows", [50_000, 40])
+def test_grid_searches_equal_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(similarity, "GRID_ROWS", rows)
+    monkeypatch.setattr(similarity, "GRID_QUERIES", rows)
+    rnd = random.Random(2)
+    sig = {r: [rnd.randrange(3) for _ in range(8)] for r in range(0, 1500, 5)}
+    df = spark.createDataFrame([*sig.items(), (None, [1] * 8), (7, None)], "reaction_id long, v array<long>")
+    share = lambda a, b: sum(x == y for x, y in zip(a, b)) / len(a)
+    got = [tuple(r) for r in similarity.grid_search(df, "v", similarity.equal_scores, "jaccard").collect()]
+    want = []
+    for q in (r for r in sig if r % 100 == 0):
+        want += [(q, r, s, k) for k, (s, r) in enumerate([(-s, r) for s, r in sorted((-share(sig[q], sig[r]), r) for r in sig if r != q)[:5]], 1)]
+    assert sorted(got) == sorted((q, r, s, k) for q, r, s, k in want)
+    bits = spark.createDataFrame([(r, b) for r, v in sig.items() for b in {i * 3 + x for i, x in enumerate(v[:2])}], "reaction_id long, bit int")
+    sets = {r: {i * 3 + x for i, x in enumerate(v[:2])} for r, v in sig.items()}
+    got = sorted((r.query_id, r.reaction_id, r.tanimoto) for r in similarity.bit_search(bits).collect())
+    want = []
+    for q in (r for r in sets if r % 100 == 0):
+        want += [(q, r, -s) for s, r in sorted((-len(sets[q] & sets[r]) / len(sets[q] | sets[r]), r) for r in sets if r != q and sets[q] & sets[r])[:5]]
+    assert got == sorted(want)
+    signs = spark.createDataFrame([(r, [1 if x else -1 for x in v]) for r, v in sig.items()], "reaction_id long, v array<int>")
+    assert all(math.isclose(r.cosine, 2 * share([bool(x) for x in sig[r.query_id]], [bool(x) for x in sig[r.reaction_id]]) - 1) for r in similarity.grid_search(signs, "v", similarity.sign_scores, "cosine").collect())
+
+
+def test_searches_empty(spark):
+    none = spark.createDataFrame([], "reaction_id long, token long, delta long")
+    assert similarity.weighted_search(none).count() == 0 and similarity.bit_search(spark.createDataFrame([], "reaction_id long, bit int")).count() == 0
+
+
+def test_weights_do_not_make_rows(spark):
+    w = spark.createDataFrame([(1, 7, 1e6, 0.0), (1, 8, 1e6, 0.0), (2, 7, 0.5, 0.0), (2, 8, 0.5, 0.0), (3, 7, 0.0, 2.5), (4, 9, 0.0, 0.0)], "reaction_id long, token long, pos double, neg double")
+    sig = {r[0]: r[1] for r in sketches.weighted_minhash(w, 64).collect()}
+    assert sig[1] == sig[2] and set(sig) == {1, 2, 3} and all(len(x) == 64 for x in sig.values())
+    assert sig[1] != {r[0]: r[1] for r in sketches.weighted_minhash(w, 64, normalize=False).collect()}[1]
+
+
+def test_dense_over_given_places(spark):
+    d = spark.createDataFrame([(1, 10, 2), (1, 30, -6), (2, 20, 1)], "reaction_id long, token long, delta long")
+    places = spark.createDataFrame([(10, 0), (20, 1), (30, 2)], "token long, place int")
+    assert rows(multiset.dense_over(d, places, 3)) == [(1, [2.0, 0.0, -6.0]), (2, [0.0, 1.0, 0.0])]
+    assert rows(multiset.dense_over(d, places, 3, 2, True)) == [(1, [0.25, 0.0, 0.0, 0.0, 0.0, 0.75]), (2, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    with pytest.raises(Exception, match="no place for token 30"):
+        multiset.dense_over(d, places.where("token < 30"), 3).collect()
+
+
+def test_flat(spark):
+    assert spark.createDataFrame([([[1, 2], [3]],)], "x array<array<int>>").select(sketches.flat(F.col("x"))).first()[0] == [1, 2, 3]
+
+
+def test_exchange_hash():
+    assert exchange_hash("('a', 1)") != exchange_hash("('a', 1.0)") and exchange_hash("x", 1) != exchange_hash("x") and exchange_hash("x", person=b"other") != exchange_hash("x")
+    assert 0 <= exchange_hash("x") < 2**64
 
 
 def test_hash_columns(spark):
-    df = spark.createDataFrame([("abc", 1)], "s string, n int")
-    assert df.select(token_hash(F.col("s"))).first()[0] == 648541476951500027
-    assert int(df.select(repr_hash_udf(lambda s, n: (s, int(n)))("s", "n")).first()[0]) == repr_hash(("abc", 1))
+    assert spark.createDataFrame([("abc",)], "s string").select(token_hash(F.col("s"))).first()[0] == 648541476951500027

@@ -104,3 +104,24 @@ def test_sinks(spark, tmp_path):
     tables.write_fingerprints(df, str(tmp_path / "wide"), 8, wide=True)
     assert tables.read_any(spark, str(tmp_path / "wide")).columns == ["reaction_id", *[f"b_{i}" for i in range(8)]]
     assert tables.to_matrix(df.where("false"))[1].shape == (0, 0)
+
+
+def test_package_surface(spark):
+    import molweave
+
+    assert all(hasattr(molweave, n) for n in molweave.__all__)
+    texts = ["CCO>>CC=O", "CCO.O>>CC(=O)O"]
+    whole = molweave.Encoder.encode(spark, texts, bits=64, radius=1)
+    assert whole.shape == (2, 64) and (molweave.Encoder.encode(spark, texts, batch_size=1, bits=64, radius=1) == whole).all()
+    for bad in (0, -5):
+        with pytest.raises(ValueError):
+            molweave.Encoder(spark, batch_size=bad)
+    r = molweave.Encoder(spark, molweave.FingerprintConfig(bits=64, radius=1)).result(texts[0])
+    assert r.to_binary() == whole[0].tolist() and (r.as_array() == whole[0]).all() and r.mode == "delta"
+    assert sum(r.tokens_r.values()) == sum(r.tokens_p.values()) == 6 and len(r.support) == len(r.delta)
+    assert r.delta == {t: r.tokens_p.get(t, 0) - r.tokens_r.get(t, 0) for t in r.delta} and "mode delta" in repr(r)
+    with pytest.raises(TypeError):
+        molweave.Result({}, {}, {}, [], [-1, 1], "delta").to_binary()
+    assert "wl" in molweave.describe() and "round" in molweave.describe("wl") and "encode_many" in molweave.Encoder.describe()
+    with pytest.raises(ValueError):
+        molweave.describe("nothing")
