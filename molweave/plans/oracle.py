@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from molweave.operators.sketches import PRIME, permutations
-from molweave.plans.queries import BITS, MINHASHES, SAMPLES, SIGNS
+from molweave.plans.queries import BITS, MINHASHES, PLAIN, SAMPLES, SIGNS
 
 
 def _token(text: str) -> str:
@@ -109,6 +109,36 @@ def _signature_bits(tok: str, combine: str, support: str) -> str:
     return f"{tok}, {SIDE_TOKENS}, {combine}, {support}"
 
 
+PLAIN_ATOMS = "a as (select graph_id, node_id, concat_ws('|', coalesce(element, '~'), coalesce(cast(aromatic as varchar), '~'), coalesce(cast(charge as varchar), '~'), coalesce(cast(hcount as varchar), '~')) as label from n)"
+
+
+def _ego_round(k: int) -> str:
+    return f"""r{k} as (select w.graph_id, w.center, w.k, w.src as node_id, string_agg(w.bond || ':' || l.t, ',' order by w.bond || ':' || l.t) as around
+  from w join l{k - 1} l on w.graph_id = l.graph_id and w.center = l.center and w.k = l.k and w.dst = l.node_id group by all),
+ l{k} as (select l.graph_id, l.center, l.k, l.node_id, md5(l.t || '|' || coalesce(around, '')) as t from l{k - 1} l left join r{k} r using (graph_id, center, k, node_id))"""
+
+
+# Egos are small: two rounds of refinement inside them tell their classes apart.
+EGO_CLASSES = f"""with {N}, {E}, {INNER}, {PLAIN_ATOMS},
+ y as (select graph_id, u as src, v as dst, {BOND} as bond from j union all select graph_id, v, u, {BOND} from j),
+ m as (select graph_id, node_id as center, node_id, 0 as k from n union all select distinct * from (select graph_id, node_id, node_id, 1 from n union all select graph_id, src, dst, 1 from y)),
+ l0 as (select m.graph_id, center, k, node_id, label as t from m join a using (graph_id, node_id)),
+ w as (select p.graph_id, p.center, p.k, y.src, y.dst, y.bond from m p join y on p.graph_id = y.graph_id and p.node_id = y.src join m q on p.graph_id = q.graph_id and p.center = q.center and p.k = q.k and q.node_id = y.dst),
+ {_ego_round(1)}, {_ego_round(2)},
+ cls as (select graph_id, center, k, string_agg(t, ',' order by t) as c from l2 group by all),
+ tok as (select graph_id, c, count(*) as cnt from cls group by all)
+ select graph_id, cnt, cast(sum(cnt) over (partition by c) as bigint) as everywhere, count(*) over (partition by c) as graphs from tok"""
+
+
+def _rsmi_counts() -> str:
+    """Bonds are atoms less molecules plus ring closures, each of which is two digits outside brackets."""
+    bare = r"regexp_replace({0}, '\[[^\]]*\]', 'X', 'g')"
+    atoms = f"len(regexp_extract_all({bare}, 'Cl|Br|[BCNOPSFIX]|[bcnops]'))"
+    bonds = f"{atoms} - len(regexp_extract_all({bare}, '[^.]+')) + len(regexp_extract_all({bare}, '[1-9]')) // 2"
+    cells = ", ".join(f"cast({x.replace('{0}', s)} as int) as {n}_{s}" for s in "rp" for x, n in ((atoms, "nodes"), (bonds, "edges")))
+    return f"with plain as (select record_id as reaction_id, string_split(rsmi, '>>')[1] as r, string_split(rsmi, '>>')[2] as p from reactions where regexp_full_match(rsmi, '{PLAIN}>>{PLAIN}')) select reaction_id, {cells} from plain"
+
+
 def oracle_sql() -> dict[str, str]:
     ego = f"{BASE}, y as (select graph_id, u as src, v as dst from j union all select graph_id, v, u from j), h0 as (select graph_id, node_id as center, node_id, 0 as hop from n)"
     for k in (1, 2):
@@ -154,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "pos_neg_maps": f"with {T}, {D} select reaction_id, token, greatest(delta, 0) as pos, greatest(-delta, 0) as neg from delta",
         "l1_weights": f"with {T}, {D} select reaction_id, token, cast(delta as double) / sum(abs(delta)) over (partition by reaction_id) as w from delta",
         "vocab_rank": f"with {T}, {D} select reaction_id, token, cast(row_number() over (partition by reaction_id order by token) - 1 as int) as rank from delta",
-        "dense_vectors": f"with {T}, {D} select reaction_id, cast(2 * count(*) as int) as n, cast(sum(abs(delta)) as double) as total from delta group by all",
+        "dense_vectors": f"with {T}, {D}, ranked as (select reaction_id, delta, row_number() over (partition by reaction_id order by token) - 1 as r, count(*) over (partition by reaction_id) as n from delta) select reaction_id, cast(r as int) as i, cast(greatest(delta, 0) as double) as value from ranked union all select reaction_id, cast(n + r as int), cast(greatest(-delta, 0) as double) from ranked",
         "odd_tokens": f"with {T}, {U} select reaction_id, token from uni where cnt % 2 = 1",
         "parity_bits_delta": f"with {T}, {D}, {S}, {_parity('s')} select * from bits",
         "parity_bits_union": f"with {T}, {U}, {union_support}, {_parity('s')} select * from bits",
@@ -183,7 +213,9 @@ def oracle_sql() -> dict[str, str]:
         "fingerprint_matrix_wide": f"{on}, r as (select distinct {SIDE} from nodes), rr as (select distinct reaction_id from r) select rr.reaction_id, "
         + ", ".join(f"max(case when bit = {i} then 1 else 0 end) as b_{i}" for i in range(16))
         + " from rr left join bits on rr.reaction_id = bits.reaction_id group by rr.reaction_id",
-        "fingerprint_results": f"{wl1}, {SIDE_TOKENS}, {D} select reaction_id, 'delta' as mode, cast(sum(case when side = 'R' then cnt else 0 end) as bigint) as in_r, cast(sum(case when side = 'P' then cnt else 0 end) as bigint) as in_p, "
-        "cast(coalesce(any_value(ch), 0) as bigint) as changed, cast(coalesce(any_value(c), 0) as int) as support_size from t left join (select reaction_id, sum(abs(delta)) as ch, count(*) as c from delta group by all) using (reaction_id) group by reaction_id",
+        "fingerprint_results": f"{wl1}, {SIDE_TOKENS}, {D}, {S}, stages as (select reaction_id, lower(side) as stage, token, cnt from t union all select reaction_id, 'delta', token, delta from delta union all select reaction_id, 'support', enc, 1 from s) select reaction_id, 'delta' as mode, stage, token, cnt from stages",
+        "signature_classes": f"{_refined(4, atoms=PLAIN_ATOMS)}, whole as (select graph_id, string_agg(cast(token as varchar) || 'x' || cast(cnt as varchar), ',' order by token) as c from tok group by all) select graph_id, count(*) over (partition by c) as alike from whole",
+        "ego_classes_r1": EGO_CLASSES,
+        "rsmi_counts": _rsmi_counts(),
         "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by all",
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from molweave.operators import graph, multiset, similarity, sketches, tokens
 from molweave.plans.engine import FingerprintConfig, fingerprint_bits, fingerprint_graphs, fingerprint_strings, reaction_tokens, results
@@ -44,9 +45,33 @@ def _wide(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def _results(n: DataFrame, e: DataFrame) -> DataFrame:
+    """All stages, one row for each token of each."""
     r = results(n, e, FingerprintConfig(radius=1))
-    total = lambda c: F.aggregate(F.coalesce(F.col(c), F.array()), F.lit(0).cast("bigint"), lambda acc, x: acc + F.abs(x["cnt"]))
-    return r.select("reaction_id", "mode", total("tokens_r").alias("in_r"), total("tokens_p").alias("in_p"), total("delta").alias("changed"), F.coalesce(F.size("support"), F.lit(0)).alias("support_size"))
+    entry = lambda c, x: F.transform(F.coalesce(c, F.array().cast("array<struct<token:bigint,cnt:bigint>>")), lambda v: F.struct(F.lit(x).alias("stage"), v["token"].alias("token"), v["cnt"].alias("cnt")))
+    support = F.transform(F.coalesce("support", F.array().cast("array<bigint>")), lambda v: F.struct(F.lit("support").alias("stage"), v.alias("token"), F.lit(1).cast("bigint").alias("cnt")))
+    stages = F.concat(entry(F.col("tokens_r"), "r"), entry(F.col("tokens_p"), "p"), entry(F.col("delta"), "delta"), support)
+    return r.select("reaction_id", "mode", F.explode(stages).alias("x")).select("reaction_id", "mode", "x.stage", "x.token", "x.cnt")
+
+
+def _alike(df: DataFrame, key: str) -> DataFrame:
+    """Whatever names the classes, the number of graphs in each graph's class."""
+    return df.select("graph_id", F.count("*").over(Window.partitionBy(key)).alias("alike"))
+
+
+def _ego_classes(n: DataFrame, e: DataFrame) -> DataFrame:
+    """For each ego class of each graph its number there, everywhere and of graphs that have it."""
+    same = Window.partitionBy("token")
+    return tokens.ego_tokens(n, e, 1).select("graph_id", "cnt", F.sum("cnt").over(same).alias("everywhere"), F.count("*").over(same).alias("graphs"))
+
+
+# What a plainly written reaction string consists of.
+PLAIN = r"(Cl|Br|[BCNOPSFI]|[bcnops]|\[[0-9]*[A-Z][a-z]?@{0,2}(H[0-9]?)?([+-][0-9]?)?\]|[-=#/().1-9])+"
+
+
+def _counts(r: DataFrame) -> DataFrame:
+    """Atoms and bonds of both sides of the plainly written strings."""
+    parsed = rsmi.read_rsmi(r.where(F.col("rsmi").rlike(f"^{PLAIN}>>{PLAIN}$")).select(F.col("record_id").alias("reaction_id"), "rsmi"))
+    return parsed.select("reaction_id", *[F.size(f"{side}.{what}").alias(f"{what}_{short}") for side, short in (("reactant", "r"), ("product", "p")) for what in ("nodes", "edges")])
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +132,7 @@ def queries() -> dict[str, Query]:
         "pos_neg_maps": _deltas(multiset.pos_neg),
         "l1_weights": _deltas(multiset.l1_weights),
         "vocab_rank": _deltas(multiset.vocab_rank),
-        "dense_vectors": _deltas(lambda d: multiset.dense(d, 2).select("reaction_id", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))),
+        "dense_vectors": _deltas(lambda d: _signature(multiset.dense(d, 2), "vector")),
         "odd_tokens": _tokens(multiset.odd_tokens),
         "parity_bits_delta": _deltas(lambda d: sketches.parity_bits(multiset.signed_support(d), BITS, 1)),
         "parity_bits_union": _tokens(lambda t: sketches.parity_bits(multiset.plain_support(multiset.union(t)), BITS, 1)),
@@ -129,6 +154,9 @@ def queries() -> dict[str, Query]:
         "fingerprint_wl_srp": _graphs(lambda n, e: fingerprint_bits(n, e, FingerprintConfig(sketch="srp", radius=1, bits=64))),
         "fingerprint_matrix_wide": _graphs(_wide),
         "fingerprint_results": _graphs(_results),
+        "signature_classes": _graphs(lambda n, e: _alike(tokens.graph_signatures(n, e), "signature")),
+        "ego_classes_r1": _graphs(_ego_classes),
+        "rsmi_counts": reads(_counts),
         "rsmi_graphs": reads(lambda r: rsmi.read_rsmi(keyed(r)).select("reaction_id", F.size("reactant.nodes").alias("atoms_r"), F.size("product.nodes").alias("atoms_p"), F.size("reactant.edges").alias("bonds_r"), "error")),
         "rsmi_fingerprints": reads(lambda r: fingerprint_strings(keyed(r), FingerprintConfig(radius=1, bits=256)).select("reaction_id", F.aggregate("fingerprint", F.lit(0), lambda a, x: a + x).alias("on"), "error")),
         "rsmi_row_local": reads(lambda r: stream.row_local_bits(keyed(r), 1, 256).select("reaction_id", F.size("bits").alias("on"), "error")),
