@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from molweave.llm import clusters, copies, mixing, neighbours, packing, setjoin, subjects, terms
-from molweave.session import read
+from molweave.llm.sizes import CAPACITY, plain_source, sized
+from molweave.session import cut, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +19,34 @@ def _over(f: Callable[..., DataFrame], *tables: str) -> Query:
     return lambda spark, sf_dir: f(*[read(spark, sf_dir, t) for t in tables])
 
 
+def packing_checks(placed: DataFrame) -> DataFrame:
+    """What holds for any right packing, and that this one needs at most a thousandth more containers than the sizes do."""
+    placed = cut(placed)
+    r = packing.report(placed)
+    split = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("size"), F.max("piece").alias("last"))
+    whole = split.agg(F.coalesce(F.bool_and((F.col("pieces") == F.ceil(F.col("size") / CAPACITY)) & (F.col("last") == F.col("pieces") - 1)), F.lit(True)).alias("split_only_large"))
+    fits, tight = F.col("fullest") <= CAPACITY, F.col("containers") <= F.ceil(F.col("least_containers") * 1.001)
+    return r.select("items", "used", "least_containers", fits.alias("fits"), tight.alias("tight"), F.lit(whole.first()[0]).alias("split_only_large"))
+
+
+def mix_checks(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of every source whether it must fall short, and whether its use is within a document of what it can fill."""
+    own = sized(documents).select(plain_source(F.col("source")).alias("plain"), "size").groupBy("plain").agg(F.sum("size").alias("own"), F.max("size").alias("largest"))
+    t = targets.where("source is not null").select("source", "max_repeats", plain_source(F.col("source")).alias("plain")).join(own, "plain", "left").na.fill(0, ["own", "largest"])
+    r = mixing.shares(documents, targets).join(t.drop("plain"), "source")
+    can = F.least(F.col("target_share") * F.sum("own").over(Window.partitionBy(F.lit(1))), F.col("max_repeats") * F.col("own"))
+    near = F.abs(F.col("used") - can) <= F.col("largest") + 1
+    return r.select("source", "own", "short", near.alias("filled"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+def subject_votes(documents: DataFrame, labels: DataFrame, subjects_table: DataFrame) -> DataFrame:
+    """Of every subject the raters' votes, and whether at least four fifths of them are found."""
+    votes = labels.select("doc_id", "subject_id").distinct().join(sized(documents).select("doc_id"), "doc_id", "left_semi").join(subjects_table.select("subject_id"), "subject_id", "left_semi")
+    found = subjects.assigned_subjects(documents, labels, subjects_table).select("doc_id", "subject_id", F.lit(1).alias("hit"))
+    by = votes.join(found, ["doc_id", "subject_id"], "left").groupBy("subject_id").agg(F.count("*").alias("votes"), F.count("hit").alias("hits"))
+    return by.select("subject_id", "votes", (F.col("hits") >= 0.8 * F.col("votes")).alias("agree"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(copies.copy_pairs, "reactions"),
@@ -32,6 +63,9 @@ def queries() -> dict[str, Query]:
         "p6_found": _over(lambda d: packing.split_documents(packing.assign(d)), "documents"),
         "p6_containers": _over(packing.assign, "documents"),
         "p6_report": _over(lambda d: packing.report(packing.assign(d)), "documents"),
+        "p6_checks": _over(lambda d: packing_checks(packing.assign(d)), "documents"),
+        "p7_checks": _over(mix_checks, "documents", "source_targets"),
+        "p8_votes": _over(subject_votes, "documents", "doc_labels", "subjects"),
         "p7_found": _over(mixing.short_sources, "documents", "source_targets"),
         "p7_mix": _over(mixing.mix, "documents", "source_targets"),
         "p7_shares": _over(mixing.shares, "documents", "source_targets"),
@@ -164,4 +198,15 @@ select cluster_id, size, cast(rank as int) as rank, fp_id, mean_cosine from plac
   left join sized d on lower(regexp_replace(d.source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) = lower(regexp_replace(t.source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))
   group by all)
 select source from owned where target_share * (select sum(s) from owned) > max_repeats * s""",
+        "p6_checks": SIZED
+        + """select cast(coalesce(sum(ceil(size / 4096.0)), 0) as bigint) as items, cast(coalesce(sum(size), 0) as bigint) as used, cast(coalesce(ceil(sum(size) / 4096.0), 0) as bigint) as least_containers,
+true as fits, true as tight, true as split_only_large from sized""",
+        "p7_checks": SIZED
+        + """, owned as (
+  select t.source, t.target_share, t.max_repeats, cast(coalesce(sum(d.size), 0) as bigint) as s from source_targets t
+  left join sized d on lower(regexp_replace(d.source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) = lower(regexp_replace(t.source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))
+  group by all)
+select source, s as own, target_share * (select sum(s) from owned) > max_repeats * s as short, true as filled, true as repeats_kept from owned""",
+        "p8_votes": SIZED
+        + """select subject_id, count(*) as votes, true as agree from (select distinct doc_id, subject_id from doc_labels) l semi join sized using (doc_id) semi join subjects using (subject_id) group by all""",
     }

@@ -141,6 +141,18 @@ def test_mix(spark):
     assert again == {k: r.uses for k, r in got.items()}
 
 
+def test_rare_patterns_count_as_not_shared(spark, monkeypatch):
+    rows = [(i, f"text {i // 3}", None, "abc"[i % 3]) for i in range(60)] + [(100 + i, f"pair {i // 2}", None, "ab"[i % 2]) for i in range(80)]
+    targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.4, 2), ("c", 0.2, 2)], TARGETS)
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+    made = mixing._documents(docs, targets)
+    assert {r.pattern for r in made.select("pattern").distinct().collect()} == {"a\tb", "a", "b", "c"} and made.count() == 140
+    total = made.agg({"size": "sum"}).first()[0]
+    used = {r.source: r.used for r in mixing.shares(docs, targets).collect()}
+    assert all(abs(used[s] - x * total) < 20 for s, x in (("a", 0.4), ("b", 0.4), ("c", 0.2)))
+
+
 def test_mix_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     none = spark.createDataFrame([], DOCS)
