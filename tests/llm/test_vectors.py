@@ -141,10 +141,17 @@ def test_pairs_come_once(spark):
     assert len(found) == len(set(found)) and all(a < b for a, b in found)
 
 
-@pytest.mark.parametrize(("cell_rows", "block"), [(1500, 2048), (15, 2048), (1500, 8)])
-def test_clusters(spark, monkeypatch, cell_rows, block):
-    monkeypatch.setattr(clusters, "CELL_ROWS", cell_rows)
+def crowd(monkeypatch, root, block):
+    monkeypatch.setattr(clusters, "CELLS_ROOT", root)
     monkeypatch.setattr(clusters, "BLOCK", block)
+    if block < 2048:
+        monkeypatch.setattr(clusters, "ASK_ROWS", 8 * block)
+        monkeypatch.setattr(clusters, "HELD_ROWS", 12 * block)
+
+
+@pytest.mark.parametrize(("root", "block"), [(0.2, 2048), (1.5, 2048), (0.01, 8), (1.0, 8)])
+def test_clusters(spark, monkeypatch, root, block):
+    crowd(monkeypatch, root, block)
     rows = made(2)
     _, label = brute(rows)
     sizes = {}
@@ -164,8 +171,7 @@ def members_of(label):
 @pytest.mark.parametrize("block", [2048, 8])
 def test_families_that_touch_become_one_cluster(spark, monkeypatch, block):
     """Centres that differ in the same 46 places: links of cosine 0.6 cross the boundary from far away."""
-    monkeypatch.setattr(clusters, "CELL_ROWS", 15)
-    monkeypatch.setattr(clusters, "BLOCK", block)
+    crowd(monkeypatch, 1.2, block)
     rng = np.random.default_rng(7)
     centre = rng.choice([-1, 1], 256)
     other = np.where(np.arange(256) < 46, -centre, centre)
@@ -178,12 +184,26 @@ def test_families_that_touch_become_one_cluster(spark, monkeypatch, block):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_clusters_over_many_bundles(spark, monkeypatch, seed):
-    monkeypatch.setattr(clusters, "CELL_ROWS", 10)
-    monkeypatch.setattr(clusters, "BLOCK", 4)
+def test_clusters_over_many_cells(spark, monkeypatch, seed):
+    crowd(monkeypatch, 2.0, 4)
     rows = made(20 + seed)
-    got = {(r.cluster_id, r.fp_id) for r in clusters.cluster_members(spark.createDataFrame(rows, PRINTS)).collect()}
-    assert got == members_of(brute(rows)[1])
+    for margin in (None, clusters.widest(0.6)):
+        got = {(r.cluster_id, r.fp_id) for r in clusters.cluster_members(spark.createDataFrame(rows, PRINTS), margin=margin).collect()}
+        assert got == members_of(brute(rows)[1])
+
+
+def test_margin_spares_comparisons(spark):
+    """Families whose links need little: the measured margin is far below the one that no data can defeat."""
+    rows = [(fp, x) for fp, _, x in families(3, 200, 6, 0.05)]
+    uniq = spark.createDataFrame([(fp, vectors.pack(np.array([x]))[0]) for fp, x in rows], "uid long, bits binary")
+    x = vectors.unit(np.array([v for _, v in rows], np.float32))
+    model = clusters.fit_cells(x, 24)
+    margin = clusters.measured_margin(uniq, model, 0.6)
+    near, far = clusters.boundaries(model, x)
+    assert margin < 0.6 * clusters.widest(0.6) and (far <= margin).sum() < 0.7 * (far <= clusters.widest(0.6)).sum()
+    sims = x @ x.T >= 0.6
+    a, b = np.nonzero(sims)
+    assert (np.minimum(far[a, near[b]], far[b, near[a]]) <= margin).all()
 
 
 def test_medoids(spark):
