@@ -18,7 +18,10 @@ different sets matches by either, never itself; ties cannot occur as all pairs c
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ LONG_LIST = 128
 FREQUENT_ROWS = 100_000
 MOST_SHARED = 5
 LANE_ROWS = 1_000
+MOST_LISTS = 100_000
 
 
 def _as_set(tokens: Column) -> Column:
@@ -78,10 +82,14 @@ def _met_in_blocks(posts: DataFrame, *conds: Column) -> DataFrame:
 def _split(posts: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame | None]:
     """Postings of short and of long lists, the latter with their length ``posted``; none if no list is long."""
     lists = cut(posts.groupBy("family", "key").agg(F.count("*").alias("posted")).where(F.col("posted") > long_list))
-    total = lists.agg(F.sum("posted")).first()[0]
-    if not total:
+    count, total = lists.agg(F.count("*"), F.sum("posted")).first()
+    if not count:
         return posts, None
-    flagged = join_grouped(posts, lists, ["family", "key"], "posted", total, "left")
+    # Few long lists are broadcast, so that only what a join needs is shuffled; many meet their postings by shuffle.
+    if count <= MOST_LISTS:
+        flagged = posts.join(F.broadcast(lists), ["family", "key"], "left")
+    else:
+        flagged = join_grouped(posts, lists, ["family", "key"], "posted", total, "left")
     return flagged.where("posted is null").drop("posted"), flagged.where("posted is not null")
 
 
@@ -90,17 +98,6 @@ def _only_copies(n: int, t: float) -> bool:
     return math.ceil(t * n - 1e-9) == n and math.floor(n / t + 1e-9) == n
 
 
-def _signature(tokens: Column, word: int) -> Column:
-    """One of two words of 64 bits: each token sets one bit of the 128."""
-
-    def bit(x: Column) -> Column:
-        place = F.pmod(F.xxhash64(x), F.lit(128)).cast("int")
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
-        return F.when((place >= 64) == F.lit(bool(word)), one).otherwise(F.lit(0).cast("long"))
-
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
-
-
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``family, uid, tokens, n, has_r, copies`` of the different sets, and ``family, uid, src, id``."""
     named = sets.withColumn("uid", F.unhex(F.md5(F.array_join(F.col("tokens").cast("array<string>"), ","))))
@@ -109,20 +106,56 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return uniq.withColumn("n", F.size("tokens")), members
 
 
+def _prefixes(frequent: dict[str, tuple[np.ndarray, np.ndarray]], t: float):
+    """``family, uid, has_r, tokens`` to what ``_posts`` gives, row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(3)
+            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            row, token = np.repeat(np.arange(len(n)), n), np.asarray(lists.flatten(), np.int64)
+            df = np.zeros(len(token), np.int64)
+            family = np.asarray(batch.column(0).to_pylist(), object)[row]
+            for name, (known, times) in frequent.items():
+                mine = np.flatnonzero(family == name)
+                at = np.minimum(np.searchsorted(known, token[mine]), len(known) - 1)
+                df[mine] = np.where(known[at] == token[mine], times[at], 0)
+            # Tokens of equal frequency in an order that looks random; no two tokens have the same number.
+            h = token.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            order = np.lexsort((h, df, row))
+            starts = np.cumsum(n) - n
+            p1 = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
+            kept = np.minimum(n, p1 + MOST_SHARED - 1)
+            inside = np.arange(len(token)) - np.repeat(starts, n) < np.repeat(kept, n)
+            prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.array(token[order][inside]))
+            # Each token sets one of 128 bits.
+            place = h >> np.uint64(57)
+            bit = np.uint64(1) << (place & np.uint64(63))
+            words = [np.bitwise_or.reduceat(np.where((place >> np.uint64(6)) == np.uint64(w), bit, np.uint64(0)), starts).view(np.int64) for w in (0, 1)]
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(n.astype(np.int32)), *map(pa.array, words), pa.array(p1.astype(np.int32)), prefix]
+            yield pa.record_batch(columns, ["family", "uid", "has_r", "n", "s0", "s1", "p1", "prefix"])
+
+    return run
+
+
 def _posts(live: DataFrame, t: float) -> DataFrame:
     """``family, uid, has_r, n, s0, s1, p1, prefix``: signatures, and the first tokens in rare-first order, as
     many as the deepest level needs; ``p1`` of them are the 1-prefix."""
-    posts = live.select("family", "uid", F.explode("tokens").alias("token"))
-    df = cut(posts.groupBy("family", "token").agg(F.count("*").alias("df")).where("df > 1"))
+    df = live.select("family", F.explode("tokens").alias("token")).groupBy("family", "token").agg(F.count("*").alias("df")).where("df > 1")
+    df = cut(df)
     total = df.agg(F.sum("df")).first()[0] or 0
-    # At most FREQUENT_ROWS tokens can reach this frequency, so their table may be broadcast.
-    frequent = df.where(F.col("df") >= max(4, total // FREQUENT_ROWS))
-    entry = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h"), "token")
-    ranked = posts.join(F.broadcast(frequent), ["family", "token"], "left").groupBy("family", "uid").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["token"]).alias("ordered"))
-    n = F.size("ordered")
-    p1 = (n - F.ceil(n * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
-    ranked = ranked.join(live.select("family", "uid", "has_r"), ["family", "uid"])
-    return ranked.select("family", "uid", "has_r", n.alias("n"), _signature(F.col("ordered"), 0).alias("s0"), _signature(F.col("ordered"), 1).alias("s1"), p1.alias("p1"), F.slice("ordered", F.lit(1), p1 + MOST_SHARED - 1).alias("prefix"))
+    # At most FREQUENT_ROWS tokens can reach this frequency; all others count as equally rare.
+    rows = df.where(F.col("df") >= max(4, total // FREQUENT_ROWS)).collect()
+    frequent = {}
+    for name in {r["family"] for r in rows}:
+        mine = sorted((r["token"], r["df"]) for r in rows if r["family"] == name)
+        frequent[name] = tuple(np.array(x, np.int64) for x in zip(*mine))
+    schema = "family string, uid binary, has_r boolean, n int, s0 long, s1 long, p1 int, prefix array<long>"
+    return live.select("family", "uid", "has_r", "tokens").mapInArrow(_prefixes(frequent, t), schema)
 
 
 def similar_classes(uniq: DataFrame, t: float = THRESHOLD, long_list: int = LONG_LIST) -> DataFrame:

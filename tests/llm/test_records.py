@@ -105,6 +105,7 @@ def test_similar_sets_equal_brute_force(spark, t, long_list, monkeypatch):
 def test_boilerplate_in_all_sets(spark, monkeypatch, small):
     """Six tokens in every set, so that lists stay long at all levels; classes with many copies."""
     monkeypatch.setattr(setjoin, "LANE_ROWS", 7)
+    monkeypatch.setattr(setjoin, "MOST_LISTS", 100_000 if small else 0)
     rnd = random.Random(9)
     rows = []
     for i in range(90):
