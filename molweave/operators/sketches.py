@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molweave.functions.hashing import seeded_hash, token_hash
+from molweave.session import by_key
 
 PRIME = (1 << 31) - 1
 
@@ -60,7 +61,7 @@ def minhash(support: DataFrame, m: int = 64, seed: int = 1) -> DataFrame:
     check_size(m, "m")
     check_seed(seed)
     hashed = support.where("enc is not null").select("reaction_id", (token_hash(F.concat(F.lit("mh|"), F.col("enc").cast("string"))) % PRIME).alias("h"))
-    sets = hashed.groupBy("reaction_id").agg(F.collect_set("h").alias("hs"))
+    sets = by_key(hashed, "reaction_id").groupBy("reaction_id").agg(F.collect_set("h").alias("hs"))
     signature = F.transform(_maps(m, seed), lambda p: F.array_min(F.transform("hs", lambda h: (p["a"] * h + p["b"]) % PRIME)))
     return sets.select("reaction_id", signature.alias("signature"))
 
@@ -77,31 +78,25 @@ def weighted_minhash(weights: DataFrame, m: int = 64, seed: int = 1, normalize:
     check_seed(seed)
     signs = F.explode(F.array(F.struct(F.lit("+").alias("s"), F.col("pos").alias("w")), F.struct(F.lit("-").alias("s"), F.col("neg").alias("w"))))
     rows = weights.where("token is not null").select("reaction_id", "token", signs.alias("x")).where("x.w > 0")
-    entry = F.struct(F.concat_ws("|", "x.s", F.col("token").cast("string")).alias("t"), F.col("x.w").cast("double").alias("w"))
-    sets = rows.groupBy("reaction_id").agg(F.collect_list(entry).alias("ts"), F.sum("x.w").cast("double").alias("whole"))
-
-    def drawn(i: Column, e: Column) -> Column:
-        """The hash of a token in a place, whose 30 first digits are five numbers of 24 bits."""
-        weight = e["w"] / F.col("whole") if normalize else e["w"]
-        return F.struct(e["t"].alias("t"), F.ln(weight).alias("lw"), F.md5(F.concat_ws("|", F.lit("cws"), F.lit(str(seed)), i.cast("string"), e["t"])).alias("h"))
-
-    def uniform(h: Column, j: int) -> Column:
-        return (F.conv(F.substring(h, 1 + 6 * j, 6), 16, 10).cast("bigint") + 0.5) / 16777216.0
-
-    def shaped(x: Column) -> Column:
-        r = -(F.ln(uniform(x["h"], 0)) + F.ln(uniform(x["h"], 1)))
-        c = -(F.ln(uniform(x["h"], 2)) + F.ln(uniform(x["h"], 3)))
-        return F.struct(x["t"].alias("t"), x["lw"].alias("lw"), r.alias("r"), c.alias("c"), uniform(x["h"], 4).alias("b"))
-
-    def scored(x: Column) -> Column:
-        step = F.floor(x["lw"] / x["r"] + x["b"])
-        return F.struct((F.ln(x["c"]) - x["r"] * (step - x["b"]) - x["r"]).alias("score"), x["t"].alias("t"), step.cast("bigint").alias("step"))
-
-    def place(i: Column) -> Column:
-        return F.array_min(F.transform(F.transform(F.transform("ts", lambda e: drawn(i, e)), shaped), scored))
-
-    picked = sets.select("reaction_id", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), place).alias("p"))
-    return picked.select("reaction_id", F.transform("p", lambda x: token_hash(F.concat_ws("|", F.lit("cwv"), x["t"], x["step"].cast("string")))).alias("signature"))
+    # One shuffle by reaction: the draws and the two aggregations behind it keep its partitioning.
+    sets = by_key(rows, "reaction_id").groupBy("reaction_id").agg(F.collect_list(F.struct("token", "x.s", F.col("x.w").cast("double").alias("w"))).alias("ts"), F.sum("x.w").cast("double").alias("whole"))
+    each = sets.select("reaction_id", "whole", F.explode("ts").alias("e")).select("reaction_id", "whole", "e.token", "e.s", "e.w", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"))
+    # 30 digits of the hash are five numbers of 24 bits: two for r, two for c, one for the shift.
+    text = F.concat_ws("|", F.lit("cws"), F.lit(str(seed)), F.col("i").cast("string"), "s", F.col("token").cast("string"))
+    lw = F.ln(F.col("w") / F.col("whole") if normalize else F.col("w"))
+    drawn = each.select("reaction_id", "i", "token", "s", lw.alias("lw"), F.md5(text).alias("h"))
+    part = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("bigint")
+    drawn = drawn.select("reaction_id", "i", "token", "s", "lw", part(1, 12).alias("x"), part(13, 12).alias("y"), part(25, 6).alias("z"))
+    uniform = lambda v: (v + 0.5) / 16777216.0
+    gamma = lambda c: -(F.ln(uniform(F.shiftright(c, 24))) + F.ln(uniform(F.col(c).bitwiseAND(F.lit(16777215)))))
+    shaped = drawn.select("reaction_id", "i", "token", "s", "lw", gamma("x").alias("r"), gamma("y").alias("c"), uniform(F.col("z")).alias("b"))
+    stepped = shaped.withColumn("step", F.floor(F.col("lw") / F.col("r") + F.col("b")))
+    score = F.ln("c") - F.col("r") * (F.col("step") - F.col("b")) - F.col("r")
+    picked = stepped.select("reaction_id", "i", "token", "s", F.col("step").cast("bigint").alias("step"), score.alias("score"))
+    best = picked.groupBy("reaction_id", "i").agg(*[F.min_by(c, "score").alias(c) for c in ("token", "s", "step")])
+    value = token_hash(F.concat_ws("|", F.lit("cwv"), "s", F.col("token").cast("string"), F.col("step").cast("string")))
+    whole = best.groupBy("reaction_id").agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("p"))
+    return whole.select("reaction_id", F.transform("p", lambda x: x["v"]).alias("signature"))
 
 
 def srp(weights: DataFrame, m: int = 256, seed: int = 0) -> DataFrame:
@@ -114,7 +109,7 @@ def srp(weights: DataFrame, m: int = 256, seed: int = 0) -> DataFrame:
     blocks = -(-m // 60)
     hashes = F.array(*[seeded_hash(f"srp{b}", seed, F.col("token")) for b in range(blocks)])
     rows = weights.where("token is not null").select("reaction_id", (F.col("pos") - F.col("neg")).cast("bigint").alias("w"), hashes.alias("hs"))
-    packed = rows.groupBy("reaction_id").agg(F.collect_list(F.struct("w", "hs")).alias("x"))
+    packed = by_key(rows, "reaction_id").groupBy("reaction_id").agg(F.collect_list(F.struct("w", "hs")).alias("x"))
 
     def sign(i: Column) -> Column:
         bit = lambda x: F.call_function("shiftright", F.get(x["hs"], (i / 60).cast("int")), (i % 60).cast("int")).bitwiseAND(F.lit(1))

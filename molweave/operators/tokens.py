@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from molweave.functions.hashing import token_hash
 from molweave.model import EDGE_ATTRS, NODE_ATTRS, label
 from molweave.operators import canonical, graph
-from molweave.session import cut
+from molweave.session import by_key, cut
 
 # Tags that keep the tokens of the extractors apart.
 WL = ("a0", "b", "wl")
@@ -64,8 +64,8 @@ def refine(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str
 def _refine_rows(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str, str], node_attrs: tuple[str, ...], edge_attrs: tuple[str, ...]) -> DataFrame:
     first, bond, step = tags
     # One shuffle of each table: cleaning, packing and the join all keep this partitioning.
-    atoms = graph.clean_nodes(_without_map(nodes, node_attrs).repartition("graph_id"))
-    bonds = graph.clean_edges(_without_map(edges, edge_attrs).repartition("graph_id"))
+    atoms = graph.clean_nodes(by_key(_without_map(nodes, node_attrs), "graph_id"))
+    bonds = graph.clean_edges(by_key(_without_map(edges, edge_attrs), "graph_id"))
     text = label(node_attrs, atoms.columns) if node_attrs else F.lit(None).cast("string")
     link = sortable(token_hash(F.concat(F.lit(f"{bond}|"), label(edge_attrs, bonds.columns))))
     own = atoms.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("id"), text.alias("label")))).alias("nodes"))

@@ -70,7 +70,7 @@ PLAIN = r"(Cl|Br|[BCNOPSFI]|[bcnops]|\[[0-9]*[A-Z][a-z]?@{0,2}(H[0-9]?)?([+-][0-
 
 def _counts(r: DataFrame) -> DataFrame:
     """Atoms and bonds of both sides of the plainly written strings."""
-    parsed = rsmi.read_rsmi(r.where(F.col("rsmi").rlike(f"^{PLAIN}>>{PLAIN}$")).select(F.col("record_id").alias("reaction_id"), "rsmi"))
+    parsed = rsmi.read_rsmi(r.where(F.col("rsmi").rlike(rf"^{PLAIN}>>{PLAIN}\z")).select(F.col("record_id").alias("reaction_id"), "rsmi"))
     return parsed.select("reaction_id", *[F.size(f"{side}.{what}").alias(f"{what}_{short}") for side, short in (("reactant", "r"), ("product", "p")) for what in ("nodes", "edges")])
 
 

@@ -48,6 +48,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many partitions as the session asks for. Small rows can be much work:
+    without the number, adaptive execution would merge a few MB of them into one task."""
+    return df.repartition(shuffle_parts(df.sparkSession), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least one partition a core, for CPU-heavy row-local work. A scan that already has as many
     partitions, as any large one, is left alone: no shuffle. Streams are left alone, too."""
