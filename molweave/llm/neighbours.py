@@ -316,23 +316,29 @@ def _search(low: float):
 
 
 def _exact(uids: np.ndarray, packed: list[bytes], low: float):
-    """``uid, other, cosine, bits, hits``: for each query its K best vectors of a batch and the number of all in reach."""
+    """``uid, other, cosine, bits, hits``: for each query its K best vectors of a task and the number of all in reach,
+    which comes with the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = unit(unpack(packed))
+        hits = np.zeros(len(q), np.int64)
+        row, other, cosine, bits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), []
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
                 ids = batch.column(0).to_numpy()
                 sims = q @ vectors(batch.column(1)).T
-                hits = (sims >= low - 1e-5).sum(1) - np.isin(uids, ids)
+                hits += (sims >= low - 1e-5).sum(1) - np.isin(uids, ids)
                 r, c, v = _top(sims, low, uids, ids)
-                best = _best(r, c, v, ids)
-                r, c, v = r[best], c[best], v[best]
-                # The number of hits is sent once a query and batch.
-                n = np.where(np.diff(r, prepend=-1) != 0, hits[r], 0)
-                yield pa.record_batch([pa.array(uids[r]), pa.array(ids[c]), pa.array(v), batch.column(1).take(pa.array(c)), pa.array(n)], ["uid", "other", "cosine", "bits", "hits"])
+                if not len(r):
+                    continue
+                bits += batch.column(1).take(pa.array(c)).to_pylist()
+                row, other, cosine = np.r_[row, r], np.r_[other, ids[c]], np.r_[cosine, v]
+                best = _best(row, np.arange(len(row)), cosine, other)
+                row, other, cosine, bits = row[best], other[best], cosine[best], [bits[i] for i in best]
+        n = np.where(np.diff(row, prepend=-1) != 0, hits[row], 0)
+        yield pa.record_batch([pa.array(uids[row]), pa.array(other), pa.array(cosine), pa.array(bits, pa.binary()), pa.array(n)], ["uid", "other", "cosine", "bits", "hits"])
 
     return run
 
