@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from molweave.functions.hashing import exchange_hash, token_hash
+from molweave.functions.hashing import exchange_hash, exchange_hashes, token_hash
 from molweave import session
 from molweave.operators import multiset, similarity, sketches
 
@@ -201,3 +201,8 @@ def test_exchange_hash():
 
 def test_hash_columns(spark):
     assert spark.createDataFrame([("abc",)], "s string").select(token_hash(F.col("s"))).first()[0] == 648541476951500027
+
+
+def test_exchange_hashes_by_batch(spark):
+    df = spark.createDataFrame([("('a', 1)",), (None,)], "s string")
+    assert [r[0] if r[0] is None else int(r[0]) for r in df.select(exchange_hashes(F.col("s"), 3)).collect()] == [exchange_hash("('a', 1)", 3), None]
