@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
