@@ -5,8 +5,9 @@ equal size with few edges across. A softmax classifier learns a vector's part fr
 of the sample, so that similar vectors are routed alike. A router has at most ``BRANCH`` parts; parts that
 hold more than ``SPLIT_ROWS`` vectors get a router of their own, fitted where their vectors are, level by
 level, so that parts stay small however many vectors there are. Every vector is indexed in its most probable
-part and searched in its most probable ones. How many parts each level probes is chosen by recall against
-brute force for a sample of queries, in small and in large families by themselves. Candidates are reranked by
+part and searched in its most probable ones: those whose ranks at all levels, multiplied, stay within a number
+of probes. That number is chosen by recall against brute force for a sample of queries, in small and in large
+families by themselves. Candidates are reranked by
 their exact cosine. A hit counts for both vectors, which makes up for most misses of one direction.
 
 Parts that are neighbours in the bisection travel together: a query is sent once to each group of parts,
@@ -37,6 +38,8 @@ SPLIT_ROWS = 2_048
 GROUP_PARTS = 16
 QUERIES = 2_048
 RECALL = 0.9995
+LEAST_RECALL = 0.95
+FREE_PROBES = 32
 SAMPLE = 16_384
 GRAPH_DEGREE = 10
 FLIPS = 0.1
@@ -139,23 +142,25 @@ def child(node: int, parts: np.ndarray) -> np.ndarray:
     return node * BRANCH + parts + 1
 
 
-def _children(w: np.ndarray, node: int, x: np.ndarray, probes: int) -> np.ndarray:
-    """The nodes of the ``probes`` most probable parts of each row, most probable first."""
-    return child(node, np.argsort(-scores(w, x), axis=1, kind="stable")[:, :probes].astype(np.int64))
+MOVED = pa.schema([("uid", pa.int64()), ("bits", pa.binary()), ("parts", pa.list_(pa.int64())), ("place", pa.int64())])
+MOVED_ROWS = "uid long, bits binary, parts array<long>, place long"
 
 
-MOVED = pa.schema([("uid", pa.int64()), ("bits", pa.binary()), ("parts", pa.list_(pa.int64()))])
-MOVED_ROWS = "uid long, bits binary, parts array<long>"
-
-
-def _moved(uid: np.ndarray, bits: pa.Array, nodes: np.ndarray, grouped: bool) -> pa.RecordBatch:
-    """A row for each vector and node, or for each vector and group of nodes."""
-    nodes = np.sort(nodes, axis=1) if grouped else nodes
-    row, flat = np.repeat(np.arange(len(uid)), nodes.shape[1]), nodes.ravel()
+def _moved(w: np.ndarray, node: int, uid: np.ndarray, bits: pa.Array, place: np.ndarray, probes: int, grouped: bool) -> pa.RecordBatch:
+    """The most probable parts of each row: a row for each part, or for each group of parts. ``place`` is the product
+    of the ranks so far, and a part of rank r is taken while ``place * r`` is within the probes."""
+    most = np.minimum(probes // place, w.shape[1])
+    ranked = np.argsort(-scores(w, vectors(bits)), axis=1, kind="stable")[:, : most.max(initial=0)]
+    taken = np.arange(ranked.shape[1]) < most[:, None]
+    row, rank = np.nonzero(taken)
+    flat, place = child(node, ranked[taken].astype(np.int64)), place[row] * (rank + 1)
+    if grouped:
+        order = np.lexsort((flat, row))
+        row, flat, place = row[order], flat[order], place[order]
     group = (flat - 1) // GROUP_PARTS if grouped else np.arange(len(flat))
-    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(group) != 0)])
+    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(group) != 0)]) if len(row) else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(flat)].astype(np.int32)), pa.array(flat))
-    return pa.record_batch([pa.array(uid[row[first]]), bits.take(pa.array(row[first])), lists], schema=MOVED)
+    return pa.record_batch([pa.array(uid[row[first]]), bits.take(pa.array(row[first])), lists, pa.array(place[first])], schema=MOVED)
 
 
 def _from_root(w: np.ndarray, probes: int, grouped: bool):
@@ -163,7 +168,7 @@ def _from_root(w: np.ndarray, probes: int, grouped: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                yield _moved(part.column(0).to_numpy(), part.column(1), _children(w, 0, vectors(part.column(1)), probes), grouped)
+                yield _moved(w, 0, part.column(0).to_numpy(), part.column(1), np.ones(part.num_rows, np.int64), probes, grouped)
 
     return run
 
@@ -173,25 +178,24 @@ def _down(probes: int, grouped: bool):
         out = []
         if rows.num_rows and models.num_rows:
             w = np.frombuffer(models.column("w")[0].as_py(), np.float32).reshape(-1, models.column("parts")[0].as_py())
-            node, rows = rows.column("node")[0].as_py(), rows.select(["uid", "bits"]).combine_chunks()
+            node, rows = rows.column("node")[0].as_py(), rows.select(["uid", "bits", "place"]).combine_chunks()
             for at in range(0, rows.num_rows, BLOCK):
                 part = rows.slice(at, BLOCK)
-                bits = part.column("bits").combine_chunks()
-                out.append(_moved(part.column("uid").to_numpy(), bits, _children(w, node, vectors(bits), probes), grouped))
+                out.append(_moved(w, node, part.column("uid").to_numpy(), part.column("bits").combine_chunks(), part.column("place").to_numpy(), probes, grouped))
         return pa.Table.from_batches(out, MOVED)
 
     return run
 
 
 def descend(rows: DataFrame, models: DataFrame, probes: int, grouped: bool = False) -> DataFrame:
-    """``uid, bits, parts`` with the rows at nodes that have a router moved to ``probes`` of their parts.
+    """``uid, bits, parts, place`` with the rows at nodes that have a router moved to parts within the probes.
 
     Crowded nodes are cut into slices, each with its copy of the router. The list of nodes is broadcast: one
     row for each of at most ``BRANCH`` to the power of the level, and of the rows over ``SPLIT_ROWS``."""
-    single = rows.select("uid", "bits", F.explode("parts").alias("node"))
+    single = rows.select("uid", "bits", "place", F.explode("parts").alias("node"))
     flagged = single.join(F.broadcast(models.select("node", "slices")), "node", "left")
-    stay = flagged.where("slices is null").select("uid", "bits", F.array("node").alias("parts"))
-    go = flagged.where("slices is not null").select("uid", "bits", "node", F.pmod(F.xxhash64("uid"), "slices").alias("slice"))
+    stay = flagged.where("slices is null").select("uid", "bits", F.array("node").alias("parts"), "place")
+    go = flagged.where("slices is not null").select("uid", "bits", "place", "node", F.pmod(F.xxhash64("uid"), "slices").alias("slice"))
     each = models.select("node", "w", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
     moved = go.groupBy("node", "slice").cogroup(each.groupBy("node", "slice")).applyInArrow(_down(probes, grouped), MOVED_ROWS)
     return stay.unionByName(moved)
@@ -223,21 +227,21 @@ class Tree:
             picked = picked.where(F.pmod("h", F.lit(1_000_000)) < F.lit(1_200_000 * SAMPLE) / F.col("n"))
             models = cut(picked.groupBy("node").applyInArrow(_fit_node, "node long, w binary, parts int, slices long"))
             self.levels.append(models)
-            held = self.index.select("uid", "bits", F.array("node").alias("parts"))
+            held = self.index.select("uid", "bits", F.array("node").alias("parts"), F.lit(1).cast("long").alias("place"))
             self.index = cut(descend(held, models, 1).select("uid", "bits", F.col("parts")[0].alias("node")))
 
     def _start(self, uniq: DataFrame, probes: int, grouped: bool) -> DataFrame:
         rows = uniq.select("uid", "bits")
         if self.root is None:
-            return rows.withColumn("parts", F.array(F.lit(1).cast("long")))
+            return rows.withColumn("parts", F.array(F.lit(1).cast("long"))).withColumn("place", F.lit(1).cast("long"))
         return rows.mapInArrow(_from_root(self.root, probes, grouped), MOVED_ROWS)
 
-    def asked(self, uniq: DataFrame, probes: list[int]) -> DataFrame:
+    def asked(self, uniq: DataFrame, probes: int) -> DataFrame:
         """``uid, bits, parts``: each vector at all parts it is to be searched in; the parts of a row are of one group."""
-        rows = self._start(uniq, probes[0], not self.levels)
-        for i, (models, k) in enumerate(zip(self.levels, probes[1:]), 1):
-            rows = descend(rows, models, k, i == len(self.levels))
-        return rows
+        rows = self._start(uniq, probes, not self.levels)
+        for i, models in enumerate(self.levels, 1):
+            rows = descend(rows, models, probes, i == len(self.levels))
+        return rows.drop("place")
 
 
 def _best(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -343,35 +347,16 @@ def _exact(uids: np.ndarray, packed: list[bytes], low: float):
     return run
 
 
-def least_probes(need: np.ndarray, hits: np.ndarray, most: list[int]) -> list[int]:
-    """Probes of each level that find ``RECALL`` of the pairs, in small families and in large ones by themselves.
-
-    ``need`` holds, for each pair, each of its two directions and each level, the probes that find it; the
-    level that finds most for its price is widened first."""
-    groups = [g for g in (hits <= 2 * K, hits > 2 * K) if g.any()]
-    k = np.ones(need.shape[2], np.int64)
-
-    def recall(k: np.ndarray) -> np.ndarray:
-        found = (need <= k).all(2).any(1)
-        return np.array([found[g].mean() for g in groups])
-
-    while groups:
-        now = recall(k)
-        if (now >= RECALL).all():
-            break
-        options = []
-        for level in range(len(k)):
-            beyond = need[:, :, level][need[:, :, level] > k[level]]
-            if len(beyond):
-                wider = k.copy()
-                wider[level] = beyond.min()
-                options.append(((np.minimum(recall(wider), RECALL) - np.minimum(now, RECALL)).sum() / np.log(wider[level] / k[level]), -level, wider))
-        if not options:
-            break
-        best = max(options, key=lambda o: o[:2])
-        # Where no single level gains, all of them are widened.
-        k = best[2] if best[0] > 0 else np.max([o[2] for o in options], axis=0)
-    return np.minimum(k, most).tolist()
+def least_probes(need: np.ndarray, hits: np.ndarray) -> int:
+    """Probes that find ``LEAST_RECALL`` of the pairs, in small families and in large ones by themselves, or up to
+    ``FREE_PROBES`` if these find more, as far as ``RECALL``. ``need`` holds the probes that find each pair."""
+    least = 1
+    for group in (hits <= 2 * K, hits > 2 * K):
+        n = np.sort(need[group])
+        if len(n):
+            sure, wish = (int(n[int(np.ceil(r * len(n))) - 1]) for r in (LEAST_RECALL, RECALL))
+            least = max(least, sure, min(wish, FREE_PROBES))
+    return least
 
 
 def _needs(rows: pa.Table, models: pa.Table) -> pa.Table:
@@ -390,9 +375,9 @@ def _place_of(z: np.ndarray, home: np.ndarray) -> np.ndarray:
     return ((z > np.take_along_axis(z, home[:, None], 1)).sum(1) + 1).astype(np.int64)
 
 
-def choose_probes(uniq: DataFrame, tree: Tree, low: float) -> list[int]:
+def choose_probes(uniq: DataFrame, tree: Tree, low: float) -> int:
     """Probes by recall against brute force for at most ``QUERIES`` vectors, chosen by the hash of their id."""
-    spark, most = uniq.sparkSession, [BRANCH] * (1 + len(tree.levels))
+    spark = uniq.sparkSession
     picked = uniq.select("uid", "bits").orderBy(F.xxhash64(F.lit("queries"), "uid"), "uid").limit(QUERIES).collect()
     asked = {r["uid"]: bytes(r["bits"]) for r in picked}
     found = uniq.select("uid", "bits").mapInArrow(_exact(np.array(list(asked), np.int64), list(asked.values()), low), "uid long, other long, cosine double, bits binary, hits long")
@@ -400,31 +385,32 @@ def choose_probes(uniq: DataFrame, tree: Tree, low: float) -> list[int]:
     # At most K rows for each of the queries.
     found = found.withColumn("rank", F.row_number().over(best)).withColumn("hits", F.sum("hits").over(Window.partitionBy("uid"))).where(F.col("rank") <= K).collect()
     if not found:
-        return [1] * len(most)
+        return 1
     ends = [asked[r["uid"]] for r in found], [bytes(r["bits"]) for r in found]
     z = [scores(tree.root, unit(unpack(e))) for e in ends]
-    need = np.ones((len(found), 2, len(most)), np.int64)
+    need = np.ones((len(found), 2), np.int64)
     rows = []
     for way in (0, 1):
         home = z[1 - way].argmax(1)
-        need[:, way, 0] = _place_of(z[way], home)
+        need[:, way] = _place_of(z[way], home)
         rows += [(i, way, ends[way][i], ends[1 - way][i], n) for i, n in enumerate(child(0, home.astype(np.int64)).tolist())]
     if tree.levels:
         shape = "pair long, way int, bits binary, other_bits binary, node long"
         pairs = spark.createDataFrame(rows, shape)
-        for level, models in enumerate(tree.levels, 1):
+        for models in tree.levels:
             pairs = pairs.groupBy("node").cogroup(models.groupBy("node")).applyInArrow(_needs, f"{shape}, need long")
             pairs = cut(pairs)
             for r in pairs.select("pair", "way", "need").collect():
-                need[r["pair"], r["way"], level] = r["need"]
+                need[r["pair"], r["way"]] *= r["need"]
             pairs = pairs.drop("need")
-    return least_probes(need, np.array([r["hits"] for r in found]), most)
+    # A pair is found from either side.
+    return least_probes(need.min(1), np.array([r["hits"] for r in found]))
 
 
 def near_classes(uniq: DataFrame, total: int, low: float = MIN_COSINE) -> DataFrame:
     """``uid, other, cosine``: the best K others of each different vector found by routed search."""
     tree = Tree(uniq, total)
-    probes = choose_probes(uniq, tree, low) if tree.root is not None else [1]
+    probes = choose_probes(uniq, tree, low) if tree.root is not None else 1
     group = F.floor((F.col("parts")[0] - 1) / F.lit(GROUP_PARTS)).cast("long").alias("group")
     index = tree.index.select("uid", "bits", F.array("node").alias("parts")).select("*", group)
     asked = tree.asked(uniq, probes).select("*", group)
@@ -432,7 +418,7 @@ def near_classes(uniq: DataFrame, total: int, low: float = MIN_COSINE) -> DataFr
     # hold far more than the average have more lanes; beyond HOT_GROUPS of them the rest have larger tasks.
     loads = cut(index.groupBy("group").agg(F.count("*").alias("n")))
     usual = loads.agg(F.avg("n")).first()[0] or 1.0
-    each = max(1, min(int(np.prod(probes)), GROUP_PARTS ** len(probes)))
+    each = max(1, min(probes, GROUP_PARTS))
     base = max(1, int(np.ceil(usual * each / LANE_ROWS)))
     hot = loads.where(F.col("n") > 4 * max(usual, LANE_ROWS / each)).orderBy(F.desc("n"), "group").limit(HOT_GROUPS)
     hot = F.broadcast(hot.select("group", F.ceil(F.col("n") * F.lit(each / LANE_ROWS)).cast("int").alias("lanes")))

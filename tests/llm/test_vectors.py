@@ -1,6 +1,7 @@
 """Neighbours and clusters against brute force, with the awkward cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from molweave.llm import clusters, neighbours, vectors
@@ -113,14 +114,17 @@ def test_dense_blocks_keep_the_smallest_ids():
 
 
 def test_least_probes():
-    one = np.array([1] * 990 + [30] * 10 + [2] * 50 + [40] * 50)
-    need = np.stack([one, np.full(len(one), 99)], 1)[:, :, None]
-    hits = np.array([50] * 1000 + [3] * 100)
-    assert neighbours.least_probes(need, hits, [256]) == [40]  # the few pairs of small families count by themselves
-    assert neighbours.least_probes(need[:990], hits[:990], [256]) == [1]
-    assert neighbours.least_probes(need, hits, [16]) == [16]
-    two = np.stack([need[:, :, 0], np.ones_like(need[:, :, 0])], 2)
-    assert neighbours.least_probes(two, hits, [256, 256]) == [40, 1]  # only the level that misses is widened
+    need, hits = np.array([1] * 990 + [30] * 10 + [2] * 50 + [40] * 50), np.array([50] * 1000 + [3] * 100)
+    assert neighbours.least_probes(need, hits) == 40  # the few pairs of small families count by themselves
+    assert neighbours.least_probes(need[:990], hits[:990]) == 1
+
+
+def test_ranks_multiply_within_the_probes():
+    x = np.random.default_rng(3).choice([-1, 1], (5, 256)).astype(np.float32)
+    w = np.random.default_rng(4).standard_normal((257, 8)).astype(np.float32)
+    moved = neighbours._moved(w, 0, np.arange(5), pa.array(vectors.pack(x), pa.binary()), np.array([1, 2, 3, 6, 7]), 6, False)
+    assert np.bincount(moved.column("uid").to_numpy(), minlength=5).tolist() == [6, 3, 2, 1, 0]
+    assert moved.column("place").to_pylist() == [1, 2, 3, 4, 5, 6, 2, 4, 6, 3, 6, 6]
 
 
 def test_most_parts_are_balanced():
