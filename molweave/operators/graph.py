@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molweave.model import EDGE_ATTRS, NODE_ATTRS, label
+from molweave.session import join_merged
 
 
 def _known(df: DataFrame, names: list[str]) -> list[str]:
@@ -58,13 +59,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ways = directed(clean_edges(edges).select("graph_id", "u", "v"))
     counted = ways.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.count("*").alias("degree"))
     every = clean_nodes(nodes).select("graph_id", "node_id")
-    return every.join(counted, ["graph_id", "node_id"], "left").na.fill(0, ["degree"])
+    return join_merged(every, counted, ["graph_id", "node_id"], "left").na.fill(0, ["degree"])
 
 
 def atom_labels(nodes: DataFrame, edges: DataFrame, attrs: tuple[str, ...] = NODE_ATTRS) -> DataFrame:
     """``graph_id, node_id, label``: the attributes, then the degree."""
     rows = clean_nodes(nodes)
-    rows = rows.join(degrees(nodes, edges), ["graph_id", "node_id"])
+    rows = join_merged(rows, degrees(nodes, edges), ["graph_id", "node_id"])
     return rows.select("graph_id", "node_id", label(attrs, rows.columns, F.col("degree").cast("string")).alias("label"))
 
 
@@ -77,7 +78,7 @@ def bond_labels(edges: DataFrame, attrs: tuple[str, ...] = EDGE_ATTRS) -> DataFr
 def edge_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """The bonds of ``graph_id, a, b`` pairs, whichever way round; no row where there is no bond."""
     asked = pairs.select("graph_id", "a", "b", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    return asked.join(clean_edges(edges), ["graph_id", "u", "v"]).drop("u", "v")
+    return join_merged(asked, clean_edges(edges), ["graph_id", "u", "v"]).drop("u", "v")
 
 
 def reaction_of(graph_id: Column) -> tuple[Column, Column]:
@@ -89,7 +90,7 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``reaction_id, side, n_nodes, n_edges`` of both sides of every reaction, 0 for an empty side."""
     n = clean_nodes(nodes).groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
     e = clean_edges(edges).groupBy("graph_id").agg(F.count("*").alias("n_edges"))
-    both = n.join(e, "graph_id", "full")
+    both = join_merged(n, e, ["graph_id"], "full")
     rid, side = reaction_of(F.col("graph_id"))
     both = both.withColumn("reaction_id", rid).withColumn("side", side)
     sides = both.groupBy("reaction_id").agg(
@@ -110,8 +111,8 @@ def sides(reactions: DataFrame, side: str | int) -> DataFrame:
 def inner_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Clean bonds of which both ends exist."""
     ids = clean_nodes(nodes).select("graph_id", "node_id")
-    ok = clean_edges(edges).join(ids.withColumnRenamed("node_id", "u"), ["graph_id", "u"], "left_semi")
-    return ok.join(ids.withColumnRenamed("node_id", "v"), ["graph_id", "v"], "left_semi")
+    ok = join_merged(clean_edges(edges), ids.withColumnRenamed("node_id", "u"), ["graph_id", "u"], "left_semi")
+    return join_merged(ok, ids.withColumnRenamed("node_id", "v"), ["graph_id", "v"], "left_semi")
 
 
 def ego_nodes(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
@@ -123,7 +124,7 @@ def ego_nodes(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
     ring = clean_nodes(nodes).select("graph_id", F.col("node_id").alias("center"), "node_id")
     rings = ring.withColumn("hop", F.lit(0))
     for k in range(1, radius + 1):
-        step = ring.withColumnRenamed("node_id", "src").join(ways, ["graph_id", "src"])
+        step = join_merged(ring.withColumnRenamed("node_id", "src"), ways, ["graph_id", "src"])
         ring = step.select("graph_id", "center", F.col("dst").alias("node_id")).where("node_id <> center").distinct()
         rings = rings.unionByName(ring.withColumn("hop", F.lit(k)))
     return rings.groupBy("graph_id", "center", "node_id").agg(F.min("hop").alias("hop"))
@@ -133,5 +134,5 @@ def ego_edges(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
     """``graph_id, center, u, v`` and the bond's columns: all bonds inside each ego subgraph."""
     ego = ego_nodes(nodes, edges, radius).select("graph_id", "center", "node_id")
     bonds = inner_edges(nodes, edges)
-    at_u = ego.withColumnRenamed("node_id", "u").join(bonds, ["graph_id", "u"])
-    return at_u.join(ego.withColumnRenamed("node_id", "v"), ["graph_id", "center", "v"], "left_semi")
+    at_u = join_merged(ego.withColumnRenamed("node_id", "u"), bonds, ["graph_id", "u"])
+    return join_merged(at_u, ego.withColumnRenamed("node_id", "v"), ["graph_id", "center", "v"], "left_semi")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from molweave.functions.hashing import token_hash
 from molweave.model import EDGE_ATTRS, NODE_ATTRS, label
 from molweave.operators import canonical, graph
-from molweave.session import by_key, cut
+from molweave.session import by_key, cut, join_merged
 
 # Tags that keep the tokens of the extractors apart.
 WL = ("a0", "b", "wl")
@@ -57,7 +57,7 @@ def refine(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[str, str
     large = cut(large_graphs(nodes, edges))
     if large.isEmpty():
         return _refine_rows(nodes, edges, radius, tags, node_attrs, edge_attrs)
-    small, big = ([t.join(large, "graph_id", how) for t in (nodes, edges)] for how in ("left_anti", "left_semi"))
+    small, big = ([join_merged(t, large, ["graph_id"], how) for t in (nodes, edges)] for how in ("left_anti", "left_semi"))
     return _refine_rows(*small, radius, tags, node_attrs, edge_attrs).unionByName(_refine_tables(*big, radius, tags, node_attrs, edge_attrs))
 
 
@@ -71,7 +71,7 @@ def _refine_rows(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[st
     own = atoms.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("id"), text.alias("label")))).alias("nodes"))
     ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), link.alias("bond")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"), link.alias("bond")))
     ways = bonds.groupBy("graph_id").agg(F.flatten(F.collect_list(ends)).alias("ways"))
-    g = own.join(ways, "graph_id", "left").withColumn("ways", F.coalesce("ways", F.array().cast("array<struct<a:bigint,b:bigint,bond:string>>")))
+    g = join_merged(own, ways, ["graph_id"], "left").withColumn("ways", F.coalesce("ways", F.array().cast("array<struct<a:bigint,b:bigint,bond:string>>")))
     g = g.withColumn("ids", F.transform("nodes", lambda n: n["id"]))
     # For each node its degree, over all its bonds, and the places and hashes of its existing neighbours.
     place = lambda w: F.struct(F.array_position("ids", w["b"]).cast("int").alias("at"), w["bond"].alias("bond"))
@@ -116,9 +116,9 @@ def _refine_tables(nodes: DataFrame, edges: DataFrame, radius: int, tags: tuple[
         if k > 1:  # a round reads the last one twice: without a cut the plan would double each time
             now = cut(now)
         near = now.select("graph_id", F.col("node_id").alias("dst"), sortable(F.col("token")).alias("near"))
-        around = ways.join(near, ["graph_id", "dst"]).groupBy("graph_id", "node_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bond", "near"))), ",").alias("around"))
+        around = join_merged(ways, near, ["graph_id", "dst"]).groupBy("graph_id", "node_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bond", "near"))), ",").alias("around"))
         text = F.concat(F.lit(f"{step}|{k}|"), F.col("token").cast("string"), F.lit("|"), F.coalesce("around", F.lit("")))
-        now = now.join(around, ["graph_id", "node_id"], "left").select("graph_id", "node_id", token_hash(text).alias("token"))
+        now = join_merged(now, around, ["graph_id", "node_id"], "left").select("graph_id", "node_id", token_hash(text).alias("token"))
         out = out.unionByName(now.select("graph_id", "node_id", F.lit(k).alias("k"), "token"))
     return out
 
@@ -149,11 +149,11 @@ def path_tokens(nodes: DataFrame, edges: DataFrame, radius: int = 2, min_path: i
     bonds = graph.inner_edges(nodes, edges)
     bonds = bonds.where("u <> v").select("graph_id", "u", "v", label(edge_attrs, bonds.columns).alias("bond"))
     ends = atoms.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("next"))
-    ways = graph.directed(bonds).join(ends, ["graph_id", "dst"])
+    ways = join_merged(graph.directed(bonds), ends, ["graph_id", "dst"])
     paths = atoms.select("graph_id", F.col("node_id").alias("end"), F.array("node_id").alias("seen"), F.array("label").alias("labels"))
     found = None
     for hop in range(1, longest + 1):
-        grown = paths.join(ways.withColumnRenamed("src", "end"), ["graph_id", "end"]).where(~F.array_contains("seen", F.col("dst")))
+        grown = join_merged(paths, ways.withColumnRenamed("src", "end"), ["graph_id", "end"]).where(~F.array_contains("seen", F.col("dst")))
         paths = grown.select("graph_id", F.col("dst").alias("end"), F.array_append("seen", F.col("dst")).alias("seen"), F.concat("labels", F.array("bond", "next")).alias("labels"))
         if hop >= min_path:
             text = F.least(F.array_join("labels", ">"), F.array_join(F.reverse("labels"), ">"))
@@ -184,7 +184,7 @@ def _packed_graphs(nodes: DataFrame, edges: DataFrame, node_attrs: tuple[str, ..
     a = label(node_attrs, atoms.columns) if not blind else F.lit("")
     b = label(edge_attrs, bonds.columns) if not blind else F.lit("")
     own = atoms.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", a.alias("label"))).alias("nodes"))
-    return own.join(bonds.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v", b.alias("label"))).alias("edges")), "graph_id", "left")
+    return join_merged(own, bonds.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v", b.alias("label"))).alias("edges")), ["graph_id"], "left")
 
 
 def graph_signatures(nodes: DataFrame, edges: DataFrame, node_attrs: tuple[str, ...] = NODE_ATTRS, edge_attrs: tuple[str, ...] = EDGE_ATTRS, blind: bool = False) -> DataFrame:

@@ -202,3 +202,17 @@ def test_printout_and_networkx_sink(spark):
             to_networkx(nodes, edges, "g")
     else:
         assert to_networkx(nodes, edges, "g").edges[0, 1] == {"bond_order": 2.0, "foo": "bar"}
+
+
+def broadcasts(spark, folder, name):
+    """Broadcasts in the plan of a query over tables that look small by their files."""
+    from molweave.plans.queries import queries
+
+    atoms = [(f"{i}:{s}", a, "C", False, 0, 1, None) for i in range(4) for s in "RP" for a in range(3)]
+    spark.createDataFrame(atoms, NODES).write.parquet(f"{folder}/nodes.parquet")
+    spark.createDataFrame([(f"{i}:{s}", a, a + 1, 1.0, None) for i in range(4) for s in "RP" for a in range(2)], EDGES).write.parquet(f"{folder}/edges.parquet")
+    return queries()[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_minpath2_is_not_broadcast(spark, tmp_path):
+    assert broadcasts(spark, tmp_path, "path_tokens_minpath2") == 0
