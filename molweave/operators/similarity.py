@@ -1,13 +1,12 @@
 """Similarities of sketches and token sets, as column expressions and as searches.
 
 A search takes the queries of a stated set (every reaction whose id is divisible by 100) against all
-rows. Token searches join queries and rows on shared tokens; sketch searches compare blocks of queries
-with blocks of rows. Ties are broken by the smaller id.
+rows. Blocks of queries are compared with blocks of rows. Ties are broken by the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from molweave.session import cut, join_lanes, shuffle_parts
+from molweave.session import cut, shuffle_parts
 
 QUERY_STEP = 100
 GRID_ROWS = 50_000
 GRID_QUERIES = 2_000
+SLICE_ROWS = 256
 
 
 def tanimoto(a: Column, b: Column) -> Column:
@@ -53,24 +53,77 @@ def queries_of(rows: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     return rows.where(F.col("reaction_id") % step == 0)
 
 
+def _packed_weights(deltas: DataFrame) -> DataFrame:
+    """``reaction_id, tokens, weights, l1, l2``: a row for each reaction."""
+    w = deltas.where("delta <> 0 and token is not null and reaction_id is not null")
+    own = F.collect_list(F.struct("token", "delta"))
+    packed = w.groupBy("reaction_id").agg(own.alias("own"), F.sum(F.abs("delta")).alias("l1"), F.sum(F.col("delta") * F.col("delta")).alias("l2"))
+    return packed.select("reaction_id", F.col("own.token").alias("tokens"), F.col("own.delta").alias("weights"), "l1", "l2")
+
+
+def _flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of a column of lists."""
+    n = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(lists)), n), lists.flatten().to_numpy()
+
+
+def _weighted_block(normalize: bool):
+    """``query_id, reaction_id, weighted_jaccard, cosine`` of one block of queries and one of rows, in slices of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        asks = np.asarray(table.column("asks").to_numpy(zero_copy_only=False), bool)
+        side = lambda mark: table.take(pa.array(np.flatnonzero(mark))).combine_chunks()
+        ask, held = side(asks), side(~asks)
+        column = lambda t, name: t.column(name).combine_chunks().to_numpy() if len(t) else np.zeros(0, np.int64)
+        if not len(ask) or not len(held):
+            return
+        ids, l1, l2 = (column(ask, c) for c in ("reaction_id", "l1", "l2"))
+        row, token = _flat_lists(ask.column("tokens").combine_chunks())
+        weight = _flat_lists(ask.column("weights").combine_chunks())[1]
+        order = np.argsort(token, kind="stable")
+        row, token, weight = row[order], token[order], weight[order]
+        for at in range(0, len(held), SLICE_ROWS):
+            part = held.slice(at, SLICE_ROWS).combine_chunks()
+            n, other = len(part), column(part, "reaction_id")
+            m1, m2 = column(part, "l1"), column(part, "l2")
+            r, t = _flat_lists(part.column("tokens").combine_chunks())
+            d = _flat_lists(part.column("weights").combine_chunks())[1]
+            first = np.searchsorted(token, t, "left")
+            met = np.searchsorted(token, t, "right") - first
+            # A row for each token that a query and a row share.
+            x = np.repeat(np.arange(len(t)), met)
+            y = np.repeat(first - np.r_[0, np.cumsum(met)[:-1]], met) + np.arange(len(x))
+            a, b, qr, rr = weight[y], d[x], row[y], r[x]
+            left, right = (np.abs(a), np.abs(b)) if not normalize else (np.abs(a) * m1[rr], np.abs(b) * l1[qr])
+            cell = qr * n + rr
+            low, dot, seen = np.zeros(len(ids) * n, np.int64), np.zeros(len(ids) * n, np.int64), np.zeros(len(ids) * n, bool)
+            np.add.at(low, cell, np.where((a > 0) == (b > 0), np.minimum(left, right), 0))
+            np.add.at(dot, cell, a * b)
+            seen[cell] = True
+            i, j = np.nonzero(seen.reshape(-1, n) & (ids[:, None] != other))
+            low, dot = low[i * n + j], dot[i * n + j]
+            both = l1[i] * m1[j] * 2 if normalize else l1[i] + m1[j]
+            # Python's whole numbers where a product can need more than 64 bits.
+            own = l2 if int(l2.max()) * int(m2.max()) < 1 << 63 else l2.astype(object)
+            columns = ids[i], other[j], low / (both - low), dot / np.sqrt((own[i] * m2[j]).astype(np.float64))
+            yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "reaction_id", "weighted_jaccard", "cosine"])
+
+    return run
+
+
 def weighted_search(deltas: DataFrame, step: int = QUERY_STEP, normalize: bool = False) -> DataFrame:
     """``query_id, reaction_id, weighted_jaccard, cosine`` of signed weights for all pairs that share a token.
 
     Sum of minima over sum of maxima of both channels, and cosine, in whole numbers up to one division.
-    With ``normalize`` each side is first divided by the sum of its absolute weights. Tokens that many reactions
-    hold are spread over lanes, which their queries visit one by one."""
-    w = cut(deltas.where("delta <> 0 and token is not null and reaction_id is not null").select("reaction_id", "token", "delta"))
-    norms = w.groupBy("reaction_id").agg(F.sum(F.abs("delta")).alias("l1"), F.sum(F.col("delta") * F.col("delta")).alias("l2"))
-    scaled = w.join(norms.select("reaction_id", "l1"), "reaction_id") if normalize else w.withColumn("l1", F.lit(1).cast("bigint"))
-    q = queries_of(scaled, step).select(F.col("reaction_id").alias("query_id"), "token", F.col("delta").alias("q"), F.col("l1").alias("ql"))
-    same = F.signum("q") == F.signum("delta")
-    low = F.when(same, F.least(F.abs("q") * F.col("l1"), F.abs("delta") * F.col("ql"))).otherwise(0)
-    met = join_lanes(scaled, q, "token", "reaction_id", w.count())
-    met = met.where("query_id <> reaction_id").groupBy("query_id", "reaction_id").agg(F.sum(low).alias("low"), F.sum(F.col("q") * F.col("delta")).alias("dot"))
-    qn = queries_of(norms, step).select(F.col("reaction_id").alias("query_id"), F.col("l1").alias("ql1"), F.col("l2").alias("ql2"))
-    met = met.join(qn, "query_id").join(norms, "reaction_id")
-    both = F.col("ql1") * F.col("l1") * 2 if normalize else F.col("ql1") + F.col("l1")
-    return met.select("query_id", "reaction_id", (F.col("low") / (both - F.col("low"))).alias("weighted_jaccard"), (F.col("dot") / F.sqrt(F.col("ql2") * F.col("l2"))).alias("cosine"))
+    With ``normalize`` each side is first divided by the sum of its absolute weights. Blocks of queries meet blocks of
+    rows, each reaction in one row, so that a pair comes out where it is met and is never shuffled."""
+    rows = cut(_packed_weights(deltas))
+    total, largest = rows.agg(F.count("*"), F.coalesce(F.max("l1"), F.lit(0))).first()
+    if normalize and 2 * largest * largest >= 1 << 63:
+        raise ArithmeticError("the weights are too large for whole numbers of 64 bits")
+    asks, held = _blocks(rows, total, step)
+    return asks.unionByName(held).groupBy("qb", "rb").applyInArrow(_weighted_block(normalize), "query_id long, reaction_id long, weighted_jaccard double, cosine double")
 
 
 def top(pairs: DataFrame, score: str, k: int) -> DataFrame:
@@ -123,6 +176,18 @@ def best_of_block(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k:
     return np.array(rows, np.int64), np.concatenate(cols) if cols else np.zeros(0, np.int64)
 
 
+def _blocks(rows: DataFrame, total: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows with their blocks ``qb, rb``: each block of queries meets each block of rows once."""
+    row_blocks, query_blocks = max(1, -(-total // GRID_ROWS)), max(1, -(-total // (step * GRID_QUERIES)))
+    # Small collections use all cores, too.
+    row_blocks = max(row_blocks, -(-shuffle_parts(rows.sparkSession) // query_blocks)) if total > 1_000 else row_blocks
+    block = lambda n, salt: F.pmod(F.xxhash64("reaction_id", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries_of(rows, step).select("*", block(query_blocks, 1).alias("qb"), every(row_blocks).alias("rb"), F.lit(True).alias("asks"))
+    held = rows.select("*", every(query_blocks).alias("qb"), block(row_blocks, 2).alias("rb"), F.lit(False).alias("asks"))
+    return asked, held
+
+
 def grid_search(sketches: DataFrame, column: str, kernel: Kernel, name: str, step: int = QUERY_STEP, k: int = 5) -> DataFrame:
     """``query_id, reaction_id, <name>, rank``: the k best rows for each stated query, all rows compared.
 
@@ -130,13 +195,7 @@ def grid_search(sketches: DataFrame, column: str, kernel: Kernel, name: str, ste
     sends k rows a query. Rows with a null sketch take no part."""
     rows = cut(sketches.where(F.col("reaction_id").isNotNull() & F.col(column).isNotNull()).select("reaction_id", F.col(column).alias("v")))
     total = rows.count()
-    row_blocks, query_blocks = max(1, -(-total // GRID_ROWS)), max(1, -(-total // (step * GRID_QUERIES)))
-    # Small collections use all cores, too.
-    row_blocks = max(row_blocks, -(-shuffle_parts(rows.sparkSession) // query_blocks)) if total > 1_000 else row_blocks
-    block = lambda n, salt: F.pmod(F.xxhash64("reaction_id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries_of(rows, step).select("reaction_id", "v", block(query_blocks, 1).alias("qb"), every(row_blocks).alias("rb"), F.lit(True).alias("asks"))
-    held = rows.select("reaction_id", "v", every(query_blocks).alias("qb"), block(row_blocks, 2).alias("rb"), F.lit(False).alias("asks"))
+    asked, held = _blocks(rows, total, step)
 
     def run(table: pa.Table) -> pa.Table:
         ids, asks = table.column("reaction_id").to_numpy(), np.asarray(table.column("asks").to_numpy(zero_copy_only=False), bool)

@@ -206,3 +206,25 @@ def test_hash_columns(spark):
 def test_exchange_hashes_by_batch(spark):
     df = spark.createDataFrame([("('a', 1)",), (None,)], "s string")
     assert [r[0] if r[0] is None else int(r[0]) for r in df.select(exchange_hashes(F.col("s"), 3)).collect()] == [exchange_hash("('a', 1)", 3), None]
+
+
+@pytest.mark.parametrize("normalize", [False])
+def test_pairs_of_weighted_search_are_not_shuffled(spark, monkeypatch, normalize):
+    for name, value in (("GRID_ROWS", 40), ("GRID_QUERIES", 1), ("SLICE_ROWS", 7)):
+        monkeypatch.setattr(similarity, name, value)
+    rnd = random.Random(6)
+    held = {r: {t: rnd.choice([-3, -1, 1, 2]) * (1 + 10**9 * (t == 9 and not normalize)) for t in rnd.sample(range(12), 3)} for r in range(0, 800, 4)}
+    rows = [(r, t, d) for r, w in held.items() for t, d in w.items()]
+    found = similarity.weighted_search(spark.createDataFrame(rows, "reaction_id long, token long, delta long").where("abs(delta) < 100 or reaction_id < 150"), normalize=normalize)
+    # Only reactions are exchanged, a row for each and each block it meets.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    held = {r: {t: d for t, d in w.items() if abs(d) < 100 or r < 150} for r, w in held.items()}
+    got = {(r.query_id, r.reaction_id): (r.weighted_jaccard, r.cosine) for r in found.collect()}
+    assert set(got) == {(q, r) for q in held if q % 100 == 0 for r in held if r != q and set(held[q]) & set(held[r])}
+    for (q, r), (wj, cos) in got.items():
+        a, b = held[q], held[r]
+        la, lb = (sum(map(abs, w.values())) if normalize else 1 for w in (a, b))
+        low = sum(min(abs(a[t]) * lb, abs(b[t]) * la) for t in a if t in b and a[t] * b[t] > 0)
+        both = 2 * la * lb if normalize else sum(map(abs, a.values())) + sum(map(abs, b.values()))
+        assert wj == low / (both - low)
+        assert math.isclose(cos, sum(a[t] * b[t] for t in a if t in b) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
