@@ -208,7 +208,7 @@ def test_exchange_hashes_by_batch(spark):
     assert [r[0] if r[0] is None else int(r[0]) for r in df.select(exchange_hashes(F.col("s"), 3)).collect()] == [exchange_hash("('a', 1)", 3), None]
 
 
-@pytest.mark.parametrize("normalize", [False])
+@pytest.mark.parametrize("normalize", [False, True])
 def test_pairs_of_weighted_search_are_not_shuffled(spark, monkeypatch, normalize):
     for name, value in (("GRID_ROWS", 40), ("GRID_QUERIES", 1), ("SLICE_ROWS", 7)):
         monkeypatch.setattr(similarity, name, value)
