@@ -216,3 +216,7 @@ def broadcasts(spark, folder, name):
 
 def test_minpath2_is_not_broadcast(spark, tmp_path):
     assert broadcasts(spark, tmp_path, "path_tokens_minpath2") == 0
+
+
+def test_ego_edges_are_not_broadcast(spark, tmp_path):
+    assert broadcasts(spark, tmp_path, "ego_edges_r2") == 0
