@@ -220,3 +220,15 @@ def test_minpath2_is_not_broadcast(spark, tmp_path):
 
 def test_ego_edges_are_not_broadcast(spark, tmp_path):
     assert broadcasts(spark, tmp_path, "ego_edges_r2") == 0
+
+
+def test_paths_l1_3_are_not_broadcast(spark, tmp_path):
+    assert broadcasts(spark, tmp_path, "path_tokens_l1_3") == 0
+
+
+def test_path_minhash_are_not_broadcast(spark, tmp_path):
+    assert broadcasts(spark, tmp_path, "fingerprint_path_minhash") == 0
+
+
+def test_joined_rounds_are_not_broadcast(spark, tmp_path):
+    assert broadcasts(spark, tmp_path, "wl_tokens_joined") == 0
