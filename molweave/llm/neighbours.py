@@ -42,6 +42,7 @@ LEAST_RECALL = 0.95
 FREE_PROBES = 32
 SAMPLE = 16_384
 GRAPH_DEGREE = 10
+GRAPH_ROWS = 128
 FLIPS = 0.1
 BLOCK = 4_096
 LANE_ROWS = 65_536
@@ -51,10 +52,10 @@ MOST_LEVELS = 6
 
 def neighbour_graph(x: np.ndarray, degree: int = GRAPH_DEGREE) -> np.ndarray:
     out = np.empty((len(x), min(degree, len(x) - 1)), np.int64)
-    for i in range(0, len(x), 1024):
-        sims = x[i : i + 1024] @ x.T
+    for i in range(0, len(x), GRAPH_ROWS):
+        sims = x[i : i + GRAPH_ROWS] @ x.T
         sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -np.inf
-        out[i : i + 1024] = np.argpartition(-sims, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+        out[i : i + GRAPH_ROWS] = np.argpartition(-sims, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
     return out
 
 
@@ -292,16 +293,19 @@ def _search(low: float):
         row, part = np.repeat(np.arange(len(uid)), count), parts.flatten().to_numpy()
         order = np.lexsort((uid[row], part))
         row, part = row[order], part[order]
-        x = vectors(table.column("bits"))
+        # A task can hold far more rows than its memory has room for vectors: those of two blocks at a time.
+        packed = table.column("bits").combine_chunks()
+        x = lambda ix: vectors(packed.take(pa.array(ix)))
         a, b, s = [], [], []
         for p in np.unique(part[home[row]]):
             mine = row[np.searchsorted(part, p, "left") : np.searchsorted(part, p, "right")]
             held, ask = mine[home[mine]], mine[~home[mine]]
-            for i in range(0, len(ask), BLOCK):
-                q = ask[i : i + BLOCK]
-                for j in range(0, len(held), BLOCK):
-                    h = held[j : j + BLOCK]
-                    sims = x[q] @ x[h].T
+            for j in range(0, len(held), BLOCK):
+                h = held[j : j + BLOCK]
+                xh = x(h)
+                for i in range(0, len(ask), BLOCK):
+                    q = ask[i : i + BLOCK]
+                    sims = x(q) @ xh.T
                     for mine_, other, m in ((q, h, sims), (h, q, sims.T)):
                         r, c, v = _top(m, low, uid[mine_], uid[other])
                         a.append(uid[mine_[r]])

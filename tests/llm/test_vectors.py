@@ -237,3 +237,19 @@ def test_empty(spark):
     assert neighbours.neighbours(none).count() == 0 and clusters.cluster_members(none).count() == 0 and clusters.describe(none).count() == 0
     bad = spark.createDataFrame([(1, 0, None), (2, 0, [0] * 256)], PRINTS).withColumnRenamed("reaction_id", "bits")
     assert neighbours.neighbours(bad).count() == 0 and clusters.cluster_members(bad).count() == 0
+
+
+def test_search_unpacks_two_blocks_at_a_time(monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rows, unpacked = families(3, 40, 5, 0.05), []
+    make = neighbours.vectors
+    monkeypatch.setattr(neighbours, "vectors", lambda column: unpacked.append(len(column)) or make(column))
+    x = np.array([r[2] for r in rows])
+    uid = pa.array([r[0] for r in rows] * 2)
+    table = pa.table({"uid": uid, "bits": pa.array(vectors.pack(x) * 2, pa.binary()), "parts": pa.array([[1]] * 400, pa.list_(pa.int64())), "home": pa.array([True] * 200 + [False] * 200)})
+    found = neighbours._search(0.6)(table).to_pydict()
+    assert max(unpacked) <= 16
+    got = {}
+    for a, b in zip(found["uid"], found["other"]):
+        got.setdefault(a, []).append(b)
+    assert {a: sorted(b) for a, b in got.items()} == {i: sorted(js) for i, js in brute(rows)[0].items() if js}
