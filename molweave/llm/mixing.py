@@ -3,8 +3,8 @@
 The sources that hold the same text form its membership pattern. Per pattern and source the sizes are
 summed up; a flow network routes tokens from patterns to source quotas, where the r-th use of a text
 costs 2r - 1 in its source and over all sources, so repeats are spread as thinly as the quotas allow.
-The network has one node per pattern that occurs (at most 2^sources and at most ``MOST_PATTERNS`` of shared
-texts; those of rarer patterns count as not shared) and is solved on the driver.
+The network has one node per pattern that occurs, at most 2^sources, and is solved on the driver. All patterns are
+told apart; a caller can set ``MOST_PATTERNS`` to let texts of the rarer shared patterns count as not shared.
 Documents are then drawn by a seeded hash until the routed sizes are reached, with cumulative sums over
 hash buckets, so that no source is sorted in one task.
 
@@ -15,8 +15,7 @@ nothing; equal hashes are ordered by ``doc_id``; rows with the same text are doc
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,8 +24,10 @@ from molweave.llm.sizes import plain_source, sized
 from molweave.session import cut, join_grouped
 
 BUCKET_ROWS = 2_000
-MOST_PATTERNS = 2_000
+MOST_PATTERNS: int | None = None
 SEED = 17
+FAR = 1 << 60
+MOST_ARCS = 1 << 30
 
 
 class FlowNetwork:
@@ -46,31 +47,41 @@ class FlowNetwork:
             self.cost.append(w)
         return len(self.to) - 2
 
-    def _distances(self, s: int) -> list[float]:
-        dist = [float("inf")] * len(self.out)
-        dist[s], queue, queued = 0, deque([s]), {s}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for e in self.out[a]:
-                b = self.to[e]
-                if self.cap[e] > 0 and dist[a] + self.cost[e] < dist[b]:
-                    dist[b] = dist[a] + self.cost[e]
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        return dist
+    def _distances(self, s: int) -> np.ndarray:
+        """Cost of the cheapest path to each node, of equals the one with the fewest arcs, so that no path goes in circles.
+        All arcs at a time, in as many rounds as the longest such path has arcs."""
+        live = np.flatnonzero(np.array(self.cap, np.int64) > 0)
+        end, cost = np.array(self.to, np.int64), np.array(self.cost, np.int64)[live] * MOST_ARCS + 1
+        a, b = end[live ^ 1], end[live]
+        dist = np.full(len(self.out), FAR)
+        dist[s] = 0
+        while True:
+            new = dist.copy()
+            reached = dist[a] < FAR
+            np.minimum.at(new, b[reached], dist[a[reached]] + cost[reached])
+            if (new == dist).all():
+                return dist
+            dist = new
 
     def run(self, s: int, t: int) -> None:
+        every = self.out
         while True:
             dist = self._distances(s)
-            if dist[t] == float("inf"):
+            if dist[t] == FAR:
                 return
-            at = [0] * len(self.out)
-            while self._push(s, t, dist, at):
+            # Only arcs of cheapest paths, and back along them, in their order.
+            end, cost = np.array(self.to, np.int64), np.array(self.cost, np.int64) * MOST_ARCS + 1
+            a = end[np.arange(len(end)) ^ 1]
+            self.out = [[] for _ in every]
+            kept = np.flatnonzero((dist[a] < FAR) & (dist[a] + cost == dist[end]))
+            for x, e in zip(a[kept].tolist(), kept.tolist()):
+                self.out[x].append(e)
+            at = [0] * len(every)
+            while self._push(s, t, at):
                 pass
+            self.out = every
 
-    def _push(self, s: int, t: int, dist: list[float], at: list[int]) -> bool:
+    def _push(self, s: int, t: int, at: list[int]) -> bool:
         """One augmenting path of shortest arcs, depth first."""
         path: list[int] = []
         on, a = {s}, s
@@ -78,7 +89,7 @@ class FlowNetwork:
             while at[a] < len(self.out[a]):
                 e = self.out[a][at[a]]
                 b = self.to[e]
-                if self.cap[e] > 0 and b not in on and dist[a] + self.cost[e] == dist[b]:
+                if self.cap[e] > 0 and b not in on:
                     break
                 at[a] += 1
             else:
@@ -129,10 +140,10 @@ def _documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     total = docs.count()
     shared = docs.groupBy("text_key").agg(F.array_sort(F.collect_set("source")).alias("all"), F.count("*").alias("copies")).where("size(all) > 1")
     shared = shared.select("text_key", F.array_join("all", "\t").alias("shared"), "copies")
-    # Of more patterns than the flow can hold the largest are told apart; texts of the others count in each of
-    # their sources as if no other had them.
-    patterns = shared.groupBy("shared").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "shared").limit(MOST_PATTERNS)
-    shared = shared.join(F.broadcast(patterns.select("shared")), "shared", "left_semi")
+    if MOST_PATTERNS is not None:
+        # Asked for by the caller: texts of other patterns count in each of their sources as if no other had them.
+        patterns = shared.groupBy("shared").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "shared").limit(MOST_PATTERNS)
+        shared = shared.join(F.broadcast(patterns.select("shared")), "shared", "left_semi")
     return cut(join_grouped(docs, shared, ["text_key"], "copies", total, "left").withColumn("pattern", F.coalesce("shared", "source")).drop("shared", "copies"))
 
 
@@ -168,7 +179,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame
 def _select(docs: DataFrame, flow: dict[tuple[str, str], tuple[int, int]], seed: int) -> DataFrame:
     spark = docs.sparkSession
     rows = [(p, s, f // a, f % a) for (p, s), (f, a) in flow.items() if a]
-    # One row for each pattern and source, at most MOST_PATTERNS and one for each source.
+    # One row for each pattern and source, which the flow on the driver holds anyway.
     table = spark.createDataFrame(rows or [("", "", 0, 0)], "pattern string, source string, rounds long, rest long")
     buckets = max(1, docs.count() // BUCKET_ROWS)
     keyed = docs.drop("text_key").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)).cast("int"))

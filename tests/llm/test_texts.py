@@ -153,6 +153,17 @@ def test_rare_patterns_count_as_not_shared(spark, monkeypatch):
     assert all(abs(used[s] - x * total) < 20 for s, x in (("a", 0.4), ("b", 0.4), ("c", 0.2)))
 
 
+def test_all_patterns_are_told_apart(spark):
+    names = "abcdefghijkl"
+    patterns = [p for n in range(2, 7) for p in itertools.combinations(names, n)]
+    rows = [(i * 12 + k, f"text {i}", None, s) for i, p in enumerate(patterns) for k, s in enumerate(p)]
+    targets = spark.createDataFrame([(s, 1 / 12, 2) for s in names], TARGETS)
+    docs = mixing._documents(spark.createDataFrame(rows, DOCS), targets)
+    assert len(patterns) > 2_000 and {r.pattern for r in docs.select("pattern").distinct().collect()} == {"\t".join(p) for p in patterns}
+    plan, flow = mixing._plan(docs, targets)
+    assert not any(r["short"] for r in plan) and len(flow) == len(rows)
+
+
 def test_mix_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     none = spark.createDataFrame([], DOCS)
