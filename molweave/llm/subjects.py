@@ -1,8 +1,9 @@
 """Problem 8: subject areas of documents by bisecting k-means and leaf mixtures.
 
-Documents become normalised, idf-weighted word vectors. Bisecting k-means over a bounded sample gives first the
-languages, whose frequent words hardly overlap, and within each language the leaves; every document goes to its
-nearest leaf. A leaf is labelled by its discriminative terms, as far as they are words of the subjects' names and
+Documents become normalised, idf-weighted word vectors. Bisecting k-means gives first the languages, whose frequent
+words hardly overlap, and within each language the leaves; every document goes to its nearest leaf. Of a
+collection too large for the driver a draw only starts the centres: passes over all documents then
+move them to the means of their documents. A leaf is labelled by its discriminative terms, as far as they are words of the subjects' names and
 scopes, and by the raters' labels in it: its mixture of subjects. The counts of terms by leaf then sharpen the
 mixtures, as leaves that hold several subjects share their terms with leaves that hold one. The mixtures of all leaves
 that hold a term are the term's own mixture, the terms' are a sentence's, with the mixture of its document's
@@ -11,7 +12,7 @@ name it. A further class holds sentences that treat no subject: wordings spread
 itself. A document gets each subject that at least a quarter of its subject sentences treat.
 
 The texts are read twice and kept as packs of sentences, compressed; everything else are six passes over the
-packs, however large the corpus. No word of any language is given: the words that begin sentences are
+packs and, for the centres, some 15 to 30 over the numbers of the documents' words, however large the corpus. No word of any language is given: the words that begin sentences are
 those which are written large mostly there.
 
 Defined results: null and blank texts get no subject, neither does a text in which no sentence treats
@@ -46,6 +47,7 @@ DIMENSIONS = 1_024
 FEATURE_WORDS = 50_000
 LANGUAGE_WORDS = 2_000
 APART = 0.5
+STRANGE = 0.25
 SHARE = 0.25
 OPENERS = 10_000
 OPENER_SHARE = 0.5
@@ -64,6 +66,10 @@ MIXED_TERMS = 20_000
 STEPS = 30
 PRIOR = 0.2
 HELD_CODES = 100_000
+MOVES = 12
+GAIN = 1e-4
+DIGITS = 1 << 20
+HELD_SUMS = 32_000_000
 
 TAG = re.compile(r"""</?[a-zA-Z][\w:-]*+(?:\s++[\w:-]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=]++))?+)*+\s*+/?>|&nbsp;""")
 # A line end, two spaces, the space behind a full stop or the one before a list entry.
@@ -215,21 +221,32 @@ def _mixed(doc: int) -> int:
     return x ^ x >> 32
 
 
-def _sampled(number: dict[str, int], share: float):
+CODED = f"{PACKS}, lengths array<int>, words binary"
+
+
+def _coded(number: dict[str, int]):
+    """Packs with the numbers of each document's words, one document behind the other, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, docs in zip(batch.column(0).to_pylist(), unpacked(batch.column(1))):
-                kept = [(i, _words_in(d, number)) for i, d in zip(ids, docs) if _mixed(i) < share * (1 << 64)]
-                yield pa.record_batch([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.list_(pa.int32()))], ["doc_id", "words"])
+            for at, docs in enumerate(unpacked(batch.column(1))):
+                row, words = batch.slice(at, 1), [_words_in(d, number) for d in docs]
+                blob = zlib.compress(_flat(words)[1].astype(np.int32).tobytes(), 1)
+                yield pa.record_batch([row.column(0), row.column(1), pa.array([[len(w) for w in words]], pa.list_(pa.int32())), pa.array([blob], pa.binary())], ["ids", "pack", "lengths", "words"])
 
     return run
 
 
+def decoded(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    """The word numbers of each document of each pack of ``lengths, words``."""
+    for lengths, blob in zip(batch.column("lengths").to_pylist(), batch.column("words")):
+        yield np.split(np.frombuffer(zlib.decompress(blob.as_py()), np.int32), np.cumsum(lengths)[:-1])
+
+
 class Space:
     """Word vectors: of the most frequent words, weighted by idf, folded into ``DIMENSIONS`` with signs."""
 
     def __init__(self, words: list[str], df: np.ndarray, total: int):
-        self.number = {w: i for i, w in enumerate(words)}
         self.idf = np.log((total + 1) / (df + 1)).astype(np.float32)
         h = np.array([int.from_bytes(blake2b(w.encode(), digest_size=4).digest(), "little") for w in words], np.int64)
         self.place, self.sign = h % DIMENSIONS, np.where(h >> 20 & 1, 1, -1).astype(np.float32)
@@ -237,7 +254,7 @@ class Space:
     def vectors(self, docs: list[list[int]]) -> np.ndarray:
         out = np.zeros((len(docs), DIMENSIONS), np.float32)
         row, w = _flat(docs)
-        np.add.at(out, (row, self.place[w]), self.sign[w] * self.idf[w])
+        np.add.at(out.reshape(-1), row * DIMENSIONS + self.place[w], self.sign[w] * self.idf[w])
         return unit(out)
 
     @staticmethod
@@ -250,7 +267,7 @@ class Space:
 
 
 def _flat(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.array([w for d in docs for w in d], np.int64)
+    return np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate([np.zeros(0, np.int64), *(np.asarray(d, np.int64) for d in docs)])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -311,42 +328,183 @@ def languages(marks: np.ndarray, seed: int = 5) -> np.ndarray:
 
 
 class Leaves:
-    """Centres of languages and of the leaves in each, fitted on a sample of documents."""
-
-    def __init__(self, space: Space, docs: list[list[int]], total: int, subjects: int):
-        self.space = space
-        marks = space.frequent(docs)
-        self.tongues = languages(marks) if docs else np.ones((1, LANGUAGE_WORDS), np.float32)
-        spoken = self.language(marks)
-        x = space.vectors(docs)
-        self.centres, self.language_of = [], []
-        for lang in range(len(self.tongues)):
-            mine = x[spoken == lang]
-            k = min(LEAVES_PER_SUBJECT * subjects, len(mine) // LEAF_ROWS)
-            centres = bisect(mine, k) if k > 1 else np.ones((1, DIMENSIONS), np.float32)
-            self.centres.append(centres)
-            self.language_of += [lang] * len(centres)
-        self.first = np.cumsum([0, *[len(c) for c in self.centres]])
+    """Centres of languages and of the leaves in each."""
+
+    def __init__(self, space: Space, tongues: np.ndarray, centres: list[np.ndarray]):
+        self.space, self.tongues, self.centres = space, tongues, centres
+        self.language_of = [lang for lang, c in enumerate(centres) for _ in c]
+        self.first = np.cumsum([0, *map(len, centres)])
 
     def language(self, marks: np.ndarray) -> np.ndarray:
         return (marks @ self.tongues.T).argmax(1) if len(marks) else np.zeros(0, np.int64)
 
-    def of(self, docs: list[list[str]]) -> np.ndarray:
-        words = [_words_in(d, self.space.number) for d in docs]
-        spoken, x = self.language(self.space.frequent(words)), self.space.vectors(words)
-        out = np.zeros(len(docs), np.int64)
+    def by_language(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language of each document, its marks and how near they are."""
+        marks = self.space.frequent(docs)
+        near = marks @ self.tongues.T
+        return near.argmax(1), marks, near.max(1)
+
+    def by_leaf(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf of each document, its vector and how near it is."""
+        spoken, x = self.language(self.space.frequent(docs)), self.space.vectors(docs)
+        out, near = np.zeros(len(docs), np.int64), np.zeros(len(docs))
         for lang, centres in enumerate(self.centres):
             mine = spoken == lang
-            out[mine] = self.first[lang] + (x[mine] @ centres.T).argmax(1)
-        return out
+            if mine.any():
+                cosines = x[mine] @ centres.T
+                out[mine], near[mine] = self.first[lang] + cosines.argmax(1), cosines.max(1)
+        return out, x, near
+
+
+def leaf_centres(x: np.ndarray, documents: int, subjects: int) -> np.ndarray:
+    """Centres for the leaves of a language with so many documents, by bisecting ``x``."""
+    k = min(LEAVES_PER_SUBJECT * subjects, documents // LEAF_ROWS)
+    return bisect(x, k) if k > 1 and len(x) else np.ones((1, DIMENSIONS), np.float32)
+
+
+Assign = Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+SUMS = "group int, n long, near long, total binary"
+
+
+def _group_sums(assign: Assign, groups: int, width: int):
+    """One row a group and task: its documents, how near they are and the sum of their vectors, in whole numbers of
+    ``1 / DIGITS``, whose sums do not depend on the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, nears, total = np.zeros(groups, np.int64), np.zeros(groups, np.int64), np.zeros((groups, width), np.int64)
+        for batch in batches:
+            for docs in decoded(batch):
+                group, x, near = assign(docs)
+                order = np.argsort(group, kind="stable")
+                used, first = np.unique(group[order], return_index=True)
+                n[used] += np.diff(np.r_[first, len(group)])
+                nears[used] += np.add.reduceat(np.rint(near[order] * DIGITS).astype(np.int64), first)
+                total[used] += np.add.reduceat(np.rint(x[order] * DIGITS).astype(np.int64), first, axis=0)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(nears[some]), pa.array([t.tobytes() for t in total[some]], pa.binary())], ["group", "n", "near", "total"])
+
+    return run
+
+
+def _add_sums(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(t.as_py(), np.int64) for t in table.column("total"))
+    n, near = (sum(table.column(c).to_pylist()) for c in ("n", "near"))
+    return pa.table({"group": table.column("group")[:1], "n": pa.array([n]), "near": pa.array([near]), "total": pa.array([total.tobytes()], pa.binary())})
+
+
+def group_sums(coded: DataFrame, assign: Assign, groups: int, width: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Documents of each group, how near all are, and the sum of each group's vectors, over all documents."""
+    parts = coded.select("lengths", "words").mapInArrow(_group_sums(assign, groups, width), SUMS)
+    if coded.rdd.getNumPartitions() * groups * width * 8 > HELD_SUMS:
+        parts = parts.groupBy("group").applyInArrow(_add_sums, SUMS)
+    n, near, total = np.zeros(groups, np.int64), 0, np.zeros((groups, width), np.int64)
+    for r in parts.collect():  # one row a group, or at most HELD_SUMS bytes
+        n[r["group"]] += r["n"]
+        near += r["near"]
+        total[r["group"]] += np.frombuffer(r["total"], np.int64)
+    return n, near, total
+
+
+def settled(coded: DataFrame, assign: Callable[[np.ndarray], Assign], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres, moved to the means of all their documents until the documents come nearer by less than ``GAIN``, at
+    most ``MOVES`` times, and the documents of each. A centre without documents stays."""
+    best = 0
+    for _ in range(MOVES):
+        n, near, total = group_sums(coded, assign(centres), *centres.shape)
+        some = total.any(1)
+        centres = centres.copy()
+        centres[some] = unit(total[some] / DIGITS)
+        if near <= best * (1 + GAIN):
+            break
+        best = near
+    return centres, n
+
+
+Group = Callable[[list[np.ndarray]], np.ndarray]
+
+
+def _drawn(group_of: Group, shares: np.ndarray):
+    """Some documents with their words and group, by the hash of their id; ``shares`` of each group, none of -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, docs in zip(batch.column("ids").to_pylist(), decoded(batch)):
+                kept = [(i, int(g), d) for i, g, d in zip(ids, group_of(docs), docs) if g >= 0 and _mixed(i) < shares[g] * (1 << 64)]
+                yield pa.record_batch([pa.array([k[j] for k in kept], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int32())))], ["doc_id", "group", "words"])
+
+    return run
+
+
+def drawn(coded: DataFrame, group_of: Group, counts: np.ndarray, most: np.ndarray) -> list[list[list[int]]]:
+    """The words of at most ``most`` documents of each group, which has ``counts``."""
+    picked = coded.select("ids", "lengths", "words").mapInArrow(_drawn(group_of, 1.2 * most / np.maximum(counts, 1)), "doc_id long, group int, words array<int>")
+    order = Window.partitionBy("group").orderBy(F.xxhash64("doc_id"), "doc_id")
+    limits = F.array(*[F.lit(int(m)) for m in most])[F.col("group")]
+    out: list[list[list[int]]] = [[] for _ in most]
+    for r in picked.withColumn("at", F.row_number().over(order)).where((F.col("at") <= int(max(most))) & (F.col("at") <= limits)).orderBy("group", "at").collect():
+        out[r["group"]].append(r["words"])
+    return out
+
+
+def strange(space: Space, tongues: np.ndarray) -> Group:
+    """0 for documents whose frequent words are like no language's, else -1."""
+
+    def run(docs: list[np.ndarray]) -> np.ndarray:
+        marks = unit(space.frequent(docs))
+        return np.where(marks.any(1) & ((marks @ tongues.T).max(1) < STRANGE), 0, -1)
+
+    return run
+
+
+def all_languages(coded: DataFrame, space: Space, tongues: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The languages' centres over all documents, and the documents of each.
+
+    A language too rare for the first draw shows by the documents that are like no language. A group of them is one
+    if it is like no other and at least half of its words are found mostly in such documents, counted over
+    all: short texts of a known language hold words that are found elsewhere. The search goes on until there is no more."""
+    while True:
+        tongues, counts = settled(coded, lambda c: Leaves(space, c, []).by_language, tongues)
+        odd = strange(space, tongues)
+        docs = drawn(coded, odd, np.ones(1), np.array([SAMPLE]))[0]
+        if len(docs) < LEAF_ROWS:
+            return tongues, counts
+        _, _, (other, own) = group_sums(coded, lambda x: (odd(x) + 1, space.frequent(x), np.zeros(len(x))), 2, LANGUAGE_WORDS)
+        mostly = own > other
+        new = [c for c in languages(space.frequent(docs)) if (tongues @ c).max() < APART and c[mostly].sum() >= c.sum() / 2]
+        if not new:
+            return tongues, counts
+        tongues = np.vstack([tongues, *new])
+
+
+def fitted(coded: DataFrame, space: Space, total: int, subjects: int) -> Leaves:
+    """Languages and leaves of all documents.
+
+    Up to ``SAMPLE`` documents are bisected on the driver as they are. Of a larger collection a draw is bisected to
+    start with, and passes over all documents move first the languages and then the leaves. A language's number
+    of leaves follows from all its documents, and its own draw starts them, however rare it is."""
+    docs = drawn(coded, lambda x: np.zeros(len(x), np.int64), np.array([total]), np.array([SAMPLE]))[0]
+    marks = space.frequent(docs)
+    tongues = languages(marks) if docs else np.ones((1, LANGUAGE_WORDS), np.float32)
+    if total <= SAMPLE:
+        spoken, x = (marks @ tongues.T).argmax(1), space.vectors(docs)
+        return Leaves(space, tongues, [leaf_centres(x[spoken == lang], int((spoken == lang).sum()), subjects) for lang in range(len(tongues))])
+    del docs, marks
+    tongues, counts = all_languages(coded, space, tongues)
+    most = np.full(len(tongues), max(SAMPLE // len(tongues), LEAF_ROWS * LEAVES_PER_SUBJECT * subjects))
+    spoken = lambda x: Leaves(space, tongues, []).by_language(x)[0]
+    starts = drawn(coded, spoken, counts, most)
+    leaves = Leaves(space, tongues, [leaf_centres(space.vectors(d), int(n), subjects) for d, n in zip(starts, counts)])
+    del starts
+    split = lambda c: Leaves(space, tongues, np.split(c, leaves.first[1:-1]))
+    return split(settled(coded, lambda c: split(c).by_leaf, np.concatenate(leaves.centres))[0])
 
 
 def _leafed(leaves: Leaves):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, docs in enumerate(unpacked(batch.column(1))):
+            for at, docs in enumerate(decoded(batch)):
                 row = batch.slice(at, 1)
-                yield pa.record_batch([row.column(0), row.column(1), pa.array([leaves.of(docs).tolist()], pa.list_(pa.int32()))], ["ids", "pack", "leaves"])
+                yield pa.record_batch([row.column(0), row.column(1), pa.array([leaves.by_leaf(docs)[0].tolist()], pa.list_(pa.int32()))], ["ids", "pack", "leaves"])
 
     return run
 
@@ -607,11 +765,11 @@ def treated(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Dat
     if not known or not total:
         return spark.createDataFrame([], schema)
     words = _summed(packs, _doc_words).orderBy(F.desc("n"), "key").limit(FEATURE_WORDS).toArrow()
-    space = Space(words.column("key").to_pylist(), words.column("n").to_numpy(), total)
-    picked = packs.mapInArrow(_sampled(space.number, 1.2 * SAMPLE / total), "doc_id long, words array<int>")
-    sample = [r["words"] for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    leaves = Leaves(space, sample, total, len(known))
-    leafed = cut(packs.mapInArrow(_leafed(leaves), f"{PACKS}, leaves array<int>"))
+    names = words.column("key").to_pylist()
+    space = Space(names, words.column("n").to_numpy(), total)
+    coded = cut(packs.mapInArrow(_coded({w: i for i, w in enumerate(names)}), CODED))
+    leaves = fitted(coded, space, total, len(known))
+    leafed = cut(coded.mapInArrow(_leafed(leaves), f"{PACKS}, leaves array<int>"))
     placed = leafed.select(F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("leaves").alias("leaf"))).alias("x")).select("x.doc_id", "x.leaf")
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     votes = labels.select("doc_id", "subject_id", "rater").distinct().join(placed, "doc_id").groupBy("leaf", "subject_id").agg(F.count("*").alias("n")).collect()

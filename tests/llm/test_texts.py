@@ -204,6 +204,32 @@ def test_languages_are_found(rng=7):
     assert len(centres) == 5 and len({(a, b) for a, b in zip(said, spoken)}) == 5
 
 
+def test_centres_are_those_of_all_documents(spark, monkeypatch):
+    """A collection far larger than the draw; one document in 30 is written in a rare language, of several leaves."""
+    monkeypatch.setattr(subjects, "SAMPLE", 200)
+    rnd = random.Random(4)
+    said = ["rare" if i % 30 == 7 else "often" for i in range(3000)]
+    parts = {lang: [[f"{lang}{part}x{i}" for i in range(15)] for part in range(2)] for lang in ("rare", "often")}
+    docs = [sorted({*rnd.sample([f"{lang}{i}" for i in range(12)], 9), *rnd.sample(rnd.choice(parts[lang]), 8)}) for lang in said]
+    words = [w for w, _ in subjects.Counter(w for d in docs for w in d).most_common()]
+    number = {w: i for i, w in enumerate(words)}
+    packs = [(list(range(a, a + 100)), subjects.zlib.compress(subjects.APART_SIGN.join(" ".join(d) for d in docs[a : a + 100]).encode())) for a in range(0, 3000, 100)]
+    coded = spark.createDataFrame(packs, subjects.PACKS).mapInArrow(subjects._coded(number), subjects.CODED)
+    space = subjects.Space(words, subjects.np.array([sum(w in d for d in docs) for w in words]), 3000)
+    for bound in (subjects.HELD_SUMS, 0):
+        monkeypatch.setattr(subjects, "HELD_SUMS", bound)
+        leaves = subjects.fitted(coded, space, 3000, 1)
+        leaf, x, _ = leaves.by_leaf([[number[w] for w in d] for d in docs])
+        spoken = subjects.np.array(leaves.language_of)[leaf]
+        assert len(set(zip(said, spoken))) == 2
+        # The rare language has 100 documents, fewer than LEAF_ROWS of them in the first draw: too few to be a language there.
+        assert [len(c) for c in leaves.centres] == [8, 8]
+        near = [float(c @ subjects.unit(x[leaf == i].sum(0)[None])[0]) for i, c in enumerate(subjects.np.concatenate(leaves.centres))]
+        assert min(near) > 0.995
+        got = {r.group: r.n for r in coded.mapInArrow(subjects._group_sums(leaves.by_leaf, 16, subjects.DIMENSIONS), subjects.SUMS).groupBy("group").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+        assert got == dict(subjects.Counter(leaf.tolist()))
+
+
 def test_subjects(spark):
     """Three languages, three subjects, labels of a tenth of the documents, some of them wrong."""
     rnd = random.Random(7)
