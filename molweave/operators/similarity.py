@@ -67,8 +67,16 @@ def _flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), n), lists.flatten().to_numpy()
 
 
-def _weighted_block(normalize: bool):
-    """``query_id, reaction_id, weighted_jaccard, cosine`` of one block of queries and one of rows, in slices of rows."""
+def _asked(part: pa.Table, column: Callable) -> tuple[np.ndarray, ...]:
+    """Ids and sums of some queries; their tokens in order, with query and weight."""
+    row, token = _flat_lists(part.column("tokens").combine_chunks())
+    weight = _flat_lists(part.column("weights").combine_chunks())[1]
+    order = np.argsort(token, kind="stable")
+    return *(column(part, c) for c in ("reaction_id", "l1", "l2")), row[order], token[order], weight[order]
+
+
+def _weighted_block(normalize: bool, queries: int):
+    """``query_id, reaction_id, weighted_jaccard, cosine`` of one block of queries and one of rows, in slices of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -78,36 +86,33 @@ def _weighted_block(normalize: bool):
         column = lambda t, name: t.column(name).combine_chunks().to_numpy() if len(t) else np.zeros(0, np.int64)
         if not len(ask) or not len(held):
             return
-        ids, l1, l2 = (column(ask, c) for c in ("reaction_id", "l1", "l2"))
-        row, token = _flat_lists(ask.column("tokens").combine_chunks())
-        weight = _flat_lists(ask.column("weights").combine_chunks())[1]
-        order = np.argsort(token, kind="stable")
-        row, token, weight = row[order], token[order], weight[order]
+        asked = [_asked(ask.slice(at, queries).combine_chunks(), column) for at in range(0, len(ask), queries)]
         for at in range(0, len(held), SLICE_ROWS):
             part = held.slice(at, SLICE_ROWS).combine_chunks()
             n, other = len(part), column(part, "reaction_id")
             m1, m2 = column(part, "l1"), column(part, "l2")
             r, t = _flat_lists(part.column("tokens").combine_chunks())
             d = _flat_lists(part.column("weights").combine_chunks())[1]
-            first = np.searchsorted(token, t, "left")
-            met = np.searchsorted(token, t, "right") - first
-            # A row for each token that a query and a row share.
-            x = np.repeat(np.arange(len(t)), met)
-            y = np.repeat(first - np.r_[0, np.cumsum(met)[:-1]], met) + np.arange(len(x))
-            a, b, qr, rr = weight[y], d[x], row[y], r[x]
-            left, right = (np.abs(a), np.abs(b)) if not normalize else (np.abs(a) * m1[rr], np.abs(b) * l1[qr])
-            cell = qr * n + rr
-            low, dot, seen = np.zeros(len(ids) * n, np.int64), np.zeros(len(ids) * n, np.int64), np.zeros(len(ids) * n, bool)
-            np.add.at(low, cell, np.where((a > 0) == (b > 0), np.minimum(left, right), 0))
-            np.add.at(dot, cell, a * b)
-            seen[cell] = True
-            i, j = np.nonzero(seen.reshape(-1, n) & (ids[:, None] != other))
-            low, dot = low[i * n + j], dot[i * n + j]
-            both = l1[i] * m1[j] * 2 if normalize else l1[i] + m1[j]
-            # Python's whole numbers where a product can need more than 64 bits.
-            own = l2 if int(l2.max()) * int(m2.max()) < 1 << 63 else l2.astype(object)
-            columns = ids[i], other[j], low / (both - low), dot / np.sqrt((own[i] * m2[j]).astype(np.float64))
-            yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "reaction_id", "weighted_jaccard", "cosine"])
+            for ids, l1, l2, row, token, weight in asked:
+                first = np.searchsorted(token, t, "left")
+                met = np.searchsorted(token, t, "right") - first
+                # A row for each token that a query and a row share.
+                x = np.repeat(np.arange(len(t)), met)
+                y = np.repeat(first - np.r_[0, np.cumsum(met)[:-1]], met) + np.arange(len(x))
+                a, b, qr, rr = weight[y], d[x], row[y], r[x]
+                left, right = (np.abs(a), np.abs(b)) if not normalize else (np.abs(a) * m1[rr], np.abs(b) * l1[qr])
+                cell = qr * n + rr
+                low, dot, seen = np.zeros(len(ids) * n, np.int64), np.zeros(len(ids) * n, np.int64), np.zeros(len(ids) * n, bool)
+                np.add.at(low, cell, np.where((a > 0) == (b > 0), np.minimum(left, right), 0))
+                np.add.at(dot, cell, a * b)
+                seen[cell] = True
+                i, j = np.nonzero(seen.reshape(-1, n) & (ids[:, None] != other))
+                low, dot = low[i * n + j], dot[i * n + j]
+                both = l1[i] * m1[j] * 2 if normalize else l1[i] + m1[j]
+                # Python's whole numbers where a product can need more than 64 bits.
+                own = l2 if int(l2.max()) * int(m2.max()) < 1 << 63 else l2.astype(object)
+                columns = ids[i], other[j], low / (both - low), dot / np.sqrt((own[i] * m2[j]).astype(np.float64))
+                yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "reaction_id", "weighted_jaccard", "cosine"])
 
     return run
 
@@ -117,13 +122,14 @@ def weighted_search(deltas: DataFrame, step: int = QUERY_STEP, normalize: bool =
 
     Sum of minima over sum of maxima of both channels, and cosine, in whole numbers up to one division.
     With ``normalize`` each side is first divided by the sum of its absolute weights. Blocks of queries meet blocks of
-    rows, each reaction in one row, so that a pair comes out where it is met and is never shuffled."""
+    rows, each reaction in one row, so that a pair comes out where it is met and is never shuffled. A task holds as many
+    queries as rows and takes them ``GRID_QUERIES`` at a time: each block of queries takes another copy of all rows."""
     rows = cut(_packed_weights(deltas))
     total, largest = rows.agg(F.count("*"), F.coalesce(F.max("l1"), F.lit(0))).first()
     if normalize and 2 * largest * largest >= 1 << 63:
         raise ArithmeticError("the weights are too large for whole numbers of 64 bits")
-    asks, held = _blocks(rows, total, step)
-    return asks.unionByName(held).groupBy("qb", "rb").applyInArrow(_weighted_block(normalize), "query_id long, reaction_id long, weighted_jaccard double, cosine double")
+    asks, held = _blocks(rows, total, step, GRID_ROWS, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return asks.unionByName(held).groupBy("qb", "rb").applyInArrow(_weighted_block(normalize, GRID_QUERIES), "query_id long, reaction_id long, weighted_jaccard double, cosine double")
 
 
 def top(pairs: DataFrame, score: str, k: int) -> DataFrame:
@@ -176,11 +182,11 @@ def best_of_block(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k:
     return np.array(rows, np.int64), np.concatenate(cols) if cols else np.zeros(0, np.int64)
 
 
-def _blocks(rows: DataFrame, total: int, step: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(rows: DataFrame, total: int, step: int, queries: int = 0, most: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
     """Queries and rows with their blocks ``qb, rb``: each block of queries meets each block of rows once."""
-    row_blocks, query_blocks = max(1, -(-total // GRID_ROWS)), max(1, -(-total // (step * GRID_QUERIES)))
-    # Small collections use all cores, too.
-    row_blocks = max(row_blocks, -(-shuffle_parts(rows.sparkSession) // query_blocks)) if total > 1_000 else row_blocks
+    row_blocks, query_blocks = max(1, -(-total // GRID_ROWS)), max(1, -(-total // (step * (queries or GRID_QUERIES))))
+    # Small collections use all cores, too; no more than ``most`` blocks for that, as each takes a copy of the queries.
+    row_blocks = max(row_blocks, -(-min(most, shuffle_parts(rows.sparkSession)) // query_blocks)) if total > 1_000 else row_blocks
     block = lambda n, salt: F.pmod(F.xxhash64("reaction_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries_of(rows, step).select("*", block(query_blocks, 1).alias("qb"), every(row_blocks).alias("rb"), F.lit(True).alias("asks"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from molweave.operators import graph, multiset, similarity, sketches, tokens
 from molweave.plans.engine import FingerprintConfig, fingerprint_bits, fingerprint_graphs, fingerprint_strings, reaction_tokens, results
-from molweave.session import read, shared_folder
+from molweave.session import by_key, read, shared_folder
 from molweave.sources import rsmi, tables
 from molweave.streaming import fingerprints as stream
 
@@ -32,6 +32,11 @@ def _deltas(f: Callable[[DataFrame], DataFrame]) -> Query:
     return _tokens(lambda t: f(multiset.delta(t)))
 
 
+def _deltas_packed(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """Cleaned and counted where all rows of a reaction are: one shuffle, which grouping by reaction does not repeat."""
+    return lambda spark, d: f(multiset.delta(multiset.clean_tokens(by_key(read(spark, d, "tokens"), "reaction_id"))))
+
+
 def _signature(df: DataFrame, column: str = "signature") -> DataFrame:
     return df.select("reaction_id", F.posexplode(column).alias("i", "value"))
 
@@ -144,8 +149,8 @@ def queries() -> dict[str, Query]:
         "local_srp": _deltas(lambda d: _signature(sketches.local_srp(multiset.pos_neg(d), 32), "sketch")),
         "local_icws": _deltas(lambda d: _signature(sketches.local_icws(multiset.pos_neg(d), 32))),
         "tanimoto_search": _deltas(lambda d: similarity.bit_search(sketches.parity_bits(multiset.signed_support(d), BITS, 1))),
-        "weighted_search": _deltas(similarity.weighted_search),
-        "weighted_search_normalized": _deltas(lambda d: similarity.weighted_search(d, normalize=True)),
+        "weighted_search": _deltas_packed(similarity.weighted_search),
+        "weighted_search_normalized": _deltas_packed(lambda d: similarity.weighted_search(d, normalize=True)),
         "minhash_search": _deltas(lambda d: similarity.grid_search(sketches.minhash(multiset.signed_support(d), MINHASHES), "signature", similarity.equal_scores, "jaccard")),
         "srp_cosine_search": _deltas(lambda d: similarity.grid_search(sketches.srp(multiset.pos_neg(d), SIGNS), "sketch", similarity.sign_scores, "cosine")),
         "fingerprint_morgan_union": _graphs(lambda n, e: fingerprint_bits(n, e, FingerprintConfig(tokenizer="morgan", mode="union", radius=1))),

@@ -6,6 +6,7 @@ import pytest
 from molweave.functions.hashing import exchange_hash, exchange_hashes, token_hash
 from molweave import session
 from molweave.operators import multiset, similarity, sketches
+from molweave.plans.queries import queries
 
 from pyspark.sql import functions as F  # isort: skip
 
@@ -228,3 +229,30 @@ def test_pairs_of_weighted_search_are_not_shuffled(spark, monkeypatch, normalize
         both = 2 * la * lb if normalize else sum(map(abs, a.values())) + sum(map(abs, b.values()))
         assert wj == low / (both - low)
         assert math.isclose(cos, sum(a[t] * b[t] for t in a if t in b) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
+
+
+@pytest.mark.parametrize("name", ["weighted_search", "weighted_search_normalized"])
+def test_weighted_search_packs_behind_one_shuffle(spark, monkeypatch, tmp_path, name):
+    rows = [(r, s, t, 1 + (t + r) % 3, 0, 1) for r in range(0, 300, 20) for s in "RP" for t in range(r % 7, 12)]
+    rows = spark.createDataFrame([*rows, rows[0], (None, "R", 1, 1, 0, 1)], "reaction_id long, side string, token long, cnt long, chunk int, loaded_at long")
+    rows.write.parquet(f"{tmp_path}/tokens.parquet")
+    plans = []
+    monkeypatch.setattr(similarity, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    queries()[name](spark, str(tmp_path))
+    assert plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_weighted_search_are_copied_for_as_few_queries_as_a_task_can_hold(spark, monkeypatch):
+    copies = []
+    monkeypatch.setattr(similarity, "_blocks", lambda rows, total, *a, f=similarity._blocks: copies.append([x.count() for x in f(rows, 800_000, *a)]) or f(rows, total, *a))
+    deltas = spark.createDataFrame([(r, 1, 1) for r in range(0, 500, 50)], "reaction_id long, token long, delta long")
+    assert similarity.weighted_search(deltas, normalize=True).count() == 5 * 9
+    # Five queries for each of 16 blocks of rows at least; each row once.
+    assert copies[0][0] >= 5 * 16 and copies[0][1] == 10
+
+
+def test_queries_of_a_block_are_taken_in_slices(spark, monkeypatch):
+    rows = spark.createDataFrame([(r, t, 1 + (r + t) % 4) for r in range(0, 900, 25) for t in range(r % 4, 6)], "reaction_id long, token long, delta long")
+    whole = sorted(similarity.weighted_search(rows, normalize=True).collect())
+    monkeypatch.setattr(similarity, "GRID_QUERIES", 2)
+    assert whole and sorted(similarity.weighted_search(rows, normalize=True).collect()) == whole
