@@ -253,3 +253,36 @@ def test_search_unpacks_two_blocks_at_a_time(monkeypatch):
     for a, b in zip(found["uid"], found["other"]):
         got.setdefault(a, []).append(b)
     assert {a: sorted(b) for a, b in got.items()} == {i: sorted(js) for i, js in brute(rows)[0].items() if js}
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_pairs_in_reach_by_their_first_values(alike):
+    rng = np.random.default_rng(3)
+    x = rng.choice([-1, 1], (300, 256)) * (rng.random((300, 256)) < rng.choice([1, 0.9], (300, 1)))
+    y = np.vstack([x[:150] * np.where(rng.random((150, 256)) < rng.uniform(0, 0.25, (150, 1)), -1, 1), rng.choice([-1, 0, 1], (200, 256))])
+    if alike:  # only the last values differ
+        x[:, : clusters.HEAD], y[:, : clusters.HEAD] = 1, 1
+    x, y = vectors.unit(x.astype(np.float32)), vectors.unit(y.astype(np.float32))
+    want = set(zip(*np.nonzero(x.astype(float) @ y.T.astype(float) >= 0.6 - 1e-5)))
+    assert want and set(zip(*clusters.in_reach(x, y, 0.6))) == want
+    packed = pa.chunked_array([pa.array(vectors.pack(np.sign(x)), pa.binary())])
+    assert np.array_equal(vectors.vectors(packed), x) and np.array_equal(vectors.vectors(packed.slice(11, 50)), x[11:61])
+    assert vectors.vectors(packed.slice(0, 0)).shape == (0, 256)
+
+
+def test_vectors_of_many_cells_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    calls, real = [], clusters.in_reach
+    monkeypatch.setattr(clusters, "in_reach", lambda x, y, low: calls.append((len(x), len(y))) or real(x, y, low))
+    x = rng.choice([-1, 1], (400, 256))
+    x[100:200] = x[:100] * np.where(rng.random((100, 256)) < 0.08, -1, 1)
+    home = np.r_[np.zeros(100, int), 1 + np.arange(300) % 60]
+    near = [sorted({0, *rng.integers(1, 61, 9).tolist()}) for _ in range(100)]
+    rows = [*((i, True) for i in range(100)), *((i, False) for i in range(400))]
+    at = [i for i, _ in rows]
+    table = pa.table({"uid": pa.array(at, pa.int64()), "bits": pa.array(vectors.pack(x[at]), pa.binary()), "home": pa.array(home[at], pa.int32()), "near": pa.array([near[i] if a else None for i, a in rows], pa.list_(pa.int32())), "cell": pa.array([0] * 500, pa.int32()), "asks": pa.array([a for _, a in rows])})
+    links = clusters._local(0.6)(table)
+    got = {frozenset(p) for p in zip(links.column("a").to_pylist(), links.column("b").to_pylist())}
+    owed = {i for i in range(100) if clusters.first_of(home[i + 100], 0) == 0 or home[i + 100] not in near[i]}
+    assert {frozenset((i, i + 100)) for i in owed} <= got <= {frozenset((i, i + 100)) for i in range(100)}
+    assert len(calls) <= 2
